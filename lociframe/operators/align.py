@@ -34,7 +34,7 @@ def site_columns(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame:
         lambda i: F.array_join(F.transform("rows", lambda r: F.get(r, i)), ""),
     )
     return rows.select("locus", "chunk", F.posexplode(columns).alias("i", "column")).select(
-        "locus", (F.col("chunk") * chunk + F.col("i")).alias("site"), "column"
+        "locus", (F.col("chunk").cast("long") * chunk + F.col("i")).alias("site"), "column"
     )
 
 
