@@ -37,13 +37,17 @@ JOIN (SELECT chain, param, max(value) FILTER (k = CAST(floor(n * 0.025) AS BIGIN
 WHERE pick = 1"""
 
 
-def acf_sql(source: str, sd: str = "stddev_samp", name: str = "acf") -> str:
-    """Lag table of ``source(chain, param, gen, value)`` with gens 1..n."""
-    return f"""{name}_c AS (SELECT chain, param, gen, value - avg(value) OVER p AS x, count(*) OVER p AS n, {sd}(value) OVER p AS sd
+def acf_sql(source: str, sd: str = "stddev_samp", name: str = "acf", lags: int = 2000) -> str:
+    """Lag table of ``source(chain, param, gen, value)`` with gens 1..n.
+
+    ``lags`` below 2000 suffices where only the early stop is wanted.
+    """
+    return f"""{name}_c AS MATERIALIZED (SELECT chain, param, gen, value - avg(value) OVER p AS x, count(*) OVER p AS n, {sd}(value) OVER p AS sd
       FROM {source} WINDOW p AS (PARTITION BY chain, param)),
-    {name} AS (SELECT a.chain, a.param, CAST(lg AS BIGINT) AS lag, sum(a.x * b.x) / (max(a.n) - max(lg)) / (max(a.sd) * max(a.sd)) AS rho
-      FROM {name}_c a, range(1, 2000) l(lg), {name}_c b
-      WHERE a.chain = b.chain AND a.param = b.param AND b.gen = a.gen + lg AND lg < least(2000, a.n - 10) GROUP BY 1, 2, 3)"""
+    {name}_l AS MATERIALIZED (SELECT chain, param, gen, x, n, sd, unnest(range(1, {lags})) AS lg FROM {name}_c),
+    {name} AS MATERIALIZED (SELECT a.chain, a.param, a.lg AS lag, sum(a.x * b.x) / (max(a.n) - a.lg) / (max(a.sd) * max(a.sd)) AS rho
+      FROM {name}_l a JOIN {name}_c b ON a.chain = b.chain AND a.param = b.param AND b.gen = a.gen + a.lg
+      WHERE a.lg < a.n - 10 GROUP BY a.chain, a.param, a.lg)"""
 
 
 def tau_sql(acf: str = "acf", name: str = "tau") -> str:
@@ -342,7 +346,7 @@ def _mixture_sql(mean: str, var: str, const: str, kernel: str, top: str) -> str:
     g AS (SELECT *, greatest(mean - 4 * sd, 0) AS lo, ({top} - greatest(mean - 4 * sd, 0)) / 1000 AS width FROM st),
     cells AS (SELECT g.chain, g.param, bin, lo + (bin + 0.5) * width AS y, sum(exp({const} + {kernel})) * max(width) / max(n) AS pdf
       FROM (SELECT *, {const} AS const FROM u) u JOIN g USING (chain, param), range(1000) t(bin) GROUP BY g.chain, g.param, bin, lo, width),
-    {_interval_sql('cells')}, {acf_sql('u', 'stddev_pop')}, {tau_sql()}
+    {_interval_sql('cells')}, {acf_sql('u', 'stddev_pop', lags=120)}, {tau_sql()}
     SELECT chain, param, round(mean, 6) AS mean, round(sd, 6) AS sd, round(et_lo, 6) AS et_lo, round(et_hi, 6) AS et_hi,
       round(hpd_lo, 6) AS hpd_lo, round(hpd_hi, 6) AS hpd_hi, round((vm + mv) / vm, 5) AS c, round((vm + mv) / vm / tau, 5) AS eff_u,
       round(1 / (1 + (tau - 1) / ((vm + mv) / vm)), 5) AS eff_y FROM st JOIN lim USING (chain, param) JOIN tau USING (chain, param)"""
@@ -392,7 +396,7 @@ _PRODUCT_SQL = f"""WITH {COND}, u AS (SELECT 'c1' AS chain, 'M:1->2' AS param, t
   grid AS (SELECT k, l, sum(p * q) AS s FROM d1 JOIN d2 USING (gen) GROUP BY 1, 2),
   cells AS (SELECT chain, param, row_number() OVER (ORDER BY (lo1 + (k + 0.5) * width1) * (lo2 + (l + 0.5) * width2), k, l) - 1 AS bin,
     (lo1 + (k + 0.5) * width1) * (lo2 + (l + 0.5) * width2) AS y, s * width1 * width2 / n AS pdf FROM grid, g),
-  {_interval_sql('cells')}, {acf_sql('u', 'stddev_pop')}, {tau_sql()}
+  {_interval_sql('cells')}, {acf_sql('u', 'stddev_pop', lags=120)}, {tau_sql()}
   SELECT chain, param, round(my / 4, 6) AS mean, round(sqrt(vy), 6) AS sd, round(mean2, 6) AS w_mean, round(sqrt(var2), 6) AS w_sd,
     round(et_lo, 6) AS et_lo, round(et_hi, 6) AS et_hi, round(hpd_lo, 6) AS hpd_lo, round(hpd_hi, 6) AS hpd_hi, round(vy / vmy, 5) AS c,
     round(vy / vmy / tau, 5) AS eff_u, round(1 / (1 + (tau - 1) / (vy / vmy)), 5) AS eff_y
