@@ -253,6 +253,11 @@ def tree_rows(gene_nodes: DataFrame, pmats: DataFrame) -> DataFrame:
     return rows.select(*key, cats.alias("cats"))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: lambdas do not share parts."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _message(p: Column, v: Column, n: int) -> Column:
     """P times the state vector; the last element (log scale) is carried on."""
     if n == 4:
@@ -265,27 +270,38 @@ def _message(p: Column, v: Column, n: int) -> Column:
     return F.concat(rows, F.array(F.get(v, F.lit(n))))
 
 
+def _multiply(x: Column, y: Column, n: int) -> Column:
+    """Product of two messages; their log scales add up."""
+    if n == 4:
+        return F.array(*[x[i] * y[i] for i in range(4)], x[4] + y[4])
+    return F.concat(
+        F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda a, b: a * b), F.array(F.get(x, F.lit(n)) + F.get(y, F.lit(n)))
+    )
+
+
+def _rescale(v: Column, n: int) -> Column:
+    """Divide by the largest state and add its log to the scale."""
+    top = F.greatest(*[v[i] for i in range(4)]) if n == 4 else F.array_max(F.slice(v, 1, n))
+
+    def divided(s):
+        if n == 4:
+            return F.array(*[v[i] / s for i in range(4)], v[4] + F.log(s))
+        return F.concat(F.transform(F.slice(v, 1, n), lambda x: x / s), F.array(F.get(v, F.lit(n)) + F.log(s)))
+
+    return bind(F.when(top > 0, top).otherwise(F.lit(1.0)), divided)
+
+
 def _prune(nodes: Column, tip_vector, n: int) -> Column:
     """Fold the nodes; the accumulator holds one message per node so far."""
     ones = F.array(*[F.lit(1.0)] * n, F.lit(0.0))
 
     def merge(acc, kids):
-        product = F.aggregate(
-            kids,
-            ones,
-            lambda v, k: F.zip_with(
-                F.zip_with(v, F.get(acc, k), lambda x, y: F.struct(x.alias("x"), y.alias("y"))),
-                F.sequence(F.lit(0), F.lit(n)),
-                lambda s, i: F.when(i < n, s["x"] * s["y"]).otherwise(s["x"] + s["y"]),
-            ),
-        )
-        top = F.array_max(F.slice(product, 1, n))
-        scale = F.when(top > 0, top).otherwise(1.0)
-        return F.transform(product, lambda x, i: F.when(i < n, x / scale).otherwise(x + F.log(scale)))
+        product = F.aggregate(kids, ones, lambda v, k: bind(F.get(acc, k), lambda m: _multiply(v, m, n)))
+        return bind(product, lambda v: _rescale(v, n))
 
     def step(acc, node):
         vector = F.when(node["seq_idx"].isNotNull(), tip_vector(node["seq_idx"])).otherwise(merge(acc, node["kids"]))
-        out = F.when(node["p"].isNull(), vector).otherwise(_message(node["p"], vector, n))
+        out = bind(vector, lambda v: F.when(node["p"].isNull(), v).otherwise(_message(node["p"], v, n)))
         return F.concat(acc, F.array(out))
 
     return F.aggregate(nodes, F.array().cast("array<array<double>>"), step)
@@ -301,14 +317,16 @@ def conditional_likelihoods(gene_nodes: DataFrame, patterns: DataFrame, pmats: D
     n = 4 if dtype == "DNA" else 20
     trees = tree_rows(gene_nodes, pmats)
     block = F.floor(F.col("pattern_id") / PATTERN_BLOCK)
-    cut = patterns.withColumn("_block", block)
+    # pruning costs far more than its bytes suggest: keep all cores busy
+    spark = patterns.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cut = patterns.withColumn("_block", block).repartition(width, "locus", "_block")
     blocks = cut.select("locus", "_block").distinct()
     rows = cut.join(trees.join(blocks, "locus"), ["locus", "_block"])
 
     def tip(seq_idx):
-        mask = states.code_mask(F.substring(F.col("column"), seq_idx + 1, F.lit(1)), dtype)
-        bits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.call_function("getbit", mask.cast("long"), i).cast("double"))
-        return F.concat(bits, F.array(F.lit(0.0)))
+        mask = states.code_mask(F.substring(F.col("column"), seq_idx + 1, F.lit(1)), dtype).cast("long")
+        return bind(mask, lambda m: F.array(*[F.call_function("getbit", m, F.lit(i)).cast("double") for i in range(n)], F.lit(0.0)))
 
     root = F.transform("cats", lambda nodes: F.element_at(_prune(nodes, tip, n), -1))
     return rows.select("gen", "locus", "pattern_id", "weight", root.alias("root"))

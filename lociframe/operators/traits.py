@@ -12,6 +12,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.operators.likelihood import bind
+
 #: shortest branch used by the discrete model
 BRANCH_FLOOR = 1e-8
 MISSING_STATES = 1023
@@ -142,12 +144,14 @@ def trait_mkv_log_likelihood(pops: DataFrame, traits: DataFrame, rates: DataFram
         # change and no-change probabilities of the Mk model
         v = F.greatest(node["v"], F.lit(BRANCH_FLOOR))
         change = (1 - F.exp(-v * k / (k - 1))) / k
-        stay = 1 - (k - 1) * change
+
+        def send(vec):
+            total = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x)
+            flow = lambda c: F.transform(vec, lambda x: c["change"] * c["total"] + (1 - k * c["change"]) * x)
+            return bind(F.struct(change.alias("change"), total.alias("total")), flow)
+
         # the root is last and its vector is needed without a branch
-        total = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x)
-        sent = F.transform(vector, lambda x: change * total + (stay - change) * x)
-        is_root = node["v"].isNull()
-        return F.concat(acc, F.array(F.when(is_root, vector).otherwise(sent)))
+        return F.concat(acc, F.array(bind(vector, lambda vec: F.when(node["v"].isNull(), vec).otherwise(send(vec)))))
 
     marked = rows.withColumn(
         "nodes",

@@ -257,7 +257,7 @@ def read_gene_trees(spark: SparkSession, paths: Paths, locus_pattern: str = r"L(
 
 def _numbered_locus_lines(spark: SparkSession, paths: Paths, locus_pattern: str) -> DataFrame:
     files = spark.read.text(paths, wholetext=True).select(
-        F.regexp_extract("_metadata.file_name", locus_pattern, 1).cast("long").alias("locus"), "value"
+        F.regexp_extract("_metadata.file_path", locus_pattern + r"[^/]*(?:/[^/]*)?$", 1).cast("long").alias("locus"), "value"
     )
     return files.select("locus", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).filter("line <> ''")
 

@@ -54,8 +54,8 @@ def expand_counts(newick_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return topologies, found
 
 
-def stream_topology_posterior(trees: DataFrame, checkpoint: str, sink: str) -> StreamingQuery:
-    """Keep topology counts up to date under ``sink``/current.
+def stream_topology_posterior(trees: DataFrame, checkpoint: str, sink: str, available_now: bool = False) -> StreamingQuery:
+    """Keep topology counts up to date in ``sink``, one folder per batch.
 
     The streaming state holds one count per tree text; after each batch the few
     texts are rewritten as canonical topologies.
@@ -64,13 +64,15 @@ def stream_topology_posterior(trees: DataFrame, checkpoint: str, sink: str) -> S
     def publish(counts: DataFrame, batch_id: int) -> None:
         expand_counts(counts)[0].write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    return (
+    writer = (
         stream_newick_counts(trees)
         .writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(publish)
-        .start()
     )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
 
 
 def stream_resume(trace: DataFrame, checkpoint: str, sink: str, available_now: bool = True) -> StreamingQuery:
