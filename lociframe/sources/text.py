@@ -1,8 +1,9 @@
 """Readers for the text formats of alignments, samples and side tables.
 
-Formats of one record per line are read as lines.  Multi-line formats
-(alignments, traits) are read one file per row, so a corpus parallelises over
-its files.
+Every format is read as lines, so files are split like any text input.  Where
+the position of a line matters (headers, iterations, loci) lines are numbered
+per file split and the splits' counts are accumulated; no file has to pass
+through one task.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociframe.functions.blocks import attach_group_row
+from lociframe.functions.blocks import attach_group_row, running_totals
 
 Paths = str | list[str]
 
@@ -28,8 +29,22 @@ def _checked(value: Column, ok: Column, message: str, line: Column) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit(f"{message}: "), line)).cast("string"))
 
 
-def _file_stem(column: str = "file") -> Column:
-    return F.regexp_extract(column, r"([^/]+?)(\.[^./]*)?$", 1)
+def _numbered_lines(spark: SparkSession, paths: Paths, **counters: Column) -> DataFrame:
+    """(file, line_no, line) with 0-based line numbers, and running counters.
+
+    A counter is the number of lines of the file, up to and with this one, for
+    which the given flag over ``line`` holds.  Ids only order the lines of one
+    split, where they follow the text.
+    """
+    rows = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+        F.regexp_replace("value", r"\r$", "").alias("line"),
+    )
+    totals = {"line_no": F.lit(1), **{name: flag.cast("long") for name, flag in counters.items()}}
+    numbered = running_totals(rows, ["file"], ["_id"], F.col("_start"), totals)
+    return numbered.withColumn("line_no", F.col("line_no") - 1).drop("_start", "_id")
 
 
 def read_alignments(spark: SparkSession, paths: Paths, max_loci: int | None = None, interleaved: bool = False) -> DataFrame:
@@ -42,14 +57,10 @@ def read_alignments(spark: SparkSession, paths: Paths, max_loci: int | None = No
     repeats its sequences in order, block by block.  Text after a complete last
     locus is ignored.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).filter(
-        ~F.col("line").rlike(r"^\s*([*#].*)?$")
-    )
     head = r"^\s*(\d+)\s+(\d+)\s*[A-Za-z]?\s*$"
-    in_file = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.withColumn("header", F.col("line").rlike(head))
-    marked = marked.withColumn("locus", F.sum(F.col("header").cast("long")).over(in_file))
+    is_head = F.col("line").rlike(head)
+    lines = _numbered_lines(spark, paths, locus=is_head).filter(~F.col("line").rlike(r"^\s*([*#].*)?$"))
+    marked = lines.withColumn("header", is_head)
     if max_loci is not None:
         marked = marked.filter(F.col("locus") <= max_loci)
     early = F.raise_error(F.concat(F.lit("text before the first header: "), F.col("line"))).cast("string")
@@ -159,12 +170,6 @@ def repair_trace_rows(lines: DataFrame, fixed: int | None = None) -> tuple[DataF
     return good.select("chain", "line_no", "header", "fields"), checked
 
 
-def _numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(chain, line_no, line): lines numbered from the header within each file."""
-    files = spark.read.text(paths, wholetext=True).select(_file_stem("_metadata.file_path").alias("chain"), "value")
-    return files.select("chain", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-
-
 def _long(good: DataFrame) -> DataFrame:
     cells = F.explode(
         F.transform(
@@ -180,9 +185,9 @@ def _long(good: DataFrame) -> DataFrame:
 def read_trace(spark: SparkSession, paths: Paths, repair: bool = True) -> DataFrame:
     """(chain, gen, param, value) of tab-separated logs with a ``Gen`` header.
 
-    One file is one chain.  Columns may differ between files.
+    One file is one chain, named by its path.  Columns may differ between files.
     """
-    lines = _numbered_lines(spark, paths)
+    lines = _numbered_lines(spark, paths).withColumnRenamed("file", "chain")
     good = repair_trace_rows(lines)[0] if repair else split_trace_lines(lines)
     return _long(good).withColumn("value", F.expr("try_cast(nullif(text, '-') as double)")).drop("text")
 
@@ -194,13 +199,13 @@ def read_wide_trace(spark: SparkSession, paths: Paths, columns: list[str]) -> Da
     """
     schema = ", ".join(["Gen long", *[f"`{c}` double" for c in columns]])
     wide = spark.read.schema(schema).csv(paths, sep="\t", header=True, nullValue="-")
-    wide = wide.withColumn("chain", _file_stem("_metadata.file_path"))
+    wide = wide.withColumn("chain", F.col("_metadata.file_path"))
     return wide.unpivot(["chain", "Gen"], columns, "param", "value").withColumnRenamed("Gen", "gen")
 
 
 def read_active_rates(spark: SparkSession, paths: Paths) -> DataFrame:
     """(chain, gen, pair, rate) from the ragged ``W_a->b=v`` tokens of a log."""
-    rows = spark.read.text(paths).select(_file_stem("_metadata.file_path").alias("chain"), "value").filter(~F.col("value").startswith("Gen"))
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("chain"), "value").filter(~F.col("value").startswith("Gen"))
     tokens = F.expr(r"regexp_extract_all(value, r'W_[^\s=]+=[^\s]+', 0)")
     return rows.select(
         "chain", F.regexp_extract("value", r"^\s*(\d+)", 1).cast("long").alias("gen"), F.explode_outer(tokens).alias("t")
@@ -224,7 +229,7 @@ def read_conditionals(spark: SparkSession, paths: Paths) -> DataFrame:
 
 def read_tree_sample(spark: SparkSession, paths: Paths) -> DataFrame:
     """(chain, gen, newick, n_species): one tree per line, in file order."""
-    lines = _numbered_lines(spark, paths).filter(F.col("line").contains("("))
+    lines = _numbered_lines(spark, paths).withColumnRenamed("file", "chain").filter(F.col("line").contains("("))
     pattern = r"^\s*(.*;)\s*(\d+)?\s*$"
     return lines.select(
         "chain",
@@ -236,7 +241,7 @@ def read_tree_sample(spark: SparkSession, paths: Paths) -> DataFrame:
 
 def read_delim_sample(spark: SparkSession, paths: Paths) -> DataFrame:
     """(chain, gen, np, model): the first three fields of every sample."""
-    rows = spark.read.text(paths).select(_file_stem("_metadata.file_path").alias("chain"), F.split(F.trim("value"), r"\s+").alias("f"))
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("chain"), F.split(F.trim("value"), r"\s+").alias("f"))
     return rows.filter(F.col("f")[0].rlike(r"^\d+$")).select(
         "chain", F.col("f")[0].cast("long").alias("gen"), F.col("f")[1].cast("int").alias("np"), F.col("f")[2].alias("model")
     )
@@ -256,10 +261,8 @@ def read_gene_trees(spark: SparkSession, paths: Paths, locus_pattern: str = r"L(
 
 
 def _numbered_locus_lines(spark: SparkSession, paths: Paths, locus_pattern: str) -> DataFrame:
-    files = spark.read.text(paths, wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", locus_pattern + r"[^/]*(?:/[^/]*)?$", 1).cast("long").alias("locus"), "value"
-    )
-    return files.select("locus", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).filter("line <> ''")
+    locus = F.regexp_extract("file", locus_pattern + r"[^/]*(?:/[^/]*)?$", 1).cast("long")
+    return _numbered_lines(spark, paths).filter("line <> ''").select(locus.alias("locus"), "line_no", "line")
 
 
 def read_migration_history(spark: SparkSession, paths: Paths, locus_pattern: str = r"L(\d+)") -> DataFrame:
@@ -337,22 +340,15 @@ def read_traits(spark: SparkSession, paths: Paths) -> DataFrame:
     or D (discrete), followed by one line per species.  Discrete values are
     digits, ``{..}`` / ``(..)`` sets, or ``?`` / ``-`` for unknown.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).filter(
-        ~F.col("line").rlike(r"^\s*(#.*)?$")
-    )
     head = r"^\s*(\d+)\s+(\d+)\s+([CcDd])\w*(?:\s+(\S+)\s+(\S+))?\s*$"
     is_head = F.col("line").rlike(head)
-    in_file = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.withColumn("partition", F.sum(is_head.cast("int")).over(in_file)).withColumn("head", is_head)
-    part = lambda i: F.max(F.when(F.col("head"), F.regexp_extract("line", head, i))).over(Window.partitionBy("file", "partition"))
-    rows = (
-        marked.withColumn("dtype", F.upper(part(3)))
-        .withColumn("v_pop", part(4).try_cast("double"))
-        .withColumn("ldet", part(5).try_cast("double"))
-        .withColumn("columns", part(2).cast("int"))
-        .filter("not head")
-    )
+    lines = _numbered_lines(spark, paths, partition=is_head).filter(~F.col("line").rlike(r"^\s*(#.*)?$"))
+    field = lambda i: F.regexp_extract("line", head, i)
+    heads = lines.filter(is_head).select(
+        "file", "partition", F.upper(field(3)).alias("dtype"), field(2).cast("int").alias("columns"),
+        field(4).try_cast("double").alias("v_pop"), field(5).try_cast("double").alias("ldet"),
+    )
+    rows = attach_group_row(lines.filter(~is_head), heads, ["file", "partition"], ["line_no"])
     text = F.trim(F.regexp_replace("line", r"^\s*\S+", ""))
     tokens = F.when(F.col("dtype") == "C", F.split(text, r"\s+")).otherwise(
         F.expr(r"regexp_extract_all(regexp_replace(line, '^\\s*\\S+', ''), r'[{(][^)}]*[)}]|[0-9?-]', 0)")
