@@ -248,7 +248,7 @@ def conditional_to_marginal_product(
     intervals = grid_intervals(cells, keys, bins * bins, tail)
     tau = ess(u.select(*keys, "gen", "value"), population_sd=True).select(*keys, "tau")
     variance = (F.col("meany2") - F.col("meany") * F.col("meany")) / 16
-    c = variance / (F.col("vmy") / 16)
+    c = F.when(F.sqrt("vmy") < 1e-10, F.lit(float("inf"))).otherwise(variance / (F.col("vmy") / 16))
     names = cond_w.select("chain", F.col("param").alias("w")).distinct().join(pairs, "w").select(*keys)
     out = stats.join(intervals, keys).join(tau, keys, "left").select(
         *keys,

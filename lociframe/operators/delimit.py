@@ -13,6 +13,7 @@ from lociframe.operators.trees import (
     strip_tree_attributes,
     with_taxa,
 )
+from lociframe.session import cut_lineage
 
 #: added to tip branches when every putative species is kept apart
 TIP_GUARD = 0.1
@@ -59,7 +60,8 @@ def delimited_models(collapsed: DataFrame) -> DataFrame:
     and collapsed nodes are counted first and rebuilt once.
     """
     keys = ["newick", "zeros"]
-    counted = collapsed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # few rows that several branches below share; parsing all trees again would not be free
+    counted = cut_lineage(collapsed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
     nodes = with_taxa(newick_nodes(counted, keys), keys)
     nodes = nodes.withColumn("zero", F.col("is_tip") | F.array_contains("zeros", F.col("node_id")))
     parent = nodes.select(*keys, F.col("node_id").alias("parent_id"), F.col("zero").alias("parent_zero"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import states
 from lociframe.functions.mathfns import drop_lowest_bit, lowest_bit
+from lociframe.session import cut_lineage
 
 HET = "[3569ac]"
 THREE_STATES = "[7bde]"
@@ -61,7 +62,7 @@ def diploid_phase_fix(patterns: DataFrame, diploid: DataFrame) -> DataFrame:
     singleton sites, as many as there are sequences plus one, so only those
     sites enter the group: its size depends on the sequences, not on the sites.
     """
-    single = het_states(patterns, diploid).filter("weight = 1").drop("weight")
+    single = cut_lineage(het_states(patterns, diploid).filter("weight = 1").drop("weight"))  # read five times below
     per_site = single.groupBy("locus", "pattern_id").agg(F.count(F.lit(1)).alias("site_hets"))
     per_seq = single.groupBy("locus", "seq_idx").agg(F.count(F.lit(1)).alias("seq_singletons"))
     n_seq = diploid.groupBy("locus").agg((F.count(F.lit(1)) + 1).alias("keep"))

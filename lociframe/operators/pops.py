@@ -14,6 +14,7 @@ def ancestor_closure(pops: DataFrame, keys: list[str]) -> DataFrame:
     Path doubling: after k rounds all pairs up to 2**k edges apart are known,
     so a tree of height h takes log2(h) joins.
     """
+    pops = cut_lineage(pops.select(*keys, "node_id", "parent_id"))
     edges = pops.filter("parent_id is not null").select(*keys, F.col("node_id").alias("at"), F.col("parent_id").alias("to"))
     pairs = pops.select(*keys, "node_id", F.col("node_id").alias("anc_id"), F.lit(0).alias("dist"))
     jump, length = cut_lineage(edges), 1

@@ -165,7 +165,7 @@ def autocorrelation(trace: DataFrame, max_lag: int = MAX_LAG, keys: list[str] =
     return (
         sums.join(moments, keys)
         .filter(F.col("lag") < F.least(F.lit(max_lag), F.col("n") - MIN_PAIRS))
-        .select(*keys, "lag", (F.col("s") / (F.col("n") - F.col("lag")) / (F.col("sd") * F.col("sd"))).alias("rho"))
+        .select(*keys, "lag", (F.col("s") / (F.col("n") - F.col("lag")) / F.nullif(F.col("sd") * F.col("sd"), F.lit(0.0))).alias("rho"))
     )
 
 
