@@ -291,6 +291,25 @@ def _rescale(v: Column, n: int) -> Column:
     return bind(F.when(top > 0, top).otherwise(F.lit(1.0)), divided)
 
 
+def _tip_messages(nodes: Column) -> Column:
+    """Give every tip of a DNA tree its message for each of the 16 state sets.
+
+    A tree meets many patterns; its tips' messages are then only looked up.
+    """
+
+    def message(p, mask):
+        bits = F.array(*[F.call_function("getbit", mask, F.lit(i)).cast("double") for i in range(4)], F.lit(0.0))
+        return bind(bits, lambda v: F.when(p.isNull(), v).otherwise(_message(p, v, 4)))
+
+    def with_table(x):
+        table = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")), lambda m: message(x["p"], m))
+        tips = F.when(x["seq_idx"].isNotNull(), table)
+        inner_p = F.when(x["seq_idx"].isNull(), x["p"])
+        return F.struct(x["seq_idx"].alias("seq_idx"), x["kids"].alias("kids"), inner_p.alias("p"), tips.alias("tips"))
+
+    return F.transform(nodes, with_table)
+
+
 def _prune(nodes: Column, tip_vector, n: int) -> Column:
     """Fold the nodes; the accumulator holds one message per node so far."""
     ones = F.array(*[F.lit(1.0)] * n, F.lit(0.0))
@@ -300,8 +319,9 @@ def _prune(nodes: Column, tip_vector, n: int) -> Column:
         return bind(product, lambda v: _rescale(v, n))
 
     def step(acc, node):
-        vector = F.when(node["seq_idx"].isNotNull(), tip_vector(node["seq_idx"])).otherwise(merge(acc, node["kids"]))
-        out = bind(vector, lambda v: F.when(node["p"].isNull(), v).otherwise(_message(node["p"], v, n)))
+        sent = lambda v: F.when(node["p"].isNull(), v).otherwise(_message(node["p"], v, n))
+        at_tip = tip_vector(node) if n == 4 else bind(tip_vector(node), sent)
+        out = F.when(node["seq_idx"].isNotNull(), at_tip).otherwise(bind(merge(acc, node["kids"]), sent))
         return F.concat(acc, F.array(out))
 
     return F.aggregate(nodes, F.array().cast("array<array<double>>"), step)
@@ -316,6 +336,9 @@ def conditional_likelihoods(gene_nodes: DataFrame, patterns: DataFrame, pmats: D
     """
     n = 4 if dtype == "DNA" else 20
     trees = tree_rows(gene_nodes, pmats)
+    if n == 4:
+        # computed before the join, once per tree
+        trees = trees.select("gen", "locus", F.transform("cats", _tip_messages).alias("cats"))
     block = F.floor(F.col("pattern_id") / PATTERN_BLOCK)
     # pruning costs far more than its bytes suggest: keep all cores busy
     spark = patterns.sparkSession
@@ -324,9 +347,14 @@ def conditional_likelihoods(gene_nodes: DataFrame, patterns: DataFrame, pmats: D
     blocks = cut.select("locus", "_block").distinct()
     rows = cut.join(trees.join(blocks, "locus"), ["locus", "_block"])
 
-    def tip(seq_idx):
-        mask = states.code_mask(F.substring(F.col("column"), seq_idx + 1, F.lit(1)), dtype).cast("long")
-        return bind(mask, lambda m: F.array(*[F.call_function("getbit", m, F.lit(i)).cast("double") for i in range(n)], F.lit(0.0)))
+    def tip(node):
+        mask = states.code_mask(F.substring(F.col("column"), node["seq_idx"] + 1, F.lit(1)), dtype)
+        if n == 4:
+            return F.get(node["tips"], mask)
+        return bind(
+            mask.cast("long"),
+            lambda m: F.array(*[F.call_function("getbit", m, F.lit(i)).cast("double") for i in range(n)], F.lit(0.0)),
+        )
 
     root = F.transform("cats", lambda nodes: F.element_at(_prune(nodes, tip, n), -1))
     return rows.select("gen", "locus", "pattern_id", "weight", root.alias("root"))

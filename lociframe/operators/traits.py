@@ -137,7 +137,7 @@ def trait_mkv_log_likelihood(pops: DataFrame, traits: DataFrame, rates: DataFram
     every = F.sequence(F.lit(0), F.col("k") - 1)
 
     def step(acc, node):
-        tip_mask = F.element_at("masks", node["label"])
+        tip_mask = F.coalesce(F.element_at("masks", node["label"]), F.lit(MISSING_STATES))  # unlisted: unknown
         tip = F.transform(every, lambda i: F.call_function("getbit", tip_mask.cast("long"), i).cast("double"))
         both = F.zip_with(F.get(acc, node["kids"][0]), F.get(acc, node["kids"][1]), lambda x, y: x * y)
         vector = F.when(node["inner"], both).otherwise(tip)

@@ -595,7 +595,7 @@ def _mkv_sql() -> str:
         return f"list_transform({vec}, lambda q: {ch} * list_sum({vec}) + (1 - k * {ch}) * q)"
 
     def tip(state, t):
-        return send(f"list_transform(range(k), lambda j: CASE WHEN j = {state} THEN 1.0::DOUBLE ELSE 0.0 END)", t)
+        return send(f"list_transform(range(k), lambda j: CASE WHEN {state} IS NULL OR j = {state} THEN 1.0::DOUBLE ELSE 0.0 END)", t)
 
     mul = lambda x, y: f"list_transform(list_zip({x}, {y}), lambda e: e[1] * e[2])"
     return f"""WITH st AS (SELECT c_custkey // 4 AS c, max(c_nationkey % 3) FILTER (c_custkey % 4 = 2) AS s2, max(c_nationkey // 7 % 4) FILTER (c_custkey % 4 = 3) AS s3 FROM customer GROUP BY 1),
