@@ -190,20 +190,25 @@ def patterns_long(patterns: DataFrame, dtype: str = "DNA") -> DataFrame:
     return chars.select("locus", "pattern_id", "weight", "seq_idx", states.code_mask(F.col("c"), dtype).alias("mask"))
 
 
-def base_frequencies(patterns: DataFrame) -> DataFrame:
-    """Weighted state shares per locus; an ambiguous code counts for each state.
-
-    Characters of one pattern are counted inside the row, so the aggregation
-    sees one row per pattern.
-    """
+def _state_sums() -> dict[str, Column]:
+    """Weighted characters that admit A, C, G and T, counted inside each row."""
     sums = {}
-    for i, name in enumerate("ACGT"):
+    for i, name in enumerate("acgt"):
         holders = "".join(d for d in "0123456789abcdef" if int(d, 16) >> i & 1)
         hits = F.length("column") - F.length(F.regexp_replace("column", f"[{holders}]", ""))
-        sums[name] = F.sum(hits * F.col("weight"))
-    totals = patterns.groupBy("locus").agg(*[e.alias(n) for n, e in sums.items()])
-    whole = sum(F.col(n) for n in sums)
-    return totals.select("locus", *[(F.col(n) / whole).alias(f"pi_{n.lower()}") for n in sums])
+        sums[f"n_{name}"] = F.sum(hits * F.col("weight"))
+    return sums
+
+
+def _shares() -> list[Column]:
+    whole = F.col("n_a") + F.col("n_c") + F.col("n_g") + F.col("n_t")
+    return [(F.col(f"n_{b}") / whole).alias(f"pi_{b}") for b in "acgt"]
+
+
+def base_frequencies(patterns: DataFrame) -> DataFrame:
+    """Weighted state shares per locus; an ambiguous code counts for each state."""
+    totals = patterns.groupBy("locus").agg(*[e.alias(n) for n, e in _state_sums().items()])
+    return totals.select("locus", *_shares())
 
 
 def amino_acid_frequencies(patterns: DataFrame) -> DataFrame:
@@ -233,8 +238,9 @@ def alignment_summary(patterns: DataFrame, models: DataFrame, equal_models: tupl
         F.sum("weight").alias("n_sites"),
         F.coalesce(F.sum(F.when(ambiguous, F.col("weight"))), F.lit(0)).alias("n_ambiguous"),
         F.count(F.lit(1)).alias("n_patterns"),
+        *[e.alias(n) for n, e in _state_sums().items()],
     )
-    joined = size.join(base_frequencies(patterns), "locus").join(models, "locus")
+    joined = size.select("*", *_shares()).join(models, "locus")
     equal = F.col("model").isin(*equal_models)
     pis = [F.when(equal, F.lit(0.25)).otherwise(F.col(f"pi_{b}")).alias(f"pi_{b}") for b in "acgt"]
     return joined.select("locus", "model", "n_sequences", "n_sites", "n_ambiguous", "n_patterns", *pis)

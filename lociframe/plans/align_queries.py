@@ -8,6 +8,7 @@ from lociframe.functions import states
 from lociframe.operators import align as L
 from lociframe.operators import phase as P
 from lociframe.plans.registry import query, r
+from lociframe.session import cut_lineage
 from lociframe.sources import adapters as A
 from lociframe.sources import sinks as S
 
@@ -337,7 +338,7 @@ def _no_fixes(spark):
 @query("diploid_phased_patterns")
 def diploid_phased_patterns(spark, sf):
     """Fix, expand and recompress; the greedy fixes have no SQL form."""
-    pats, dips = patterns(spark, sf), _diploids(spark, sf)
+    pats, dips = cut_lineage(patterns(spark, sf)), _diploids(spark, sf)
     expanded = P.diploid_expand(pats, dips, P.diploid_phase_fix(pats, dips))
     return P.phase_patterns(expanded).select("locus", F.col("column").alias("code"), "pattern_id", "n_columns")
 

@@ -13,6 +13,7 @@ from lociframe.operators import traits as X
 from lociframe.operators import trees as T
 from lociframe.plans.align_queries import CHARS, patterns
 from lociframe.plans.registry import query, r
+from lociframe.session import cut_lineage
 from lociframe.sources import adapters as A
 
 #: species tree ((A,R)S,N)Z: node, parent, start, theta, linked master
@@ -487,7 +488,7 @@ def _root(spark, sf, pats=None):
     nodes = _locus_trees(spark, sf)
     branches = G.branches(nodes).select("gen", "locus", "node_id", (F.col("parent_time") - F.col("time")).alias("t"), F.lit("JC69").alias("model"))
     pmats = K.transition_probs(branches).select("gen", "locus", "node_id", F.lit(0).alias("cat"), "p")
-    return K.conditional_likelihoods(nodes, patterns(spark, sf) if pats is None else pats, pmats)
+    return K.conditional_likelihoods(nodes, cut_lineage(patterns(spark, sf)) if pats is None else pats, pmats)
 
 
 def _equal(spark, sf):
@@ -524,6 +525,7 @@ def diploid_log_likelihood(spark, sf):
     docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("locus"))
     # sequences 0 and 1 become four tips, the tree's tips
     pairs = pats.withColumn("column", F.substring("column", 1, 2)).groupBy("locus", "column").agg(F.min("pattern_id").alias("pattern_id"), F.sum("weight").alias("weight"))
+    pairs = cut_lineage(pairs)
     dips = docs.withColumn("seq_idx", F.explode(F.array(F.lit(0), F.lit(1))))
     expanded = P.diploid_expand(pairs, dips, P.diploid_phase_fix(pairs, dips))
     phased = P.phase_patterns(expanded)
