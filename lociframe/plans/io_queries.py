@@ -61,13 +61,11 @@ def read_dates(spark, sf):
 
 
 def _wide_file(trace, params, spark, name):
-    """One tab-separated log per chain; samples missing a parameter show ``-``."""
+    """Tab-separated logs with a ``Gen`` header; absent values show ``-``."""
     wide = trace.groupBy("chain", "gen").pivot("param", params).agg(F.first("value"))
-    rows = wide.select("chain", "gen", F.concat_ws("\t", F.col("gen"), *[F.coalesce(F.col(f"`{p}`").cast("string"), F.lit("-")) for p in params]).alias("row"))
-    packed = rows.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("gen", "row"))).alias("s"))
-    header = "\t".join(["Gen", *params])
     path = scratch(spark, name) + "/t"
-    packed.select(F.concat(F.lit(header + "\n"), F.array_join(F.transform("s", lambda x: x["row"]), "\n")).alias("value")).write.text(path)
+    ordered = wide.repartitionByRange("chain", "gen").sortWithinPartitions("chain", "gen")
+    ordered.select(F.col("gen").alias("Gen"), *[f"`{p}`" for p in params]).write.csv(path, sep="\t", header=True, nullValue="-")
     return path
 
 
@@ -124,12 +122,14 @@ def read_delim_sample(spark, sf):
 
 
 def _per_locus(df, header, spark, name):
-    """One file per locus (column ``locus``) with rows ``line`` ordered by ``gen``."""
-    packed = df.groupBy("locus").agg(F.array_sort(F.collect_list(F.struct("gen", "line"))).alias("s"))
-    body = F.array_join(F.transform("s", lambda x: x["line"]), "\n")
+    """One file per locus with the rows ``line`` in the order of ``gen``."""
+    rows = df.select("locus", F.col("gen").cast("long").alias("gen"), "line")
+    if header:
+        top = df.select("locus").distinct().select("locus", F.lit(-1).cast("long").alias("gen"), F.lit(header).alias("line"))
+        rows = rows.unionByName(top)
     path = scratch(spark, name) + "/t"
-    value = F.concat(F.lit(header + "\n"), body) if header else body
-    packed.select(F.concat(F.lit("L"), "locus").alias("file"), value.alias("value")).write.partitionBy("file").text(path)
+    placed = rows.withColumn("file", F.concat(F.lit("L"), "locus")).repartition("file").sortWithinPartitions("file", "gen")
+    placed.select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
     return path
 
 

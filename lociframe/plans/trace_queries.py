@@ -9,8 +9,20 @@ from lociframe.operators import conditionals as C
 from lociframe.operators import label_switch as S
 from lociframe.operators import trace as T
 from lociframe.plans.registry import query, r
+from lociframe.session import cut_lineage
 from lociframe.sources import adapters as A
 
+
+
+def _stored_trace(spark, sf):
+    """The derived trace written once, as a log on disk would be."""
+    return cut_lineage(A.trace(spark, sf))
+
+
+def _stored_conditionals(spark, sf):
+    return cut_lineage(A.conditionals(spark, sf))
+
+
 TRACE = """trace AS (
   SELECT 'c1' AS chain, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gen, event_type AS param, value
   FROM events)"""
@@ -78,22 +90,22 @@ def trace_moments(spark, sf):
 
 @query("trace_quantiles", f"WITH {SORTED} {QUANTILES}")
 def trace_quantiles(spark, sf):
-    return T.trace_quantiles(A.trace(spark, sf)).select("chain", "param", r("median"), "q025", "q975")
+    return T.trace_quantiles(_stored_trace(spark, sf)).select("chain", "param", r("median"), "q025", "q975")
 
 
 @query("hpd_interval", f"WITH {SORTED} {HPD}")
 def hpd_interval(spark, sf):
-    return T.hpd_interval(A.trace(spark, sf))
+    return T.hpd_interval(_stored_trace(spark, sf))
 
 
 @query("autocorrelation", f"WITH {TRACE}, {acf_sql('trace')} SELECT chain, param, lag, round(rho, 6) AS rho FROM acf")
 def autocorrelation(spark, sf):
-    return T.autocorrelation(A.trace(spark, sf)).select("chain", "param", "lag", r("rho"))
+    return T.autocorrelation(_stored_trace(spark, sf)).select("chain", "param", "lag", r("rho"))
 
 
 @query("ess", f"WITH {TRACE}, {acf_sql('trace')}, {tau_sql()} {ESS}")
 def ess(spark, sf):
-    return _ess(T.ess(A.trace(spark, sf)))
+    return _ess(T.ess(_stored_trace(spark, sf)))
 
 
 @query(
@@ -104,7 +116,7 @@ def ess(spark, sf):
 )
 def trace_summary(spark, sf):
     digits = {"mean": 6, "median": 6, "sd": 6, "ess": 3, "eff": 4, "rho1": 6}
-    out = T.trace_summary(A.trace(spark, sf))
+    out = T.trace_summary(_stored_trace(spark, sf))
     return out.select(*[r(c, digits[c]) if c in digits else c for c in out.columns])
 
 
@@ -241,7 +253,7 @@ def scaled_tau(spark, sf):
 def node_annotation(spark, sf):
     names = {"signup": "theta:1", "purchase": "theta:3", "view": "theta:5", "error": "tau:3", "click": "tau:5"}
     mapping = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    trace = A.trace(spark, sf).withColumn("param", mapping[F.col("param")])
+    trace = _stored_trace(spark, sf).withColumn("param", mapping[F.col("param")])
     pops = spark.createDataFrame(
         [(1, 3, "A", None), (2, 3, "B", 1), (3, 5, "AB", None), (4, 5, "C", None), (5, None, "ABC", None)],
         "node_id int, parent_id int, label string, linked_to int",
@@ -371,17 +383,17 @@ def _marginal(df):
 
 @query("conditional_to_marginal", GAMMA_SQL)
 def conditional_to_marginal(spark, sf):
-    return _marginal(C.conditional_to_marginal(A.conditionals(spark, sf), "gamma"))
+    return _marginal(C.conditional_to_marginal(_stored_conditionals(spark, sf), "gamma"))
 
 
 @query("conditional_to_marginal_invgamma", INVGAMMA_SQL)
 def conditional_to_marginal_invgamma(spark, sf):
-    return _marginal(C.conditional_to_marginal(A.conditionals(spark, sf), "invgamma"))
+    return _marginal(C.conditional_to_marginal(_stored_conditionals(spark, sf), "invgamma"))
 
 
 @query("conditional_to_marginal_beta", BETA_SQL)
 def conditional_to_marginal_beta(spark, sf):
-    return _marginal(C.conditional_to_marginal(A.conditionals(spark, sf), "beta"))
+    return _marginal(C.conditional_to_marginal(_stored_conditionals(spark, sf), "beta"))
 
 
 _PRODUCT_SQL = f"""WITH {COND}, u AS (SELECT 'c1' AS chain, 'M:1->2' AS param, t.gen, t.a1 AS a, t.b1 AS b, w.a1 AS aw, w.b1 AS bw,
@@ -405,7 +417,7 @@ _PRODUCT_SQL = f"""WITH {COND}, u AS (SELECT 'c1' AS chain, 'M:1->2' AS param, t
 
 @query("conditional_to_marginal_product", _PRODUCT_SQL)
 def conditional_to_marginal_product(spark, sf):
-    cond = A.conditionals(spark, sf)
+    cond = _stored_conditionals(spark, sf)
     theta, w = cond.filter("param = 'A'"), cond.filter("param = 'N'")
     pairs = spark.createDataFrame([("M:1->2", "A", "N")], "param string, theta string, w string")
     return _marginal(C.conditional_to_marginal_product(theta, w, pairs, "gamma"))
