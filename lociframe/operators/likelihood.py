@@ -345,7 +345,8 @@ def conditional_likelihoods(gene_nodes: DataFrame, patterns: DataFrame, pmats: D
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     cut = patterns.withColumn("_block", block).repartition(width, "locus", "_block")
     blocks = cut.select("locus", "_block").distinct()
-    rows = cut.join(trees.join(blocks, "locus"), ["locus", "_block"])
+    # a merge join keeps that partitioning; broadcasting either side would not
+    rows = cut.join(trees.join(blocks, "locus").hint("merge"), ["locus", "_block"])
 
     def tip(node):
         mask = states.code_mask(F.substring(F.col("column"), node["seq_idx"] + 1, F.lit(1)), dtype)
