@@ -164,16 +164,18 @@ def string_costs(counts: DataFrame, depth: int, rows_a_group: int = 50_000) -> D
         before = np.repeat(codes >> (8 * depth), 8)
         one = upper.value[0][before, levels.prefix] + upper.value[1][before, levels.prefix] * levels.predict(depth, 2)
         chosen = np.where(levels.bit == 1, one, 1.0 - one)
-        return pd.DataFrame({"code": codes, "cost": np.log10(chosen).reshape(-1, 8).sum(axis=1)})
+        return pd.DataFrame({"code": codes, "n": rows["n"].to_numpy(), "cost": np.log10(chosen).reshape(-1, 8).sum(axis=1)})
 
-    return grouped.groupBy("part").applyInPandas(down, "code long, cost double")
+    return grouped.groupBy("part").applyInPandas(down, "code long, n long, cost double")
 
 
 class Costs:
     """Code -> cost: a table with one place a code; the few codes whose place is taken are found by bisection."""
 
-    def __init__(self, codes: np.ndarray, costs: np.ndarray) -> None:
-        self.bits = max(4, int(2 * len(codes)).bit_length() + 1)
+    def __init__(self, codes: np.ndarray, costs: np.ndarray, counts: np.ndarray) -> None:
+        frequent = np.argsort(-counts, kind="stable")  # they get their places first
+        codes, costs = codes[frequent], costs[frequent]
+        self.bits = max(4, int(2 * len(codes)).bit_length())
         place = self.place(codes)
         _, kept = np.unique(place, return_index=True)
         self.code = np.full(1 << self.bits, -1, np.int64)
@@ -250,7 +252,7 @@ def count_words(df: DataFrame) -> DataFrame:
     return stored(found.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def score(df: DataFrame, held_out, depth: int = 4, broadcast_strings: int = BROADCAST_STRINGS) -> DataFrame:
+def score(df: DataFrame, held_out, depth: int = 5, broadcast_strings: int = BROADCAST_STRINGS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``df`` (doc_id, text).
 
     ``held_out`` is the condition of the rows that nothing is learned from.  A text is its words in lower case (A-Z),
@@ -268,7 +270,7 @@ def score(df: DataFrame, held_out, depth: int = 4, broadcast_strings: int = BROA
     costs = stored(string_costs(count_strings(rows, depth), depth), "costs")
     small = costs.count() <= broadcast_strings
     table = costs.toPandas() if small else None
-    shared = spark.sparkContext.broadcast((hot, Costs(table["code"].to_numpy(), table["cost"].to_numpy()) if small else None))
+    shared = spark.sparkContext.broadcast((hot, Costs(*(table[c].to_numpy() for c in ("code", "cost", "n"))) if small else None))
     spread = total + 0.5 * (known + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +332,7 @@ def score(df: DataFrame, held_out, depth: int = 4, broadcast_strings: int = BROA
     )
     out = scored.drop("rest", "strings").join(rare, "row", "left")
     if not small:
-        joined = scored.select("row", F.explode("strings").alias("s")).select("row", "s.code", "s.n").join(costs, "code")
+        joined = scored.select("row", F.explode("strings").alias("s")).select("row", "s.code", "s.n").join(costs.drop("n"), "code")
         out = out.drop("score").join(joined.groupBy("row").agg(F.sum(F.col("n") * F.col("cost")).alias("score")), "row")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"),

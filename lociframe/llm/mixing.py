@@ -53,7 +53,7 @@ def offset(source: Column) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 6), 16, 10).cast("long")
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, rows_a_task: int = 50_000) -> DataFrame:
+def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, rows_a_task: int = 2_000) -> DataFrame:
     """Copies of each document of ``df`` (doc_id, source, text): doc_id, source, text_key, size, source_size, target,
     copies.
 

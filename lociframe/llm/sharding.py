@@ -13,7 +13,7 @@ from .common import stored
 #: shards * BUNDLES items.  Both bound what reaches the driver, whatever the input.
 LARGE, BUNDLES = 64, 256
 #: Rows about that one window numbers.
-ROWS_A_TASK = 50_000
+ROWS_A_TASK = 2_000
 
 
 def difference(sizes: list[int], parts: int) -> list[int]:
