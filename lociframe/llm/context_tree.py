@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, stored
 
-#: At most so many distinct strings go to every executor (64 MB); more are joined by a shuffle.
-BROADCAST_STRINGS = 4_000_000
+#: At most so many distinct strings go to every executor (48 MB); more are joined by a shuffle.
+BROADCAST_STRINGS = 3_000_000
 #: A word with at least 1/HOT of all training tokens is looked up in a broadcast table of at most HOT words.
 HOT = 1 << 17
 FLUSH = 1 << 19
@@ -164,17 +164,17 @@ def string_costs(counts: DataFrame, depth: int, rows_a_group: int = 50_000) -> D
         before = np.repeat(codes >> (8 * depth), 8)
         one = upper.value[0][before, levels.prefix] + upper.value[1][before, levels.prefix] * levels.predict(depth, 2)
         chosen = np.where(levels.bit == 1, one, 1.0 - one)
-        return pd.DataFrame({"code": codes, "n": rows["n"].to_numpy(), "cost": np.log10(chosen).reshape(-1, 8).sum(axis=1)})
+        return pd.DataFrame({"code": codes, "cost": np.log10(chosen).reshape(-1, 8).sum(axis=1)})
 
-    return grouped.groupBy("part").applyInPandas(down, "code long, n long, cost double")
+    return grouped.groupBy("part").applyInPandas(down, "code long, cost double")
 
 
 class Costs:
     """Code -> cost: a table with one place a code; the few codes whose place is taken are found by bisection."""
 
-    def __init__(self, codes: np.ndarray, costs: np.ndarray, counts: np.ndarray) -> None:
-        frequent = np.argsort(-counts, kind="stable")  # they get their places first
-        codes, costs = codes[frequent], costs[frequent]
+    def __init__(self, codes: np.ndarray, costs: np.ndarray) -> None:
+        likely = np.argsort(-costs, kind="stable")  # they get their places first
+        codes, costs = codes[likely], costs[likely]
         self.bits = max(4, int(2 * len(codes)).bit_length())
         place = self.place(codes)
         _, kept = np.unique(place, return_index=True)
@@ -266,17 +266,19 @@ def score(df: DataFrame, held_out, depth: int = 5, broadcast_strings: int = BROA
     rows = rows.withColumn("_train", ~F.col("held_out"))
     vocabulary = count_words(rows)
     known, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).collect()[0]
-    hot = {bytes(r.word): r.n for r in vocabulary.where(F.col("n") * HOT >= F.lit(total)).collect()}
+    hot = vocabulary.where(F.col("n") * HOT >= F.lit(total)).toArrow()
     costs = stored(string_costs(count_strings(rows, depth), depth), "costs")
     small = costs.count() <= broadcast_strings
-    table = costs.toPandas() if small else None
-    shared = spark.sparkContext.broadcast((hot, Costs(*(table[c].to_numpy() for c in ("code", "cost", "n"))) if small else None))
+    table = costs.toArrow() if small else None
+    shared = spark.sparkContext.broadcast((hot, [table[c].to_numpy() for c in ("code", "cost")] if small else None))
+    del table, hot
     spread = total + 0.5 * (known + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, lookup = shared.value
+        hot, table = shared.value
+        lookup = Costs(*table) if small else None
         task, number = uuid.uuid4().hex, 0
-        base = {w: math.log10((n + 0.5) / spread) for w, n in hot.items()}
+        base = {w: math.log10((n + 0.5) / spread) for w, n in zip(hot["word"].to_pylist(), hot["n"].to_pylist())}
         pairs = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         codes_of = pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())]))
         for batch in batches:
@@ -332,7 +334,7 @@ def score(df: DataFrame, held_out, depth: int = 5, broadcast_strings: int = BROA
     )
     out = scored.drop("rest", "strings").join(rare, "row", "left")
     if not small:
-        joined = scored.select("row", F.explode("strings").alias("s")).select("row", "s.code", "s.n").join(costs.drop("n"), "code")
+        joined = scored.select("row", F.explode("strings").alias("s")).select("row", "s.code", "s.n").join(costs, "code")
         out = out.drop("score").join(joined.groupBy("row").agg(F.sum(F.col("n") * F.col("cost")).alias("score")), "row")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"),
