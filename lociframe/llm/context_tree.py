@@ -25,7 +25,7 @@ from .common import mix64, stored
 #: At most so many distinct strings go to every executor (48 MB); more are joined by a shuffle.
 BROADCAST_STRINGS = 3_000_000
 #: A word with at least 1/HOT of all training tokens is looked up in a broadcast table of at most HOT words.
-HOT = 1 << 17
+HOT = 1 << 20
 FLUSH = 1 << 19
 END = b"\n"
 
@@ -41,14 +41,14 @@ def strings(streams: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     A stream is preceded by ``depth`` ends.
     """
     pad = END * depth
-    data = np.frombuffer(b"".join(pad + s for s in streams), np.uint8)
+    data = np.frombuffer(pad + pad.join(streams), np.uint8).astype(np.int64)
     sizes = np.array([len(s) for s in streams])
     owner = np.repeat(np.arange(len(streams)), sizes)
-    at = np.arange(len(owner)) + (owner + 1) * depth
-    code = np.zeros(len(owner), np.int64)
-    for back in range(1, depth + 1):
-        code = (code << 8) | data[at - back]
-    return (code << 8) | data[at], owner
+    code = data[depth - 1 : -1].copy()
+    for back in [*range(2, depth + 1), 0]:
+        code <<= 8
+        code |= data[depth - back : len(data) - back]
+    return code[np.arange(len(owner)) + owner * depth], owner
 
 
 def _streams(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[list[bytes]], list[bytes]]]:
