@@ -130,7 +130,7 @@ def learn(
                 for name, k in codes.items():
                     found, n = np.unique(grams[lang == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(found)), pa.array(found), pa.array(n.astype(np.int64))],
+                        [pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(n.astype(np.int64))],
                         ["lang", "gram", "n"],
                     )
 
