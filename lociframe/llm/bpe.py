@@ -1,7 +1,7 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of byte positions.  Each merge rank has a bucket of the list positions whose pair merges
-at that rank; a three-level bitmap marks the ranks with a bucket, and find-first-set on it gives the next rank.  A
+at that rank; a two-level bitmap marks the ranks with a bucket, and find-first-set on it gives the next rank.  A
 position whose pair has changed since it was queued is skipped when it comes up.  A merge costs a constant number of
 bitmap steps, so very long pre-tokens need no quadratic scan.
 """
@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,86 +23,77 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Pre-tokens up to this many characters are remembered by a Python worker, and so many of them.
-CACHED_CHARS, CACHED = 48, 400_000
-
-
-class RankQueue:
-    """Positions by rank, smallest rank first and, within a rank, leftmost first."""
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}  # rank >> 6 -> bits of its ranks
-        self.mid: dict[int, int] = {}  # rank >> 12 -> bits of its low words
-        self.top = 0  # bits of the mid words
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, int]:
-        """The next (rank, position); the queue must not be empty."""
-        b = (self.top & -self.top).bit_length() - 1
-        m = self.mid[b]
-        a = b << 6 | (m & -m).bit_length() - 1
-        w = self.low[a]
-        rank = a << 6 | (w & -w).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            w &= w - 1
-            self.low[a] = w
-            if not w:
-                m &= m - 1
-                self.mid[b] = m
-                if not m:
-                    self.top &= self.top - 1
-        return rank, position
+CACHED_CHARS, CACHED = 48, 600_000
+
+
+#: The bits of a 256-bit word.
+BIT = [1 << k for k in range(256)]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
+    """Token ids of one pre-token.
+
+    The queue: ``buckets`` holds the positions of each rank as a heap, so that equal ranks go leftmost first; ``top``
+    marks the 256-bit words of ``low`` that are not zero, these mark the ranks with a bucket.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     end = list(range(1, n + 1))  # of the token that starts at a position
     before = list(range(-1, n - 1))
-    queued = [-1] * n  # rank of the pair starting at a position; -1: none, or the position was merged away
-    queue = RankQueue()
-    push, get = queue.push, ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
+    get = ranks.get
+    # Rank of the pair starting at a position; None: no pair, or the position was merged away.
+    queued: list[int | None] = [get(piece[i : i + 2]) for i in range(n - 1)]
+    queued.append(None)
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    top = 0
+    for i, rank in enumerate(queued):
         if rank is not None:
-            queued[i] = rank
-            push(rank, i)
-    while queue.top:
-        rank, i = queue.pop()
-        if queued[i] != rank:
+            if rank in buckets:
+                buckets[rank].append(i)
+            else:
+                buckets[rank] = [i]
+                word = rank >> 8
+                low[word] = low.get(word, 0) | BIT[rank & 255]
+                top |= 1 << word
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = low[word]
+        rank = word << 8 | (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
+            del buckets[rank]
+            bits &= bits - 1
+            low[word] = bits
+            if not bits:
+                top &= top - 1
+        if queued[i] != rank:  # stale
             continue
         middle = end[i]
         stop = end[i] = end[middle]
-        queued[middle] = queued[i] = -1
+        queued[middle] = queued[i] = None
         if stop < n:
             before[stop] = i
-            rank = get(piece[i : end[stop]])
+            pairs = ((i, end[stop]), (before[i], stop)) if i else ((i, end[stop]),)
+        elif i:
+            pairs = ((before[i], stop),)
+        else:
+            break
+        for start, last in pairs:
+            rank = queued[start] = get(piece[start:last])
             if rank is not None:
-                queued[i] = rank
-                push(rank, i)
-        left = before[i]
-        if left >= 0:
-            rank = get(piece[left:stop])
-            if rank is None:
-                queued[left] = -1
-            elif queued[left] != rank:
-                queued[left] = rank
-                push(rank, left)
+                if rank in buckets:
+                    heappush(buckets[rank], start)
+                else:
+                    buckets[rank] = [start]
+                    word = rank >> 8
+                    low[word] = low.get(word, 0) | BIT[rank & 255]
+                    top |= 1 << word
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -117,22 +109,24 @@ class Codec:
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.find = regex.compile(pattern).finditer
+        self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids, little-endian unsigned 32-bit."""
-        known, out = self.known, []
-        for match in self.find(text):
-            piece = match[0]
-            ids = known.get(piece)
-            if ids is None:
-                ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-                if len(piece) <= CACHED_CHARS:
-                    if len(known) >= CACHED:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
+        known = self.known
+        pieces = self.find(text)
+        out = list(map(known.get, pieces))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    piece = pieces[i]
+                    ids = out[i] = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+                    if len(piece) <= CACHED_CHARS:
+                        known[piece] = ids
+            if len(known) > CACHED:  # the older half goes
+                for piece in list(islice(known, CACHED // 2)):
+                    del known[piece]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

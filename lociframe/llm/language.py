@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64
+from .common import chunks, mix64, stored
 
 UNDETERMINED = "und"
 
@@ -112,7 +112,7 @@ def learn(
     give filters without languages.
     """
     rows = labelled.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").count().withColumnRenamed("count", "rows_of_lang")
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("rows_of_lang")), "languages")  # small: a row for each
     drawn = (
         rows.join(sizes, "lang")
         .where((F.pmod(F.xxhash64("text"), F.lit(1 << 30)) * F.col("rows_of_lang")) < F.lit(sample_rows << 30))
