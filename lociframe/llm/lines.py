@@ -8,68 +8,83 @@ earliest line of its keys, and that one pair is verified on the words.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import SPACE, stored, words
 
 #: Lines with fewer words are compared for equality only.
 LEAST_WORDS = 8
+#: Tables of at most so many rows (under 50 MB) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def lines_of(df: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no (from 0), line, h1 and h2 (digests of the line) of all lines with a word."""
+    """place (doc_id, text_key, line_no from 0), line, h1 and h2 (digests of the line) of all lines with a word."""
     exploded = df.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return exploded.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select(
-        "*", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")
-    )
+        F.struct("doc_id", "text_key", "line_no").alias("place"), "line",
+        F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"),
+    )
 
 
-def _halves(w: Column) -> Column:
-    """Digests of the first and the last half of a line of n words, taken as n and as n - 1 words long.
+def _spaced(line: Column) -> Column:
+    """The words of a line, one space between them."""
+    plain = F.regexp_replace(line, SPACE, " ")
+    return F.when(line.rlike("[\\x09-\\x0D]|  |^ | $"), F.btrim(plain)).otherwise(line)
 
-    Two lines within one word of each other have one of them in common.
+
+def _ends(spaced: Column, n: Column) -> Column:
+    """Digests of the first and of the last k words of a line of n words; k is the largest power of 2 up to n / 2.
+
+    An edit of one word leaves the first k words or the last k words as they were, also those of the other line.
+    Where n - 1 words have another k, there are digests for that one too.
     """
-    out = []
-    for less in (0, 1):
-        n = F.size(w) - less
-        head = F.floor(n / 2).cast("int")
-        tail = n - head
-        out.append(F.xxhash64(F.lit("head"), n, F.slice(w, F.lit(1), head)))
-        out.append(F.xxhash64(F.lit("tail"), n, F.slice(w, F.size(w) - tail + 1, tail)))
-    return F.when(F.size(w) >= LEAST_WORDS, F.array(*out))
+    power = lambda n: F.pow(F.lit(2.0), F.floor(F.log2(n / 2))).cast("int")
+    cut = partial(F.call_function, "substring_index")
+    ends = lambda k: [
+        F.xxhash64(F.lit("head"), k, cut(spaced, F.lit(" "), k)), F.xxhash64(F.lit("tail"), k, cut(spaced, F.lit(" "), -k))
+    ]
+    k, less = power(n), power(n - 1)
+    return F.when(n >= LEAST_WORDS, F.when(k == less, F.array(*ends(k))).otherwise(F.array(*ends(k), *ends(less))))
 
 
 def distinct_lines(df: DataFrame) -> DataFrame:
-    """h1, h2, first (the earliest place: doc_id, text_key, line_no), n, halves of each distinct line.  Stored."""
-    rows = lines_of(df).withColumn("w", words(F.col("line")))
-    rows = rows.select("h1", "h2", F.struct("doc_id", "text_key", "line_no").alias("place"), _halves(F.col("w")).alias("halves"))
+    """h1, h2, first (the earliest place), n, ends of each distinct line.  Stored."""
+    rows = lines_of(df).select("h1", "h2", "place", _spaced(F.col("line")).alias("spaced"))
+    n = F.octet_length("spaced") - F.octet_length(F.replace(F.col("spaced"), F.lit(" "), F.lit(""))) + 1
+    rows = rows.withColumn("words", n).select("h1", "h2", "place", _ends(F.col("spaced"), F.col("words")).alias("ends"))
     return stored(
-        rows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")), "lines"
+        rows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("ends").alias("ends")), "lines"
     )
 
 
+def _checked(small: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has few rows; a larger one is left to a shuffle."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def _without(w: Column, at: Column) -> Column:
     """The words but the one at a place; all of them at -1."""
     return F.when(at < 0, w).otherwise(F.concat(F.slice(w, F.lit(1), at), F.slice(w, at + 2, F.size(w))))
 
 
 def near_lines(df: DataFrame, distinct: DataFrame) -> DataFrame:
-    """h1, h2 of the distinct lines that have an earlier line within the bound."""
-    halves = distinct.where("halves IS NOT NULL").select("h1", "h2", "first", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    asked = halves.join(shared, "half").select("h1", "h2", "first.*").distinct()
+    """first of the distinct lines that have an earlier line within the bound."""
+    ends = distinct.where("ends IS NOT NULL").select("first", F.explode("ends").alias("end"))
+    shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
+    asked = stored(ends.join(shared, "end").select("first").distinct(), "asked")
     met = stored(
-        lines_of(df).join(asked, ["h1", "h2", "doc_id", "text_key", "line_no"])
-        .select("h1", "h2", F.struct("doc_id", "text_key", "line_no").alias("first"), words(F.col("line")).alias("w")),
-        "met",
-    )
-    each = met.select("h1", "h2", "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+        lines_of(df).join(_checked(asked), F.col("place") == F.col("first")).select("first", words(F.col("line")).alias("w")).distinct(), "met"
+    )
+    each = met.select("first", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     for k in (1, 2):
         each = each.withColumn(f"here{k}", F.xxhash64("word", "i", F.lit(k))).withColumn(
             f"moved{k}", F.xxhash64("word", F.col("i") - 1, F.lit(k))
         )
-    line = Window.partitionBy("h1", "h2")
+    line = Window.partitionBy("first")
     before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     to_here = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0).cast("long")
@@ -81,35 +96,30 @@ def near_lines(df: DataFrame, distinct: DataFrame) -> DataFrame:
     ]
     whole = [F.bit_xor(f"here{k}").over(line) for k in (1, 2)]
     keyed = each.select(
-        "h1", "h2", "first", "i",
-        F.struct(key[0].alias("k1"), key[1].alias("k2"), (F.col("n") - 1).alias("len"), F.col("i").alias("at")).alias("variant"),
-        F.struct(whole[0].alias("k1"), whole[1].alias("k2"), F.col("n").alias("len"), F.lit(-1).alias("at")).alias("whole"),
+        "first", "i",
+        F.struct(key[0].alias("k1"), F.xxhash64(key[1], F.col("n") - 1).alias("k2"), F.col("i").alias("at")).alias("variant"),
+        F.struct(whole[0].alias("k1"), F.xxhash64(whole[1], "n").alias("k2"), F.lit(-1).alias("at")).alias("whole"),
     )
     both = F.when(F.col("i") == 0, F.array("variant", "whole")).otherwise(F.array("variant"))
-    rows = keyed.select("h1", "h2", "first", F.explode(both).alias("v")).select("h1", "h2", "first", "v.*")
-    rows = stored(rows, "variants")
-    groups = rows.groupBy("k1", "k2", "len", "at").agg(
-        F.min(F.struct("first", "h1", "h2", "at")).alias("least"), F.count("*").alias("members")
-    )
-    variant = Window.partitionBy("k1", "k2", "len")
-    entire = F.min(F.when(F.col("at") < 0, F.col("least"))).over(variant)
-    shorter = F.min(F.when(F.col("at") >= 0, F.col("least"))).over(variant)
-    met_at = groups.withColumn("entire", entire).withColumn("shorter", shorter)
+    rows = stored(keyed.select("first", F.explode(both).alias("v")).select("first", "v.*"), "variants")
+    groups = rows.groupBy("k1", "k2", "at").agg(F.min("first").alias("least"), F.count("*").alias("members"))
+    variant = Window.partitionBy("k1", "k2")
+    least = F.struct(F.col("least").alias("first"), "at")
+    entire = F.min(F.when(F.col("at") < 0, least)).over(variant)
+    shorter = F.min(F.when(F.col("at") >= 0, least)).over(variant)
+    met_at = groups.select("k1", "k2", "at", "members", least.alias("least"), entire.alias("entire"), shorter.alias("shorter"))
     met_at = met_at.where("members > 1 OR (entire IS NOT NULL AND shorter IS NOT NULL)").select(
-        "k1", "k2", "len", "at", F.when(F.col("at") < 0, F.col("shorter")).otherwise(F.least("least", "entire")).alias("earliest")
+        "k1", "k2", "at", F.when(F.col("at") < 0, F.col("shorter")).otherwise(F.least("least", "entire")).alias("earliest")
     )
-    found = (
-        rows.join(met_at, ["k1", "k2", "len", "at"]).where("earliest.first < first")
-        .groupBy("h1", "h2").agg(F.min(F.struct("earliest", "at")).alias("m"))
-        .select("h1", "h2", F.col("m.at").alias("at"), "m.earliest")
-    )
-    own = met.select("h1", "h2", F.col("w").alias("own"))
-    other = met.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("w").alias("other"))
-    pairs = found.select("h1", "h2", "at", F.col("earliest.h1").alias("p1"), F.col("earliest.h2").alias("p2"), F.col("earliest.at").alias("p_at"))
-    return (
-        pairs.join(own, ["h1", "h2"]).join(other, ["p1", "p2"])
-        .where(_without(F.col("own"), F.col("at")) == _without(F.col("other"), F.col("p_at"))).select("h1", "h2").distinct()
+    pairs = (
+        rows.join(met_at, ["k1", "k2", "at"]).where("earliest.first < first")
+        .groupBy("first").agg(F.min(F.struct("earliest", "at")).alias("m"))
+        .select("first", F.col("m.at").alias("at"), F.col("m.earliest.first").alias("other"), F.col("m.earliest.at").alias("other_at"))
     )
+    own = met.select("first", F.col("w").alias("own"))
+    other = met.select(F.col("first").alias("other"), F.col("w").alias("other_w"))
+    same = _without(F.col("own"), F.col("at")) == _without(F.col("other_w"), F.col("other_at"))
+    return pairs.join(own, "first").join(other, "other").where(same).select("first")
 
 
 def drop_repeated_lines(df: DataFrame) -> DataFrame:
@@ -124,13 +134,16 @@ def drop_repeated_lines(df: DataFrame) -> DataFrame:
     """
     distinct = distinct_lines(df)
     near = near_lines(df, distinct).withColumn("near", F.lit(True))
-    repeated = distinct.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    place = F.struct("doc_id", "text_key", "line_no")
-    gone = (
-        lines_of(df).drop("line").join(repeated, ["h1", "h2"]).where(F.col("near") | ~place.eqNullSafe(F.col("first")))
-        .groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    repeated = stored(
+        distinct.join(near, "first", "left").where("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")),
+        "repeated",
+    )
+    gone = stored(
+        lines_of(df).drop("line").join(_checked(repeated), ["h1", "h2"]).where(F.col("near") | (F.col("place") != F.col("first")))
+        .groupBy("place.doc_id", "place.text_key").agg(F.sort_array(F.collect_set("place.line_no")).alias("gone")),
+        "gone",
     )
-    d, g = df.drop("lines_dropped").withColumn("_text_key", F.xxhash64("text")).alias("d"), gone.alias("g")
+    d, g = df.drop("lines_dropped").withColumn("_text_key", F.xxhash64("text")).alias("d"), _checked(gone).alias("g")
     joined = d.join(g, F.expr("d.doc_id <=> g.doc_id AND d._text_key = g.text_key"), "left")
     dropped = F.col("g.gone")
     step = lambda x, k: F.concat(

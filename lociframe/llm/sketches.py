@@ -89,10 +89,11 @@ def peel(cells: Column, third_cells: int, attempt: int | Column) -> Column:
 def differing(a: Column, b: Column, base: Column) -> Column:
     """Number of digests in one of the sets ``a`` and ``b`` only; ``base`` is their subtracted fingerprints.
 
-    Retry r has 2**(r-1) sub-sketches; the last one has fewer digests than cells to hold them on average by far.
+    Retry r has 2**(r-1) sub-sketches.  The first has half as many digests as cells or less, if all differ, and each
+    further one doubles the cells.
     """
     first = peel(base, THIRD, 0)
-    retries = F.ceil(F.log2(F.size(a) + F.size(b) + 2)).cast("int") + 3
+    begin = F.greatest(F.ceil(F.log2((F.size(a) + F.size(b) + 1) / (1.5 * RETRY_THIRD))) + 1, F.lit(1)).cast("int")
 
     def attempt(r: Column) -> Column:
         parts = F.pow(F.lit(2.0), r - 1).cast("int")
@@ -108,7 +109,7 @@ def differing(a: Column, b: Column, base: Column) -> Column:
         return F.aggregate(each, F.lit(0), total)
 
     start = F.coalesce(first, F.lit(-1))
-    return F.aggregate(F.sequence(F.lit(1), retries), start, lambda s, r: F.when(s >= 0, s).otherwise(attempt(r)))
+    return F.aggregate(F.sequence(begin, begin + 4), start, lambda s, r: F.when(s >= 0, s).otherwise(attempt(r)))
 
 
 def likeness(a: Column, b: Column, differ: Column) -> Column:
