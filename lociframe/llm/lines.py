@@ -36,18 +36,22 @@ def _spaced(line: Column) -> Column:
     return F.when(line.rlike("[\\x09-\\x0D]|  |^ | $"), F.btrim(plain)).otherwise(line)
 
 
+def _reach(n: Column) -> Column:
+    """The largest power of 2 up to n / 2."""
+    return F.pow(F.lit(2.0), F.floor(F.log2(n / 2))).cast("int")
+
+
 def _ends(spaced: Column, n: Column) -> Column:
     """Digests of the first and of the last k words of a line of n words; k is the largest power of 2 up to n / 2.
 
     An edit of one word leaves the first k words or the last k words as they were, also those of the other line.
     Where n - 1 words have another k, there are digests for that one too.
     """
-    power = lambda n: F.pow(F.lit(2.0), F.floor(F.log2(n / 2))).cast("int")
     cut = partial(F.call_function, "substring_index")
     ends = lambda k: [
         F.xxhash64(F.lit("head"), k, cut(spaced, F.lit(" "), k)), F.xxhash64(F.lit("tail"), k, cut(spaced, F.lit(" "), -k))
     ]
-    k, less = power(n), power(n - 1)
+    k, less = _reach(n), _reach(n - 1)
     return F.when(n >= LEAST_WORDS, F.when(k == less, F.array(*ends(k))).otherwise(F.array(*ends(k), *ends(less))))
 
 
@@ -72,14 +76,18 @@ def _without(w: Column, at: Column) -> Column:
 
 
 def near_lines(df: DataFrame, distinct: DataFrame) -> DataFrame:
-    """first of the distinct lines that have an earlier line within the bound."""
-    ends = distinct.where("ends IS NOT NULL").select("first", F.explode("ends").alias("end"))
+    """first of the distinct lines that have an earlier line within the bound.
+
+    Lines that share an end with no other have none and are left out; where only the head is shared, words of the head
+    need not be deleted, and likewise for the tail.
+    """
+    ends = distinct.where("ends IS NOT NULL").select("first", F.posexplode("ends").alias("which", "end"))
     shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
-    asked = stored(ends.join(shared, "end").select("first").distinct(), "asked")
-    met = stored(
-        lines_of(df).join(_checked(asked), F.col("place") == F.col("first")).select("first", words(F.col("line")).alias("w")).distinct(), "met"
-    )
-    each = met.select("first", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    is_head = F.col("which") % 2 == 0
+    asked = ends.join(shared, "end").groupBy("first").agg(F.max(is_head).alias("head"), F.max(~is_head).alias("tail"))
+    lines = lines_of(df).join(_checked(stored(asked, "asked")), F.col("place") == F.col("first"))
+    met = stored(lines.select("first", "head", "tail", words(F.col("line")).alias("w")).distinct(), "met")
+    each = met.select("first", "head", "tail", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     for k in (1, 2):
         each = each.withColumn(f"here{k}", F.xxhash64("word", "i", F.lit(k))).withColumn(
             f"moved{k}", F.xxhash64("word", F.col("i") - 1, F.lit(k))
@@ -95,12 +103,13 @@ def near_lines(df: DataFrame, distinct: DataFrame) -> DataFrame:
         for k in (1, 2)
     ]
     whole = [F.bit_xor(f"here{k}").over(line) for k in (1, 2)]
+    beyond = (F.col("head") & (F.col("i") >= _reach(F.col("n") - 1))) | (F.col("tail") & (F.col("i") < F.col("n") - _reach(F.col("n") - 1)))
     keyed = each.select(
-        "first", "i",
+        "first", "i", beyond.alias("beyond"),
         F.struct(key[0].alias("k1"), F.xxhash64(key[1], F.col("n") - 1).alias("k2"), F.col("i").alias("at")).alias("variant"),
         F.struct(whole[0].alias("k1"), F.xxhash64(whole[1], "n").alias("k2"), F.lit(-1).alias("at")).alias("whole"),
     )
-    both = F.when(F.col("i") == 0, F.array("variant", "whole")).otherwise(F.array("variant"))
+    both = F.filter(F.array(F.when(F.col("beyond"), F.col("variant")), F.when(F.col("i") == 0, F.col("whole"))), lambda v: v.isNotNull())
     rows = stored(keyed.select("first", F.explode(both).alias("v")).select("first", "v.*"), "variants")
     groups = rows.groupBy("k1", "k2", "at").agg(F.min("first").alias("least"), F.count("*").alias("members"))
     variant = Window.partitionBy("k1", "k2")
