@@ -59,7 +59,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: Iterable[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts (null as empty) in runs of about ``limit`` characters, with the first one's number."""
     first, run, size = 0, [], 0
     for i, text in enumerate(texts):

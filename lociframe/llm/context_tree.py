@@ -51,7 +51,7 @@ def strings(streams: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[np.arange(len(owner)) + owner * depth], owner
 
 
-def _streams(texts: list[str | None], limit: int = 1 << 19) -> Iterator[tuple[int, list[list[bytes]], list[bytes]]]:
+def _streams(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, list[list[bytes]], list[bytes]]]:
     first, found, size = 0, [], 0
     for i, text in enumerate(texts):
         own = tokens(text)

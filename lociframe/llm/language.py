@@ -8,7 +8,7 @@ largest share decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,7 +25,7 @@ UNDETERMINED = "und"
 @lru_cache(1)
 def _letters() -> np.ndarray:
     """Code point -> its lower-case letter, or a space for everything that is no letter."""
-    table = np.full(0x110000, 32, np.int64)
+    table = np.full(0x110000, 32, np.int32)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
@@ -41,7 +41,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     joined = "\n" + "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = _letters()[points]
+    low = _letters()[points].astype(np.int64)
     at = np.flatnonzero(low[1:-1] != 32) + 1
     grams = (low[at - 1] << 42) | (low[at] << 21) | low[at + 1]
     starts = np.cumsum([1] + [len(t) + 1 for t in texts[:-1]])
@@ -121,7 +121,7 @@ def learn(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = (x.as_py() for x in batch.column("text"))
             names = batch.column("lang").to_pylist()
             codes = {x: i for i, x in enumerate(sorted(set(names)))}
             for first, run in chunks(texts):
@@ -143,9 +143,9 @@ def learn(
     return build(entries, sorted({x for x, _ in entries}))
 
 
-def _judge(filters: Filters, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, confidence and share of known trigrams of each text."""
-    names, score, known = [], np.zeros(len(texts)), np.zeros(len(texts))
+def _judge(filters: Filters, texts: Iterable[str | None], n: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, confidence and share of known trigrams of each of ``n`` texts."""
+    names, score, known = [], np.zeros(n), np.zeros(n)
     for first, run in chunks(texts):
         if not filters.languages:
             names += [UNDETERMINED] * len(run)
@@ -154,7 +154,7 @@ def _judge(filters: Filters, texts: list[str | None]) -> tuple[list[str], np.nda
         best = shares.argmax(axis=1)
         top = shares.max(axis=1)
         sums = shares.sum(axis=1)
-        names += [filters.languages[b] if n else UNDETERMINED for b, n in zip(best, total)]
+        names += [filters.languages[b] if letters else UNDETERMINED for b, letters in zip(best, total)]
         score[first : first + len(run)] = np.divide(top, sums, out=np.zeros(len(run)), where=sums > 0)
         known[first : first + len(run)] = top
     return names, np.clip(score, 0.0, 1.0), np.clip(known, 0.0, 1.0)
@@ -172,7 +172,7 @@ def identify(df: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score, _ = _judge(shared.value, batch.column(batch.num_columns - 1).to_pylist())
+            names, score, _ = _judge(shared.value, (x.as_py() for x in batch.column(batch.num_columns - 1)), batch.num_rows)
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(names, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
@@ -189,7 +189,7 @@ def accept(df: DataFrame, filters: Filters, text: str = "text", least_known: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _, known = _judge(shared.value, batch.column(batch.schema.names.index(text)).to_pylist())
+            names, _, known = _judge(shared.value, (x.as_py() for x in batch.column(batch.schema.names.index(text))), batch.num_rows)
             yield batch.filter(pa.array([n != UNDETERMINED and k >= least_known for n, k in zip(names, known)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -57,7 +57,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(19, int(len(data)).bit_length()))
     total = np.concatenate([[np.uint64(0)], np.cumsum(_random()[0][data] * up[: len(data)], dtype=np.uint64)])
     word = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     first = np.searchsorted(starts, np.cumsum([1] + [len(p) + 1 for p in parts]))
@@ -81,8 +81,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     """The low 16 bits of the permutations' minima."""
     _, mask, factor = _random()
     least = None
-    for at in range(0, len(shingles), 1 << 14):
-        low = ((shingles[None, at : at + (1 << 14)] ^ mask) * factor).min(axis=1)
+    for at in range(0, len(shingles), 1 << 12):
+        low = ((shingles[None, at : at + (1 << 12)] ^ mask) * factor).min(axis=1)
         least = low if least is None else np.minimum(least, low)
     return (mix64(least) & np.uint64(0xFFFF)).astype("<u2")
 
