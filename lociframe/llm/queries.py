@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, context_tree, language, lines, mixing, neardup, pages, sharding, sketches
+from . import ann, bpe, context_tree, language, lines, mixing, neardup, pages, sharding, sketches, sql
 from .common import word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,4 +85,9 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": sql.LINE_DEDUP,
+    "op5_near_duplicates": sql.NEAR_DUPLICATES,
+    "op6_source_mix": sql.SOURCE_MIX,
+    "op9_fingerprints": sql.FINGERPRINTS,
+}
