@@ -69,6 +69,19 @@ def _two_rate(t: Column, pi: list[Column], scale: Column, pyr: Column, pur: Colu
     return _matrix([[entry(i, j) for j in range(4)] for i in range(4)])
 
 
+def _t92(t: Column, kappa: Column, gc: Column) -> Column:
+    """Shares A = T and C = G follow from the G+C share; the branch length is not rescaled."""
+    pi = [(1 - gc) / 2, gc / 2, gc / 2, (1 - gc) / 2]
+    e1, e2 = F.expm1(-t), F.expm1(-(kappa + 1) * t / 2)
+
+    def entry(i, j):
+        if abs(i - j) % 2:
+            return -pi[j] * e1
+        return 1 + pi[j] * e1 + (1 - 2 * pi[j]) * e2 if i == j else pi[j] * (e1 - 2 * e2)
+
+    return _matrix([[entry(i, j) for j in range(4)] for i in range(4)])
+
+
 def transition_probs(branches: DataFrame) -> DataFrame:
     """Add ``p``, the 4x4 matrix (row-major, A C G T), for closed-form models.
 
@@ -90,7 +103,8 @@ def transition_probs(branches: DataFrame) -> DataFrame:
         out = out.when(model == "F81", _f81(t, pi))
         mean = lambda pyr, pur, tv=1.0: 1 / (2 * tt * c * pyr + 2 * a * g * pur + 2 * y * r * tv)
         if has("kappa"):
-            out = out.when(model.isin("HKY", "T92"), _two_rate(t, pi, mean(kappa, kappa), kappa, kappa))
+            out = out.when(model == "HKY", _two_rate(t, pi, mean(kappa, kappa), kappa, kappa))
+            out = out.when(model == "T92", _t92(t, kappa, c + g))
             # F84 is scaled with plain kappa, without the group terms
             out = out.when(model == "F84", _two_rate(t, pi, mean(kappa, kappa), 1 + kappa / y, 1 + kappa / r))
         if has("qrates"):

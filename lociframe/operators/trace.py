@@ -56,8 +56,19 @@ def trace_moments(trace: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
 
 
+def _present(trace: DataFrame) -> DataFrame:
+    """Samples with a value; a missing one takes no part in ranks and lags."""
+    return trace.filter(F.col("value").isNotNull())
+
+
+def _for_every_group(trace: DataFrame, keys: list[str], out: DataFrame) -> DataFrame:
+    """``out`` with a row of NULLs for groups that have missing samples only."""
+    return trace.select(*keys).distinct().join(out, keys, "left")
+
+
 def _ranked(trace: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct values with their rank and the group size ``n``."""
+    trace = _present(trace)
     ranked = value_ranks(trace, keys)
     size = trace.groupBy(*keys).agg(F.count("value").alias("n"))
     return attach_group_row(ranked, size, keys, ["value"])
@@ -73,7 +84,7 @@ def trace_quantiles(trace: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     n = F.col("n")
     half = F.floor(n / 2)
     lower_half = F.when(n % 2 == 0, half - 1).otherwise(half)
-    return (
+    out = (
         _ranked(trace, keys)
         .groupBy(*keys)
         .agg(
@@ -84,6 +95,7 @@ def trace_quantiles(trace: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         )
         .select(*keys, ((F.col("_upper") + F.col("_lower")) / 2).alias("median"), "q025", "q975")
     )
+    return _for_every_group(trace, keys, out)
 
 
 def hpd_interval(trace: DataFrame, keys: list[str] = KEYS, alpha: float = 0.05) -> DataFrame:
@@ -102,14 +114,12 @@ def hpd_interval(trace: DataFrame, keys: list[str] = KEYS, alpha: float = 0.05)
     best = widths.groupBy(*keys).agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), "start", "lo", "hi")).alias("best"))
     tails = ranked.groupBy(*keys).agg(_value_at(low).alias("t_lo"), _value_at(high).alias("t_hi"), F.max("n").alias("n"))
     shorter = (n > 2) & (F.col("best.w") < F.col("t_hi") - F.col("t_lo"))
-    return (
-        tails.join(best, keys, "left")
-        .select(
-            *keys,
-            F.when(shorter, F.col("best.lo")).otherwise(F.col("t_lo")).alias("hpd_lo"),
-            F.when(shorter, F.col("best.hi")).otherwise(F.col("t_hi")).alias("hpd_hi"),
-        )
+    out = tails.join(best, keys, "left").select(
+        *keys,
+        F.when(shorter, F.col("best.lo")).otherwise(F.col("t_lo")).alias("hpd_lo"),
+        F.when(shorter, F.col("best.hi")).otherwise(F.col("t_hi")).alias("hpd_hi"),
     )
+    return _for_every_group(trace, keys, out)
 
 
 def sample_index(trace: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -143,6 +153,7 @@ def autocorrelation(trace: DataFrame, max_lag: int = MAX_LAG, keys: list[str] =
     gives its share of every lag sum, and the shares are added.  Work and
     shuffle grow with n, never with n x lags.
     """
+    trace = _present(trace)
     moments = trace.groupBy(*keys).agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),

@@ -211,10 +211,17 @@ def theta_conditional_gamma_approx(spark, sf):
     return G.theta_conditional_gamma_approx(waiting, 3.0, 150.0, masters, 0.75).select("gen", "pop_id", r("a1", 4), r("b1", 4))
 
 
-@query("theta_conditional_invgamma_approx")
+@query(
+    "theta_conditional_invgamma_approx",
+    f"""WITH {COAL}, {_POOLED}, m AS (SELECT *, 2 - k AS c, (c + sqrt(c * c + 4 * 150 * c2)) / 300 AS mode, c + 2 * c2 / mode AS q FROM pooled),
+    d AS (SELECT *, (4 + q) / 3 AS third, (5 - 2 * q) / 3 - third * third AS w, third * (third * third - (5 - 2 * q) / 2) + (2 + q) / 2 AS h FROM m),
+    x AS (SELECT *, cbrt(h + sqrt(h * h + w * w * w)) AS u FROM d)
+    SELECT gen, pop_id, round(third + u - w / u, 4) AS a1, round(mode * (third + u - w / u + 1), 4) AS b1 FROM x""",
+)
 def theta_conditional_invgamma_approx(spark, sf):
     waiting, masters = _pool_args(spark, sf)
-    return G.theta_conditional_gamma_approx(waiting, 3.0, 150.0, masters, 0.75, family="invgamma")
+    out = G.theta_conditional_gamma_approx(waiting, 3.0, 150.0, masters, 0.75, family="invgamma")
+    return out.select("gen", "pop_id", r("a1", 4), r("b1", 4))
 
 
 # --- species trees -----------------------------------------------------------
@@ -417,6 +424,13 @@ def _two_rate_sql(scale, pyr, pur):
             f"1 + ({_R * _C} * {e1} + {_T} * {e3}) / {_Y}", f"({_R} * {e1} - {e3}) * {_T / _Y}"]
 
 
+def _t92_sql(gc):
+    at, cg, e1, e2 = (1 - gc) / 2, gc / 2, "exp(-t)", "exp(-1.5 * t)"
+    same = lambda p: f"{p} * (1 + {e1}) + {1 - 2 * p} * {e2}"
+    transition = lambda p: f"{p} * (1 + {e1} - 2 * {e2})"
+    return [same(at), f"{cg} * (1 - {e1})", transition(cg), same(cg), transition(at)]
+
+
 _MEAN = lambda pyr, pur: 1 / (2 * _T * _C * pyr + 2 * _A * _G * pur + 2 * _Y * _R)
 _F81 = f"exp(-t / {1 - sum(p * p for p in FREQS)})"
 MODEL_SQL = {
@@ -426,18 +440,19 @@ MODEL_SQL = {
     "HKY": _two_rate_sql(_MEAN(2.0, 2.0), 2.0, 2.0),
     "F84": _two_rate_sql(_MEAN(2.0, 2.0), 1 + 2.0 / _Y, 1 + 2.0 / _R),
     "TN93": _two_rate_sql(_MEAN(1.8, 2.4), 1.8 / 1.2, 2.4 / 1.2),
+    "T92": _t92_sql(_C + _G),
 }
 _ENTRIES = {"p_aa": 0, "p_ac": 1, "p_ag": 2, "p_cc": 5, "p_ct": 7}
 _P_SQL = ", ".join(
     f"round(CASE model {' '.join(f'WHEN {m!r} THEN {v[i]}' for m, v in MODEL_SQL.items())} END, 8) AS {n}" for i, n in enumerate(_ENTRIES)
 )
-_BRANCH = f"branch AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / 1e5 AS t, {list(MODEL_SQL)}[CAST(l_partkey % 6 AS INTEGER) + 1] AS model FROM lineitem)"
+_BRANCH = f"branch AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / 1e5 AS t, {list(MODEL_SQL)}[CAST(l_partkey % {len(MODEL_SQL)} AS INTEGER) + 1] AS model FROM lineitem)"
 
 
 def _branches(spark, sf):
     models = F.array(*[F.lit(m) for m in MODEL_SQL])
     return A.table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") / 1e5).alias("t"), F.get(models, (F.col("l_partkey") % 6).cast("int")).alias("model")
+        "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") / 1e5).alias("t"), F.get(models, (F.col("l_partkey") % len(MODEL_SQL)).cast("int")).alias("model")
     )
 
 

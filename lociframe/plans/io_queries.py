@@ -148,14 +148,23 @@ def read_gene_trees(spark, sf):
 
 @query(
     "read_migration_history",
-    "SELECT o_orderkey % 40 AS locus, 'A' AS node_pop, CASE WHEN o_orderkey % 2 = 0 THEN 'B' END AS source, CASE WHEN o_orderkey % 2 = 0 THEN 'A' END AS target, round(sum(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 1e6 END), 6) AS t, count(*) AS n FROM orders GROUP BY 1, 3, 4",
+    """WITH e AS (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [0, 1] ELSE [NULL] END) AS event, o_totalprice / 1e6 AS p FROM orders)
+    SELECT o_orderkey % 40 AS locus, 'A' AS node_pop, event, CASE event WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS source,
+      CASE event WHEN 0 THEN 'B' WHEN 1 THEN 'C' END AS target, event = 1 AND event IS NOT NULL AS crossing,
+      round(sum(CASE event WHEN 0 THEN p WHEN 1 THEN p + 1 END), 6) AS t, count(*) AS n
+    FROM e GROUP BY 1, 3""",
 )
 def read_migration_history(spark, sf):
     o = A.table(spark, sf, "orders")
-    line = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("A:0.5*A&B$"), F.col("o_totalprice") / 1e6, F.lit(";"))).otherwise(F.lit("A:0.5;"))
+    p = F.col("o_totalprice") / 1e6
+    moved = F.concat(F.lit("A:"), p.cast("string"), F.lit("*B&A$"), (p + 1).cast("string"), F.lit("*C&B;"))
+    line = F.when(F.col("o_orderkey") % 2 == 0, moved).otherwise(F.lit("A:;"))
     lines = o.select((F.col("o_orderkey") % 40).alias("locus"), F.col("o_orderkey").alias("gen"), line.alias("line"))
-    out = text.read_migration_history(spark, _per_locus(lines, None, spark, "migs"), _BY_FOLDER)
-    return out.groupBy("locus", "node_pop", "source", "target").agg(r(F.sum("time")).alias("t"), F.count(F.lit(1)).alias("n"))
+    history = text.read_migration_history(spark, _per_locus(lines, None, spark, "migs"), _BY_FOLDER)
+    out = text.mark_crossings(history, spark.createDataFrame([("A", "D"), ("B", "C")], "label string, parent string"))
+    return out.groupBy("locus", "node_pop", "event", "source", "target", "crossing").agg(
+        r(F.sum("time")).alias("t"), F.count(F.lit(1)).alias("n")
+    )
 
 
 _MIGWIDE = """w AS (SELECT locus, gen, sum(n) FILTER (source = 0) AS a, sum(n) FILTER (source = 1) AS b FROM mig GROUP BY 1, 2)"""

@@ -64,7 +64,10 @@ def read_alignments(spark: SparkSession, paths: Paths, max_loci: int | None = No
     if max_loci is not None:
         marked = marked.filter(F.col("locus") <= max_loci)
     early = F.raise_error(F.concat(F.lit("text before the first header: "), F.col("line"))).cast("string")
-    marked = marked.withColumn("line", F.when(F.col("locus") == 0, early).otherwise(F.col("line")))
+    control = F.raise_error(F.concat(F.lit("control character in locus "), F.col("locus").cast("string"))).cast("string")
+    marked = marked.withColumn(
+        "line", F.when(F.col("locus") == 0, early).when(F.col("line").rlike(r"[\x00-\x08\x0E-\x1F\x7F]"), control).otherwise(F.col("line"))
+    )
     shape = lambda i: F.max(F.when(F.col("header"), F.regexp_extract("line", head, i).cast("int")))
     body = F.sort_array(F.collect_list(F.when(~F.col("header"), F.struct("line_no", "line"))))
     loci = marked.groupBy("file", "locus").agg(
@@ -149,7 +152,9 @@ def split_trace_lines(lines: DataFrame) -> DataFrame:
 
 
 def repair_trace_rows(lines: DataFrame, fixed: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(good, bad): rows with the header's number of fields, and the others.
+    """(good, bad): rows whose fields under the header are all there and numbers, and the others.
+
+    Fields beyond the header's are ignored.  A dash stands for a missing value, as the sink of this library writes it.
 
     ``lines(chain, line_no, line)``, header at line 0.  A bad first row or two
     bad rows in a row fail the job.  Each bad row is compared with the one
@@ -157,7 +162,8 @@ def repair_trace_rows(lines: DataFrame, fixed: int | None = None) -> tuple[DataF
     """
     split = split_trace_lines(lines)
     width = F.lit(fixed) if fixed is not None else F.size("header")
-    marked = split.withColumn("bad", F.size("fields") != width)
+    numbers = F.forall(F.slice("fields", F.lit(1), width), lambda x: (x == "-") | x.try_cast("double").isNotNull())
+    marked = split.withColumn("bad", (F.size("fields") < width) | ~numbers)
     broken = marked.filter("bad").select("chain", "line_no", "line")
     previous = broken.select("chain", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("_twice"))
     fatal = (F.col("line_no") == 1) | F.coalesce("_twice", F.lit(False))
@@ -266,32 +272,38 @@ def _numbered_locus_lines(spark: SparkSession, paths: Paths, locus_pattern: str)
 
 
 def read_migration_history(spark: SparkSession, paths: Paths, locus_pattern: str = r"L(\d+)") -> DataFrame:
-    """(locus, gen, branch, node_pop, node_time, time, source, target).
+    """(locus, gen, branch, node_pop, event, time, source, target).
 
-    A line holds ``pop:time*target&source$time*...;`` per branch; branches
-    without migrations have NULL events.  Directions are backward in time: the
-    lineage leaves ``source``.
+    A line holds the branches, each ``pop:`` and then events ``time*target&source``, parted by ``$``, closed by ``;``.
+    Events are numbered from 0 along the branch; a branch without any has one row of NULLs.  Directions are backward in time: the
+    lineage leaves ``source``.  Where it passes into the parent population, that is an event too, with the parent as
+    ``target``; see :func:`mark_crossings`.
     """
     lines = _numbered_locus_lines(spark, paths, locus_pattern)
     branches = lines.select("locus", (F.col("line_no") + 1).alias("gen"), F.posexplode(F.split("line", ";")).alias("branch", "b")).filter(
         F.trim("b") != ""
     )
-    parts = branches.withColumn("head", F.regexp_extract("b", r"^\s*([^*]+)", 1)).withColumn(
-        "events", F.expr(r"regexp_extract_all(b, r'\*([^*&]+)&([^*$]+)\$([-+0-9.eE]+)', 0)")
+    events = F.filter(F.split(F.substring_index("b", ":", -1), r"\$"), lambda e: F.trim(e) != "")
+    each = branches.select(
+        "locus", "gen", "branch", F.trim(F.substring_index("b", ":", 1)).alias("node_pop"), F.posexplode_outer(events).alias("event", "e")
     )
-    pattern = r"\*([^*&]+)&([^*$]+)\$([-+0-9.eE]+)"
-    each = parts.select("locus", "gen", "branch", "head", F.explode_outer("events").alias("e"))
-    field = lambda i: F.when(F.col("e").isNotNull(), F.regexp_extract("e", pattern, i))
-    return each.select(
-        "locus", "gen", "branch",
-        F.regexp_extract("head", r"^([^:]+)", 1).alias("node_pop"),
-        F.regexp_extract("head", r":(.+)$", 1).try_cast("double").alias("node_time"),
-        field(3).try_cast("double").alias("time"),
-        field(2).alias("source"),
-        field(1).alias("target"),
+    form = r"^\s*([^*]+)\*([^&]+)&(.+?)\s*$"
+    wrong = F.raise_error(F.concat(F.lit("no migration event: "), F.col("e"))).cast("string")
+    checked = each.withColumn("e", F.when(F.col("e").isNull() | F.col("e").rlike(form), F.col("e")).otherwise(wrong))
+    field = lambda i: F.when(F.col("e").isNotNull(), F.regexp_extract("e", form, i))
+    return checked.select(
+        "locus", "gen", "branch", "node_pop", "event",
+        field(1).cast("double").alias("time"), field(3).alias("source"), field(2).alias("target"),
     )
 
 
+def mark_crossings(history: DataFrame, parents: DataFrame) -> DataFrame:
+    """Add ``crossing``: the event only passes from a population into its parent (``parents``: label, parent)."""
+    up = parents.select(F.col("label").alias("source"), F.col("parent").alias("_parent"))
+    marked = history.join(up, "source", "left").withColumn("crossing", F.coalesce(F.col("target") == F.col("_parent"), F.lit(False)))
+    return marked.select(*history.columns, "crossing")
+
+
 def _locus_table(spark: SparkSession, paths: Paths, locus_pattern: str) -> DataFrame:
     """(locus, gen, param, value) of per-locus tables whose columns may differ."""
     lines = _numbered_locus_lines(spark, paths, locus_pattern)

@@ -19,7 +19,7 @@ def rows(df):
 
 
 def make_trace(spark, values, chain="c", param="p"):
-    return spark.createDataFrame([(chain, i + 1, param, float(v)) for i, v in enumerate(values)], "chain string, gen long, param string, value double")
+    return spark.createDataFrame([(chain, i + 1, param, None if v is None else float(v)) for i, v in enumerate(values)], "chain string, gen long, param string, value double")
 
 
 def test_lgamma(spark):
@@ -280,9 +280,9 @@ def test_side_files(spark, tmp_path):
 
 def test_bad_trace_rows(spark, tmp_path):
     path = tmp_path / "m.txt"
-    path.write_text("Gen\ta\tb\n1\t1\t2\n2\t1\n3\t3\t-\n")
+    path.write_text("Gen\ta\tb\n1\t1\t2\n2\t1\n3\t3\t4\t9\n4\t5\tx\n5\t6\t-\n")
     assert rows(text.read_trace(spark, str(path)).select("gen", "param", "value").na.fill(-9.0)) == [
-        (1, "a", 1.0), (1, "b", 2.0), (3, "a", 3.0), (3, "b", -9.0)
+        (1, "a", 1.0), (1, "b", 2.0), (3, "a", 3.0), (3, "b", 4.0), (5, "a", 6.0), (5, "b", -9.0)
     ]
     for lines in ("Gen\ta\n1\n2\t1\n", "Gen\ta\n1\t1\n2\n3\n4\t1\n"):
         path.write_text(lines)
@@ -293,3 +293,40 @@ def test_bad_trace_rows(spark, tmp_path):
 def test_trace_text_layout(spark):
     df = make_trace(spark, [0.123456789], param="theta:1").unionByName(make_trace(spark, [-10.98765], param="lnL"))
     assert rows(sinks.wide_trace(df, ["theta:1", "lnL"])) == [("c", 1, "0.123457", "-10.988")]
+
+
+def test_migration_history_text(spark, tmp_path):
+    (tmp_path / "x.L7.txt").write_text("A:0.1*B&A$0.3*C&B;A:;C:0.2*D&C;\n")
+    history = text.read_migration_history(spark, str(tmp_path / "x.L7.txt"))
+    got = rows(text.mark_crossings(history, spark.createDataFrame([("B", "C")], "label string, parent string")).na.fill(-1).na.fill("-"))
+    assert sorted(got) == [
+        (7, 1, 0, "A", 0, 0.1, "A", "B", False), (7, 1, 0, "A", 1, 0.3, "B", "C", True), (7, 1, 1, "A", -1, -1.0, "-", "-", False),
+        (7, 1, 2, "C", 0, 0.2, "C", "D", False),
+    ]
+
+
+def test_missing_samples_take_no_part(spark):
+    values = [None, 1.0, 2.0, 3.0, None, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, None]
+    df = make_trace(spark, values, param="a").unionByName(make_trace(spark, [None, None], param="b"))
+    got = {x.param: (x["median"], x.q025, x.q975) for x in trace.trace_quantiles(df).collect()}
+    assert got == {"a": (5.0, 1.0, 9.0), "b": (None, None, None)}
+    assert {x.param: x.hpd_lo for x in trace.hpd_interval(df).collect()} == {"a": 1.0, "b": None}
+    long = [float((i * 37) % 61) for i in range(61)]
+    some = make_trace(spark, [*long[:20], None, *long[20:]], param="a")
+    assert trace.ess(some).collect()[0].ess is not None
+
+
+def test_control_characters_are_fatal(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("1 4\na^A A\x01CGT\n")
+    with pytest.raises(Exception, match="control character"):
+        text.read_alignments(spark, str(tmp_path / "c.txt")).collect()
+
+
+def test_t92_uses_the_gc_share_only(spark):
+    p = [
+        likelihood.transition_probs(
+            spark.createDataFrame([("T92", 0.3, 2.0, f)], "model string, t double, kappa double, freqs array<double>")
+        ).collect()[0].p
+        for f in ([0.3, 0.2, 0.15, 0.35], [0.35, 0.15, 0.2, 0.3])
+    ]
+    assert p[0] == pytest.approx(p[1]) and all(sum(p[0][i : i + 4]) == pytest.approx(1) for i in range(0, 16, 4))
