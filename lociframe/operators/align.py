@@ -106,7 +106,10 @@ def select_loci(df: DataFrame, loci: DataFrame) -> DataFrame:
 
 
 def map_species(tagged: DataFrame, imap: DataFrame) -> DataFrame:
-    return tagged.join(imap.withColumnRenamed("individual", "tag"), "tag")
+    """Add each tag's species; a tag without one fails the job."""
+    joined = tagged.join(imap.withColumnRenamed("individual", "tag"), "tag", "left")
+    missing = F.raise_error(F.concat(F.lit("no species for individual "), F.col("tag"))).cast("string")
+    return joined.withColumn("species", F.coalesce("species", missing))
 
 
 def unmapped_individuals(tagged: DataFrame, imap: DataFrame) -> DataFrame:
@@ -125,18 +128,17 @@ def assign_partition(loci: DataFrame, partitions: DataFrame) -> DataFrame:
 
     Ranges are cut at multiples of their own bucket width and joined by
     equality on the bucket, so neither side is repeated against all of the
-    other.
+    other.  A locus outside all blocks fails the job.
     """
     width = 1024
     cells = partitions.withColumn(
         "_cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
     )
-    return (
-        loci.withColumn("_cell", F.floor(F.col("locus") / width))
-        .join(cells, "_cell")
-        .filter(F.col("locus").between(F.col("start"), F.col("end")))
-        .drop("_cell", "start", "end")
-    )
+    rows = loci.withColumn("_own", F.floor(F.col("locus") / width))
+    inside = (F.col("_own") == F.col("_cell")) & F.col("locus").between(F.col("start"), F.col("end"))
+    outside = F.raise_error(F.concat(F.lit("no partition for locus "), F.col("locus").cast("string"))).cast(rows.schema["locus"].dataType)
+    joined = rows.join(cells, inside, "left")
+    return joined.withColumn("locus", F.when(F.col("start").isNull(), outside).otherwise(F.col("locus"))).drop("_own", "_cell", "start", "end")
 
 
 def validate_partitions(partitions: DataFrame, first: int = 1) -> DataFrame:

@@ -167,18 +167,18 @@ def read_migration_history(spark, sf):
     )
 
 
-_MIGWIDE = """w AS (SELECT locus, gen, sum(n) FILTER (source = 0) AS a, sum(n) FILTER (source = 1) AS b FROM mig GROUP BY 1, 2)"""
+_MIGWIDE = """w AS (SELECT locus, gen, sum(n) FILTER (source = 0) AS a, sum(n) FILTER (source = 1) AS b, sum(n) FILTER (source = 2) AS c, sum(n) FILTER (source = 3) AS d FROM mig GROUP BY 1, 2)"""
 
 
 @query(
     "read_migcounts",
-    f"WITH {MIG}, {_MIGWIDE} SELECT locus, s AS source, CASE s WHEN 'A' THEN 'B' ELSE 'A' END AS target, CAST(sum(coalesce(CASE s WHEN 'A' THEN a ELSE b END, 0)) AS BIGINT) AS n FROM w, (VALUES ('A'), ('B')) v(s) GROUP BY 1, 2, 3",
+    f"WITH {MIG}, {_MIGWIDE} SELECT locus, s AS source, CASE s WHEN 'A' THEN 'B' ELSE 'A' END AS target, CAST(sum(coalesce(CASE s WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c ELSE d END, 0)) AS BIGINT) AS n FROM w, (VALUES ('A'), ('B'), ('C'), ('D')) v(s) GROUP BY 1, 2, 3",
 )
 def read_migcounts(spark, sf):
     mig = A.migcounts(spark, sf)
     total = lambda k: F.coalesce(F.sum(F.when(F.col("source") == k, F.col("n"))), F.lit(0))
-    lines = mig.groupBy("locus", "gen").agg(F.concat_ws("\t", total(0), total(1)).alias("line"))
-    out = text.read_migcounts(spark, _per_locus(lines, "W_A->B\tW_B->A", spark, "migcounts"), _BY_FOLDER)
+    lines = mig.groupBy("locus", "gen").agg(F.concat_ws("\t", *map(total, range(4))).alias("line"))
+    out = text.read_migcounts(spark, _per_locus(lines, "W_A->B\tW_B->A\tW_C->A\tW_D->A", spark, "migcounts"), _BY_FOLDER)
     return out.groupBy("locus", "source", "target").agg(F.sum("n").alias("n"))
 
 

@@ -307,13 +307,13 @@ def log_pdfs(spark, sf):
 
 @query(
     "moment_fits",
-    """WITH m AS (SELECT l_suppkey, avg(l_discount * 5 + 0.1) AS m, var_samp(l_discount * 5 + 0.1) AS v FROM lineitem GROUP BY 1 HAVING count(*) > 1 AND v > 0),
-    z AS (SELECT *, CASE WHEN m * (1 - m) / v - 1 <= 0 THEN 0.01 ELSE m * (1 - m) / v - 1 END AS z FROM m)
+    """WITH m AS (SELECT l_suppkey, avg(l_discount * 5 + 0.1) AS m, nullif(var_samp(l_discount * 5 + 0.1), 0) AS v FROM lineitem GROUP BY 1),
+    z AS (SELECT *, CASE WHEN v IS NULL THEN NULL WHEN m * (1 - m) / v - 1 <= 0 THEN 0.01 ELSE m * (1 - m) / v - 1 END AS z FROM m)
     SELECT l_suppkey, round(m * z, 6) AS p, round((1 - m) * z, 6) AS q, round(m * m / v, 6) AS a, round(m / v, 6) AS b FROM z""",
 )
 def moment_fits(spark, sf):
     x = F.col("l_discount") * 5 + 0.1
-    stats = A.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.avg(x).alias("m"), F.var_samp(x).alias("v")).filter("v > 0")
+    stats = A.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.avg(x).alias("m"), F.nullif(F.var_samp(x), F.lit(0.0)).alias("v"))
     (p, q), (a, b) = M.beta_from_moments(F.col("m"), F.col("v")), M.gamma_from_moments(F.col("m"), F.col("v"))
     return stats.select("l_suppkey", r(p).alias("p"), r(q).alias("q"), r(a).alias("a"), r(b).alias("b"))
 

@@ -183,11 +183,11 @@ def distinct_topologies(spark, sf):
 
 @query(
     "clade_intersection",
-    f"WITH {SAMPLE} SELECT DISTINCT clade FROM clade JOIN sample USING (gen) WHERE u < 550 INTERSECT SELECT DISTINCT clade FROM clade JOIN sample USING (gen) WHERE u >= 750",
+    f"WITH {SAMPLE} SELECT DISTINCT clade FROM clade JOIN sample USING (gen) WHERE u < 550 INTERSECT SELECT DISTINCT clade FROM clade JOIN sample USING (gen) WHERE u >= 550",
 )
 def clade_intersection(spark, sf):
     trees = A.tree_sample(spark, sf).withColumn("u", (F.col("gen") * 7919) % 1000)
-    one, two = T.clade_counts(trees.filter("u < 550")), T.clade_counts(trees.filter("u >= 750"))
+    one, two = T.clade_counts(trees.filter("u < 550")), T.clade_counts(trees.filter("u >= 550"))
     return _key(T.clade_intersection(one, two))
 
 

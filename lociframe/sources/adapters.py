@@ -30,15 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition a scan that has fewer splits than the session has cores.
-
-    Only small inputs are affected; a large table already has enough splits.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One locus per document: the whole text dealt to four sequences.
 
@@ -47,7 +38,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequence 0 otherwise, so columns are correlated.  The text is padded to a
     multiple of four with gaps.
     """
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition("doc_id")
     padded = F.rpad("text", (F.ceil(F.length("text") / SEQUENCES) * SEQUENCES).cast("int"), "~")
     rows = F.array(
         *[
