@@ -3,7 +3,8 @@
 A paragraph's digest enters one cell of each third of a sketch: a count, an XOR of digests and an XOR of checks.  The
 cells of two versions subtract; a cell with a single digest left gives it away, and taking it out of its other cells
 opens further ones (peeling) until all cells are empty, which lists the differing digests.  If peeling gets stuck, the
-sketch is made anew, larger: with twice the sub-sketches, each digest being in one of them, and other hash functions.
+sketch is made anew, larger: as sub-sketches, each digest being in one of them, and each that still gets stuck is made
+again with twice the cells and other hash functions.
 """
 
 from __future__ import annotations
@@ -13,37 +14,51 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Cells of a third of the fingerprint, and of a sub-sketch in a retry.
+#: Cells of a third of the fingerprint, and of a sub-sketch in the first retry.
 THIRD, RETRY_THIRD = 4, 8
+#: A sub-sketch is made anew with twice the cells, up to so often: two digests share all cells of the last with
+#: probability 1e-9, and of all in turn with less than 1e-30.
+RETRIES = 8
 CHECK = 998_244_353
+#: Digests are numbers below 2**DIGEST_BITS.
+DIGEST_BITS = 60
 ROUNDS = 24
 #: Rows about of one block of neighbours, and pieces of the doc_id range.
 ROWS_A_BLOCK, PIECES = 2000, 64
 
 
 def paragraphs(text: Column) -> Column:
-    """Distinct 60-bit digests of a text's non-empty paragraphs (between line feeds)."""
+    """Distinct 60-bit digests of a text's non-empty paragraphs (between line feeds), ascending."""
     digest = lambda p: F.conv(F.substring(F.md5(p.cast("binary")), 1, 15), 16, 10).cast("long")
-    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), digest))
+    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), digest)))
 
 
-def _third_cell(digest: Column, third: Column | int, third_cells: int, attempt: int | Column) -> Column:
-    modulus = F.lit(1_000_003) + (F.lit(34) * attempt if isinstance(attempt, int) else attempt * 34) + (third * 10 if isinstance(third, Column) else F.lit(third * 10))
-    return F.pmod(F.pmod(digest, modulus.cast("long")), F.lit(third_cells)).cast("int")
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def sketch(digests: Column, third_cells: int, attempt: int | Column) -> Column:
+def _cells_of(digest: Column, third_cells: Column, attempt: Column) -> Column:
+    """The three cells of a digest, one in each third."""
+    modulus = lambda third: (attempt * 34 + (1_000_003 + 10 * third)).cast("long")
+    return F.array(*(F.pmod(F.pmod(digest, modulus(t)), third_cells).cast("int") + third_cells * t for t in range(3)))
+
+
+def _numbers(third_cells: Column) -> Column:
+    return F.sequence(F.lit(0), third_cells * 3 - 1)
+
+
+def sketch(digests: Column, third_cells: Column, attempt: Column) -> Column:
     """Cells (count c, XOR of digests i, XOR of checks k) of a set of digests."""
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("k"))
     add = lambda x, d: F.struct(
-        (x["c"] + 1).alias("c"), x["i"].bitwiseXOR(d).alias("i"), x["k"].bitwiseXOR(F.pmod(d, F.lit(CHECK))).alias("k")
+        (x["c"] + 1).alias("c"), x["i"].bitwiseXOR(d["d"]).alias("i"), x["k"].bitwiseXOR(F.pmod(d["d"], F.lit(CHECK))).alias("k")
     )
-
-    def cell(n: Column) -> Column:
-        third, place = F.floor(n / third_cells).cast("int"), F.pmod(n, F.lit(third_cells))
-        return F.aggregate(F.filter(digests, lambda d: _third_cell(d, third, third_cells, attempt) == place), zero, add)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * third_cells - 1)), cell)
+    placed = F.transform(digests, lambda d: F.struct(d.alias("d"), _cells_of(d, third_cells, attempt).alias("at")))
+    cells = lambda ds: F.transform(
+        _numbers(third_cells), lambda n: F.aggregate(F.filter(ds, lambda d: F.array_contains(d["at"], n)), zero, add)
+    )
+    return _once(placed, cells)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -53,20 +68,20 @@ def subtract(a: Column, b: Column) -> Column:
     )
 
 
-def peel(cells: Column, third_cells: int, attempt: int | Column) -> Column:
+def peel(cells: Column, third_cells: Column, attempt: Column) -> Column:
     """Number of digests that subtracted cells hold; null if peeling gets stuck."""
     start = F.struct(cells.alias("cells"), F.lit(0).alias("n"), F.lit(True).alias("open"))
 
     def take(state: Column) -> Column:
         single = F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["k"] == F.pmod(x["i"], F.lit(CHECK))))
-        pure = F.array_distinct(F.transform(single, lambda x: F.struct(x["c"].alias("c"), x["i"].alias("i"))))
+        pure = F.array_distinct(
+            F.transform(single, lambda x: F.struct(x["c"].alias("c"), x["i"].alias("i"), _cells_of(x["i"], third_cells, attempt).alias("at")))
+        )
 
         def remove(pure: Column) -> Column:
             def cell(x: Column, n: Column) -> Column:
-                third, place = F.floor(n / third_cells).cast("int"), F.pmod(n, F.lit(third_cells))
-                here = F.filter(pure, lambda p: _third_cell(p["i"], third, third_cells, attempt) == place)
                 return F.aggregate(
-                    here, x,
+                    F.filter(pure, lambda p: F.array_contains(p["at"], n)), x,
                     lambda y, p: F.struct(
                         (y["c"] - p["c"]).alias("c"), y["i"].bitwiseXOR(p["i"]).alias("i"),
                         y["k"].bitwiseXOR(F.pmod(p["i"], F.lit(CHECK))).alias("k"),
@@ -77,39 +92,50 @@ def peel(cells: Column, third_cells: int, attempt: int | Column) -> Column:
                 F.transform(state["cells"], cell).alias("cells"), (state["n"] + F.size(pure)).alias("n"), (F.size(pure) > 0).alias("open")
             )
 
-        return F.element_at(F.transform(F.array(pure), remove), 1)  # binds `pure` once
+        return _once(pure, remove)
 
     done = F.aggregate(
         F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda state, _: F.when(state["open"], take(state)).otherwise(state)
     )
-    bound = F.transform(F.array(done), lambda s: F.when(F.forall(s["cells"], lambda x: (x["c"] == 0) & (x["i"] == 0)), s["n"]))
-    return F.element_at(bound, 1)
+    return _once(done, lambda s: F.when(F.forall(s["cells"], lambda x: (x["c"] == 0) & (x["i"] == 0)), s["n"]))
+
+
+def _below(digests: Column, value: Column) -> Column:
+    """How many of the sorted digests are below a value: a binary search."""
+    steps = F.sequence(F.ceil(F.log2(F.size(digests) + 1)).cast("int"), F.lit(0), F.lit(-1))
+    power = lambda s: F.call_function("shiftleft", F.lit(1), s)
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(digests, at + power(s) - 1) < value, at + power(s)).otherwise(at))
 
 
 def differing(a: Column, b: Column, base: Column) -> Column:
-    """Number of digests in one of the sets ``a`` and ``b`` only; ``base`` is their subtracted fingerprints.
+    """Number of digests in one of the sorted sets ``a`` and ``b`` only; ``base`` is their subtracted fingerprints.
 
-    Retry r has 2**(r-1) sub-sketches.  The first has half as many digests as cells or less, if all differ, and each
-    further one doubles the cells.
+    If these don't peel, the digests are cut by their leading bits into ranges of at most about half as many digests
+    as a sub-sketch has cells.  A range that doesn't peel is made anew, larger, alone; work grows with n log n.
     """
-    first = peel(base, THIRD, 0)
-    begin = F.greatest(F.ceil(F.log2((F.size(a) + F.size(b) + 1) / (1.5 * RETRY_THIRD))) + 1, F.lit(1)).cast("int")
+    first = peel(base, F.lit(THIRD), F.lit(0))
+    bits = F.greatest(F.ceil(F.log2((F.size(a) + F.size(b) + 1) / (1.5 * RETRY_THIRD))), F.lit(0)).cast("int")
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(DIGEST_BITS) - bits)
 
-    def attempt(r: Column) -> Column:
-        parts = F.pow(F.lit(2.0), r - 1).cast("int")
+    def part(p: Column) -> Column:
+        def mine(digests: Column) -> Column:
+            ends = F.struct(_below(digests, width * p).alias("lo"), _below(digests, width * (p + 1)).alias("hi"))
+            return F.when(bits == 0, digests).otherwise(_once(ends, lambda x: F.slice(digests, x["lo"] + 1, x["hi"] - x["lo"])))
 
-        def part(p: Column) -> Column:
-            mine = lambda d: F.pmod(F.floor(d / 4096), parts) == p
-            return peel(
-                subtract(sketch(F.filter(a, mine), RETRY_THIRD, r), sketch(F.filter(b, mine), RETRY_THIRD, r)), RETRY_THIRD, r
-            )
+        def attempt(sets: Column, third: Column) -> Column:
+            cells = subtract(sketch(sets["a"], third, third), sketch(sets["b"], third, third))
+            return F.coalesce(peel(cells, third, third), F.lit(-1))
 
-        each = F.transform(F.sequence(F.lit(0), parts - 1), part)
-        total = lambda s, x: F.when((s < 0) | x.isNull(), F.lit(-1)).otherwise(s + x)
-        return F.aggregate(each, F.lit(0), total)
+        thirds = F.array(*(F.lit(RETRY_THIRD << r) for r in range(RETRIES)))
+        tries = lambda sets: F.aggregate(
+            thirds, F.lit(-1), lambda n, third: F.when(n >= 0, n).otherwise(attempt(sets, third))
+        )
+        return _once(F.struct(mine(a).alias("a"), mine(b).alias("b")), tries)
 
-    start = F.coalesce(first, F.lit(-1))
-    return F.aggregate(F.sequence(begin, begin + 4), start, lambda s, r: F.when(s >= 0, s).otherwise(attempt(r)))
+    each = F.transform(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), bits) - 1), part)
+    stuck = F.raise_error(F.lit("a sub-sketch did not peel")).cast("int")
+    retried = F.aggregate(each, F.lit(0), lambda total, n: F.when(n < 0, stuck).otherwise(total + n))
+    return F.coalesce(first, retried)
 
 
 def likeness(a: Column, b: Column, differ: Column) -> Column:
@@ -171,7 +197,7 @@ def fingerprints(df: DataFrame) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("a"),
         paragraphs(F.col("edited")).alias("e"), paragraphs(F.col("next_text")).alias("x"),
     )
-    rows = rows.select("*", *(sketch(F.col(c), THIRD, 0).alias(f"s{c}") for c in "aex"))
+    rows = rows.select("*", *(sketch(F.col(c), F.lit(THIRD), F.lit(0)).alias(f"s{c}") for c in "aex"))
     rows = rows.select("*", *(differing(F.col("a"), F.col(c), subtract(F.col("sa"), F.col(f"s{c}"))).alias(f"d{c}") for c in "ex"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("sa")).alias("fingerprint"), written(F.col("se")).alias("edited_fingerprint"),

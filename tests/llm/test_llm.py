@@ -308,6 +308,16 @@ def test_fingerprints_of_long_documents(spark):
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"aba").hexdigest()
 
 
+def test_fingerprints_of_a_thousand_and_more_paragraphs(spark):
+    """Every range of digests must peel: with thousands of them some don't at first."""
+    r = random.Random(3)
+    common = [f"common {r.randrange(10**9)}" for _ in range(500)]
+    texts = ["\n".join(common + [f"own {r.randrange(10**9)}" for _ in range(2500)]) for _ in range(2)]
+    sets = [set(t.split("\n")) for t in texts]
+    rows = sketches.fingerprints(frame(spark, texts)).collect()
+    assert [x.near_next for x in rows] == [pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))] * 2
+
+
 # nearest neighbours
 
 
