@@ -3,7 +3,8 @@
 A document's signature has SYMBOLS minima of permuted shingle hashes, B bits of each.  It is split into chunks; of two
 signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 symbols some chunk differs in at most ERRORS (pigeonhole).
 All errors allowed in a chunk are enumerated as keys with those symbols masked, so any such pair meets at an equal key.
-At the similarity threshold itself a pair is missed with probability 3e-7 (every chunk has two errors or more).
+At the similarity threshold itself a pair is missed (every chunk has two errors or more) with probability 3e-7 for a
+threshold of 0.85 and 2e-5 for 0.8.
 
 Pairs are never written out.  Where signatures meet at a key, a block of them is compared inside a task, which returns
 at most one edge for each; the families these edges make are then confirmed on full shingle sets, again in blocks.
@@ -12,6 +13,7 @@ at most one edge for each; the families these edges make are then confirmed on f
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,14 +29,20 @@ from .graph import components
 WORDS = 5
 CHUNKS, CHUNK, ERRORS = 10, 6, 1
 SYMBOLS = CHUNKS * CHUNK
-#: Signatures further apart than this share of their symbols are no candidates: 5.4 standard deviations beyond the mean
-#: distance of two sets at the threshold of 0.85.
-FAR = 0.4
+#: Signatures further apart than the mean distance of two sets at the threshold and so many standard deviations are no
+#: candidates.
+DEVIATIONS = 5.4
 #: Members of one block; larger groups meet block by block.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def farthest(percent: int) -> int:
+    """The number of differing symbols up to which two signatures are near."""
+    unlike = 1 - percent / 100
+    return min(SYMBOLS, math.ceil(SYMBOLS * unlike + DEVIATIONS * (SYMBOLS * unlike * (1 - unlike)) ** 0.5))
+
+
 @lru_cache(1)
 def _random() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values of the 256 bytes, and the masks and factors of the permutations."""
@@ -170,13 +178,13 @@ def _stars(union: _Union, nodes: list[bytes]) -> list[tuple[bytes, bytes]]:
     return [(nodes[union.find(i)], nodes[i]) for i in range(len(nodes)) if union.find(i) != i]
 
 
-def families(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all of ``nodes`` (node, signature) whose signatures meet at a key and are near.
+def families(nodes: DataFrame, far: int) -> DataFrame:
+    """Edges (a, b) that connect all of ``nodes`` (node, signature) whose signatures meet at a key and differ in at most
+    ``far`` symbols.
 
     Keys that only one signature has go first.  The signatures at one key are compared block by block; a block pair
     returns a spanning forest of its near pairs.
     """
-    far = int(FAR * SYMBOLS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +228,7 @@ def families(nodes: DataFrame) -> DataFrame:
 def confirm(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of ``members`` (family, node, signature, text): within a family the pairs with near signatures are
     compared on their full shingle sets, nearest first, leaving out those already linked in this block."""
-    far = int(FAR * SYMBOLS)
+    far = farthest(percent)
     sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1))
     sizes = stored(sizes.select("family", blocks.alias("blocks"), "bytes"), "families")
@@ -258,7 +266,7 @@ def confirm(members: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("part").applyInPandas(check, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``df`` (doc_id, text).
 
     Two documents are linked when 100 * |A and B| >= ``percent`` * |A or B| for their sets of 5-word shingles (A-Z in
@@ -275,7 +283,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
         ),
         "nodes",
     )
-    related = components(families(nodes)).withColumnRenamed("component", "family")
+    related = components(families(nodes, farthest(percent))).withColumnRenamed("component", "family")
     chosen = related.join(nodes, "node").select("family", "node", "signature", "example.*")
     texts = df.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     members = stored(texts.join(chosen, ["doc_id", "text_key"]).select("family", "node", "signature", "text"), "members")

@@ -51,7 +51,7 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

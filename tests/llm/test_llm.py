@@ -140,7 +140,8 @@ def test_bpe_query(spark, encoding):
 # near duplicates
 
 
-def test_near_duplicate_groups(spark, monkeypatch):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicate_groups(spark, monkeypatch, percent):
     monkeypatch.setattr(neardup, "BLOCK", 8)  # many block pairs
     r = random.Random(5)
     base = [f"w{r.randrange(900)}" for _ in range(200)]
@@ -155,10 +156,10 @@ def test_near_duplicate_groups(spark, monkeypatch):
     for i in range(60):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 up = [up[j] if u == up[i] else u for u in up]
     least = {u: min(i for i in range(60) if up[i] == u) for u in up}
-    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(frame(spark, texts)).collect()}
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(frame(spark, texts), percent).collect()}
     assert got == {i: least[up[i]] for i in range(60)}
 
 
