@@ -30,8 +30,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates; rows that repeat a doc_id count once."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """The document of smallest doc_id of each group that similarities of 0.8 or more link; rows that repeat a doc_id
+    count once."""
+    kept = neardup.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     d, k = docs.select(*COLUMNS).alias("d"), kept.alias("k")
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     joined = d.join(k, F.expr("d.doc_id <=> k.doc_id"), "left_semi").withColumn("again", F.row_number().over(same))
