@@ -20,6 +20,8 @@ from lociframe.session import cut_lineage
 FIT_BOUNDS = (0.5, 99999.0)
 CLIP = 1e-9
 CHECKPOINT_EVERY = 10
+#: least variance of a parameter, so that constant columns and single samples have a fit
+LEAST_VAR = 1e-12
 
 
 def _psi(x: float) -> tuple[float, float]:
@@ -108,7 +110,9 @@ def label_switch(
     """Process one bidirectional event; returns the trace and the rows mirrored.
 
     The whole of ``trace`` is one sample (pass one chain at a time to treat
-    chains apart).  Do not use it when both thetas are linked.
+    chains apart).  Do not use it when both thetas are linked.  Constant columns
+    and single samples are fitted with a least variance; without samples of each
+    parameter the trace comes back as it is.
     """
     names = [phi_x, phi_y] + ([theta_x, theta_y] if theta_x and theta_y else [])
     clip = lambda c: F.greatest(F.least(c, F.lit(1 - CLIP)), F.lit(CLIP))
@@ -134,16 +138,18 @@ def label_switch(
         return df.agg(*aggs).first().asDict()
 
     def fitted(s: dict, old: dict | None) -> dict:
-        fit = {"mean": [s[f"m{i}"] for i in range(len(names))], "var": [s[f"v{i}"] for i in range(len(names))]}
+        fit = {"mean": [s[f"m{i}"] for i in range(len(names))], "var": [max(s[f"v{i}"] or 0.0, LEAST_VAR) for i in range(len(names))]}
         if old is None:
-            fit["beta"] = [_moment_beta(s[f"m{i}"], s[f"v{i}"]) for i in (0, 1)]
-            fit["gamma"] = [(s[f"m{i}"] ** 2 / s[f"v{i}"], s[f"m{i}"] / s[f"v{i}"]) for i in range(2, len(names))]
+            fit["beta"] = [_moment_beta(fit["mean"][i], fit["var"][i]) for i in (0, 1)]
+            fit["gamma"] = [(fit["mean"][i] ** 2 / fit["var"][i], fit["mean"][i] / fit["var"][i]) for i in range(2, len(names))]
         elif method == "beta_gamma":
             fit["beta"] = [fit_beta(s[f"l{i}"], s[f"k{i}"], old["beta"][i]) for i in (0, 1)]
             fit["gamma"] = [fit_gamma(s[f"m{i}"], s[f"l{i}"], old["gamma"][i - 2]) for i in range(2, len(names))]
         return fit
 
     summary = summarise(state, F.lit(False))
+    if any(summary[f"m{i}"] is None for i in range(len(names))):
+        return trace, 0  # a parameter without samples: nothing to fit
     fit = fitted(summary, None)
     for round_no in range(max_rounds):
         flip = _gain(method, fit, on_side(F.col("side")), on_side(~F.col("side"))) > 0

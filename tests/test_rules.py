@@ -112,6 +112,14 @@ def test_conditional_mixture_missing_rows(spark):
         conditionals.conditional_to_marginal(half, "gamma").collect()
 
 
+@pytest.mark.parametrize("samples", [0, 1, 5])
+def test_label_switch_of_constant_columns(spark, samples):
+    rows = [("c", g, p, v) for g in range(samples) for p, v in (("px", 0.2), ("py", 0.3), ("tx", 1.0), ("ty", 2.0))]
+    df = spark.createDataFrame(rows, "chain string, gen long, param string, value double")
+    fixed, n = label_switch.label_switch(df, "px", "py", "tx", "ty")
+    assert n == 0 and sorted(map(tuple, fixed.collect())) == sorted(rows)
+
+
 @pytest.mark.parametrize("method", ["cog0", "cogn", "beta_gamma"])
 def test_label_switch_recovers_sides(spark, method):
     rng = random.Random(1)
