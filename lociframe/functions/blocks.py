@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.session import cut_lineage
+
 #: iterations per block when rows are ordered by the sampled iteration
 GEN_BLOCK = 65536
 #: value buckets are delimited by 2**BOUND_STEPS - 1 approximate quantiles
@@ -83,12 +85,14 @@ def value_ranks(df: DataFrame, keys: list[str], value: str = "value") -> DataFra
     Rows collapse to distinct values before any ordered work, so ties (logs
     print 6 decimals) shrink the shuffle instead of skewing it.  Buckets of
     roughly equal depth come from approximate quantiles; the ranks themselves
-    are exact whatever the buckets are.
+    are exact for any one set of bounds.  Approximate quantiles depend on the
+    order in which parts are merged, so the bounds (a row per group) are stored:
+    a second evaluation or a retried stage sees the same ones.
     """
     distinct = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
     n = 2**BOUND_STEPS
-    bounds = distinct.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / n for i in range(1, n)], 1000).alias("_bounds")
+    bounds = cut_lineage(
+        distinct.groupBy(*keys).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 1000).alias("_bounds"))
     )
     bucketed = (
         attach_group_row(distinct, bounds, keys, [value])
