@@ -4,13 +4,15 @@ Text nodes are grouped by their path of tags from the root.  Each path has a rat
 punctuation to nodes; both are smoothed over neighbouring paths in page order and fused, and a threshold picks the
 content paths.  The element that holds most of their text is the article; within it everything counts but what its
 tags or names mark as a menu, advert, form, comment and the like.
+
+A name or a form is a hint only: it does not hold for an element with most of the text on content paths, or around main.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,39 +35,100 @@ MARKS = set(
     "related recommended newsletter subscribe signup login cookie cookies consent notice notices alert popup modal overlay widget pagination "
     "pager search skip contentinfo complementary form".split()
 )
+#: Marks that are also topics and parts of layouts: they don't hold where most of the element's text is on content paths.
+WEAK_MARKS = set("search notice notices alert widget overlay skip header banner promotion masthead toolbar pager form login subscribe signup reply share".split())
+#: Marks of running text by others, which can be longer than the page's own.
+OTHERS = set("comment comments disqus respond replies related recommended".split())
+#: First words of names that tell of a mark elsewhere.
+TELLING = {"has", "no", "with", "without"}
 MARK_WORD = re.compile(r"[a-z]+")
+#: Kinds of marks; HARD ones always hold.
+NONE, WEAK, BOX, OTHER, HARD = range(5)
 #: Where the text of an article may be held.
 HOLDERS = ("article", "main")
 #: Punctuation of running text.
 PUNCTUATION = re.compile("[.,;:!?…。，、！？；：।؟،]")
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    if tag in ASIDE:
-        return True
+def _kind(tag: str, attributes: str) -> int:
+    if tag in ASIDE and tag != "form":
+        return HARD
+    kind = BOX if tag == "form" else NONE
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return kind
     if _HIDDEN.search(attributes):
-        return True
+        return HARD
     if tag in ("body", "html", "article", "main"):
-        return False
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
-    return not MARKS.isdisjoint(MARK_WORD.findall(names))
+        return kind
+    for name in " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().split():
+        words = MARK_WORD.findall(name)
+        if words and words[0] not in TELLING:
+            for word in MARKS.intersection(words):
+                kind = max(kind, WEAK if word in WEAK_MARKS else OTHER if word in OTHERS else BOX)
+    return NONE if kind == WEAK and tag in ("h1", "h2", "h3", "h4", "h5", "h6") else kind
 
 
 class Page:
-    """Elements with parent, path number and mark, and the text nodes of a page in order."""
+    """Elements with parent, path number, kind of mark and mark, and the text nodes of a page in order."""
 
     def __init__(self, source: str) -> None:
-        self.parent, self.tag, self.marked, self.path = [-1], [""], [False], [0]
+        self.parent, self.tag, self.kind, self.path = [-1], [""], [NONE], [0]
         self.texts: list[tuple[int, str, bool]] = []  # element, text, whether a block begins
         self.paths: dict[tuple[int, str], int] = {}
         self._read(source)
+        self.mark(set())
+        self._settle()
+
+    def mark(self, ignored: set[int]) -> None:
+        """Marks hold for an element and all in it, but for those of the kinds ``ignored``."""
+        self.marked = [False] * len(self.parent)
+        for element in range(1, len(self.parent)):
+            kind = self.kind[element]
+            self.marked[element] = self.marked[self.parent[element]] or (kind != NONE and kind not in ignored)
+
+    def weights(self, nodes: Iterable[int]) -> list[int]:
+        """Characters of the text nodes within each element."""
+        weight = [0] * len(self.parent)
+        for i in nodes:
+            weight[self.texts[i][0]] += len(self.texts[i][1].strip())
+        for element in range(len(weight) - 1, 0, -1):
+            weight[self.parent[element]] += weight[element]
+        return weight
+
+    def unmarked(self) -> list[int]:
+        return [i for i, (e, text, _) in enumerate(self.texts) if not self.marked[e] and text.strip()]
+
+    def _settle(self) -> None:
+        """Drops the marks that content paths contradict; marks of others' text only where there is next to no other."""
+        kinds = set(self.kind)
+        for kind, ignored, share in ((BOX, {BOX, WEAK}, 0.5), (OTHER, {OTHER, BOX, WEAK}, 0.9), (BOX, {BOX, WEAK}, 0.5), (WEAK, {WEAK}, 0.5)):
+            if kind not in kinds:
+                continue
+            # Unmarked articles and mains with text, within and around each element: none apart from it may be left out.
+            text = self.weights(self.unmarked())
+            within = [int(t in HOLDERS and w > 0) for t, w in zip(self.tag, text)]
+            around, main = list(within), [t == "main" for t in self.tag]
+            for element in range(len(within) - 1, 0, -1):
+                within[self.parent[element]] += within[element]
+                main[self.parent[element]] |= main[element]
+            for element in range(1, len(around)):
+                around[element] += around[self.parent[element]]
+            self.mark(ignored)
+            weight, whole = self.weights(content_nodes(self)), self.weights(self.unmarked())
+            for element in range(1, len(self.kind)):
+                if self.kind[element] != kind:
+                    continue
+                most = weight[element] > 0 and weight[element] >= share * weight[0]
+                running = kind == WEAK and weight[element] > 0 and 2 * weight[element] >= whole[element]
+                apart = within[element] + around[element] < within[0]
+                if main[element] or (most or running) and not apart:
+                    self.kind[element] = NONE
+            self.mark(set())
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
-        self.marked.append(self.marked[parent] or _marked(tag, attributes))
+        self.kind.append(_kind(tag, attributes))
         self.path.append(self.paths.setdefault((self.path[parent], tag), len(self.paths) + 1))
         return len(self.parent) - 1
 
