@@ -3,7 +3,7 @@
 Text nodes are grouped by their path of tags from the root.  Each path has a ratio of text length to nodes and one of
 punctuation to nodes; both are smoothed over neighbouring paths in page order and fused, and a threshold picks the
 content paths.  The element that holds most of their text is the article; within it everything counts but what its
-tags or names mark as a menu, advert, form, comment and the like.
+tags or names mark as a menu, advert, form, comment and the like.  Text on content paths elsewhere counts too.
 
 A name or a form is a hint only: it does not hold for an element with most of the text on content paths, or around main.
 """
@@ -206,29 +206,45 @@ def content_nodes(page: Page) -> set[int]:
     if not order:
         return set()
     n = np.array([count[p] for p in order], float)
-    text_ratio = _smooth(np.array([length[p] for p in order]) / n)
-    mark_ratio = _smooth(np.array([marks[p] for p in order]) / n)
-    fused = text_ratio * (1.0 + mark_ratio)
-    chosen = {p for p, ratio in zip(order, fused) if ratio >= fused.mean() * (1 - 1e-9)}
+    text_ratio, mark_ratio = np.array([length[p] for p in order]) / n, np.array([marks[p] for p in order]) / n
+    chosen = set()
+    for fused in (_smooth(text_ratio) * (1.0 + _smooth(mark_ratio)), text_ratio * (1.0 + mark_ratio)):  # smoothing can hide a path
+        chosen |= {p for p, ratio in zip(order, fused) if ratio >= fused.mean() * (1 - 1e-9)}
     return {i for i, (e, text, _) in enumerate(page.texts) if page.path[e] in chosen and not page.marked[e] and text.strip()}
 
 
-def _holder(page: Page, chosen: set[int], most: float = 0.7) -> int:
-    """The innermost element with most of the chosen text; an article or main around it, if there is one, instead."""
-    weight = [0] * len(page.parent)
-    for i in chosen:
-        weight[page.texts[i][0]] += len(page.texts[i][1])
-    for element in range(len(weight) - 1, 0, -1):
-        weight[page.parent[element]] += weight[element]
-    best = max((e for e in range(len(weight)) if weight[e] >= most * weight[0]), default=0)
-    while best and page.tag[best] in INLINE | {"p", "li", "ul", "ol", "h1", "h2", "h3", "blockquote"}:
-        best = page.parent[best]
-    up = best
-    while up > 0:
-        if page.tag[up] in HOLDERS:
-            return up
-        up = page.parent[up]
-    return best
+def _holders(page: Page, chosen: set[int], most: float = 0.7) -> set[int]:
+    """Elements that are main text as a whole: the innermost one with most of the chosen text; each article or main with
+    chosen text, of a main the article in it that has all of its chosen text, if there is one; and blocks that directly
+    hold chosen text, when that is most of their text."""
+    weight, whole = page.weights(chosen), page.weights(page.unmarked())
+    lines = INLINE | {"p", "li", "ul", "ol", "h1", "h2", "h3", "blockquote", "pre", "dl", "dt", "dd", "figure"}
+
+    def block(element: int) -> int:
+        while element and page.tag[element] in lines:
+            element = page.parent[element]
+        return element
+
+    best = block(max((e for e in range(len(weight)) if weight[e] >= most * weight[0]), default=0))
+    out, top = {best}, {}  # top: of each element, the outermost article or main around it
+    for element in range(1, len(weight)):
+        outer = top.get(page.parent[element])
+        if outer is None and page.tag[element] in HOLDERS and weight[element] and not page.marked[element]:
+            outer = element
+            out.add(element)
+        elif outer and page.tag[outer] == "main" and page.tag[element] == "article" and weight[element] == weight[outer]:
+            out.discard(outer)
+            outer = element
+            out.add(element)
+        if outer:
+            top[element] = outer
+    if best in top:
+        out.discard(best)
+        out.add(top[best])
+    for element in {block(page.texts[i][0]) for i in chosen}:
+        if weight[element] >= most * whole[element]:
+            out.add(element)
+    return out
 
 
 def main_text(source: str | None) -> str:
@@ -237,15 +253,15 @@ def main_text(source: str | None) -> str:
     chosen = content_nodes(page)
     if not chosen:
         return ""
-    holder = _holder(page, chosen)
+    holders = _holders(page, chosen)
     inside = [False] * len(page.parent)
     for element in range(len(inside)):
-        inside[element] = element == holder or (element > 0 and inside[page.parent[element]])
+        inside[element] = element in holders or (element > 0 and inside[page.parent[element]])
     out = []
-    for element, text, fresh in page.texts:
+    for i, (element, text, fresh) in enumerate(page.texts):
         if fresh:
             out.append(" ")
-        if inside[element] and not page.marked[element]:
+        if i in chosen or (inside[element] and not page.marked[element]):
             out.append(text)
     return " ".join(html.unescape("".join(out)).split())
 

@@ -1,4 +1,4 @@
-"""Pages whose article once fell out by a name."""
+"""Pages whose article once fell out by a name or by its division."""
 
 import pytest
 
@@ -39,3 +39,31 @@ def test_topics_within_an_article():
     text = pages.main_text(f"<body>{NAV}{source}{ADVERT}</body>")
     assert [sentences(text, x) for x in ("My", "Search", "Notice")] == [6, 3, 3]
     assert "Your name" not in text and "Buy" not in text
+
+
+@pytest.mark.parametrize(
+    "first, second, around",
+    [
+        ("<div class=part>", "<div class=part>", "<div id=content>{}</div>"),
+        ("<article>", "<article>", "<main>{}</main>"),
+        ("<article>", "<section>", "<main>{}</main>"),
+        ("<article>", "<article>", "<div>{}</div>"),
+        ("<article>", "<div>", "<div>{}</div>"),
+        ("<section>", "<td>", "<article>{}</article>"),
+    ],
+)
+@pytest.mark.parametrize("share", [(15, 5), (16, 4), (19, 1), (4, 16)])
+def test_all_parts(first, second, around, share):
+    end = lambda opening: "</" + opening[1:].split()[0].rstrip(">") + ">"
+    body = f"{first}<h2>One</h2>{prose('First', share[0])}{end(first)}{second}<h2>Two</h2>{prose('Second', share[1])}{end(second)}"
+    text = pages.main_text(f"<body>{NAV}{around.format(body)}<div class=footer>Imprint, contact.</div></body>")
+    assert (sentences(text, "First"), sentences(text, "Second")) == share
+    assert "Home" not in text and "Imprint" not in text
+    if first != "<section>":
+        assert text.startswith("One First") and " Two Second" in text
+
+
+def test_long_block_of_an_article():
+    listing = "<pre>" + " ".join(f"line {i}, of code;" for i in range(200)) + "</pre>"
+    text = pages.main_text(f"<body>{NAV}<div id=content><h1>Head</h1>{prose('Before', 3)}{listing}{prose('After', 3)}</div></body>")
+    assert "Head" in text and "line 199" in text and sentences(text, "Before") == sentences(text, "After") == 3
