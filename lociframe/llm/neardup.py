@@ -266,30 +266,42 @@ def confirm(members: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("part").applyInPandas(check, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of ``df`` (doc_id, text).
-
-    Two documents are linked when 100 * |A and B| >= ``percent`` * |A or B| for their sets of 5-word shingles (A-Z in
-    lower case; with fewer words the whole sequence is one shingle).  ``component_id`` is the smallest doc_id that
-    links reach, ``kept`` marks the document that has it.  Documents with equal sets are one node from the start.  Null, empty
-    and wordless texts have no shingles and are linked with nothing.  Repeated rows of one doc_id and text all get
-    the same result; an empty table gives no rows; other columns are not read.
-    """
+def groups(df: DataFrame, percent: int = 80) -> DataFrame:
+    """What ``near_duplicates`` gives, and text_key (the text's hash) and stays: whether the row is, or equals, the one of
+    its group that comes first by doc_id (null last) and text_key.  Rows without shingles all stay."""
     rows = sketch(df)
     nodes = stored(
         rows.where("node IS NOT NULL").groupBy("node").agg(
-            F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("example"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("example"),
             F.first("signature").alias("signature"),
         ),
         "nodes",
     )
     related = components(families(nodes, farthest(percent))).withColumnRenamed("component", "family")
-    chosen = related.join(nodes, "node").select("family", "node", "signature", "example.*")
-    texts = df.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    members = stored(texts.join(chosen, ["doc_id", "text_key"]).select("family", "node", "signature", "text"), "members")
+    c = related.join(nodes, "node").select("family", "node", "signature", "example.*").alias("c")
+    t = df.select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("t")
+    texts = t.join(c, F.expr("t.doc_id <=> c.doc_id AND t.text_key = c.text_key"))
+    members = stored(texts.select("c.family", "c.node", "c.signature", "t.text").dropDuplicates(["node"]), "members")
     linked = components(stored(confirm(members, percent), "confirmed"))
-    labelled = nodes.select("node", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = labelled.join(smallest, "component").select("node", "component_id")
-    out = rows.join(of_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    labelled = nodes.select("node", "example").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = labelled.groupBy("component").agg(F.min("example").alias("least"))
+    of_node = labelled.join(smallest, "component").select("node", "least")
+    out = rows.join(of_node, "node", "left").withColumn("component_id", F.expr("if(least IS NULL, doc_id, least.doc_id)"))
+    stays = F.expr("least IS NULL OR (doc_id <=> least.doc_id AND text_key = least.text_key)")
+    kept = F.when(F.col("component_id").isNull(), stays).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_key", stays.alias("stays"))
+
+
+def near_duplicates(df: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of ``df`` (doc_id, text).
+
+    Two documents are linked when 100 * |A and B| >= ``percent`` * |A or B| for their sets of 5-word shingles (A-Z in
+    lower case; with fewer words the whole sequence is one shingle).  ``component_id`` is the smallest doc_id that
+    links reach, ``kept`` marks the document that has it.  Documents with equal sets are one node from the start.  Null, empty
+    and wordless texts have no shingles and are linked with nothing.  Repeated rows of one doc_id and text all get
+    the same result; an empty table gives no rows; other columns are not read.
+
+    Rows with a null doc_id are linked by their texts as others are.  They take the smallest doc_id of their group and
+    are not kept; where no row of the group has a doc_id, ``component_id`` is null and one of the texts is kept.
+    """
+    return groups(df, percent).select("doc_id", "n_shingles", "component_id", "kept")
