@@ -6,7 +6,7 @@ documents: doc_id, text, lang, source, n_chars.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.llm import bpe, language, lines, mixing, neardup
@@ -30,13 +30,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group that similarities of 0.8 or more link; rows that repeat a doc_id
-    count once."""
-    kept = neardup.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    d, k = docs.select(*COLUMNS).alias("d"), kept.alias("k")
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    joined = d.join(k, F.expr("d.doc_id <=> k.doc_id"), "left_semi").withColumn("again", F.row_number().over(same))
-    return joined.where("again = 1").select(*COLUMNS)
+    """Of each group that similarities of 0.8 or more link, the document that is first by doc_id (null last) and hash of
+    the text; rows that repeat both a doc_id and a text count once."""
+    kept = neardup.groups(docs, percent=80).where("stays").select("doc_id", "text_key").distinct()
+    d, k = docs.select(*COLUMNS).withColumn("_text_key", F.xxhash64("text")).alias("d"), kept.alias("k")
+    joined = d.join(k, F.expr("d.doc_id <=> k.doc_id AND d._text_key = k.text_key"), "left_semi")
+    one = joined.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return one.select("doc_id", "text", "rest.*").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
