@@ -13,14 +13,18 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -268,33 +272,117 @@ class TokenIds(DataSource):
         return _Writer(path, int(self.options.get("ids_a_file", 1 << 22)), int(self.options.get("documents_a_file", 1 << 20)))
 
 
-@lru_cache(2)
-def _tokenizer(file: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+class Pieces:
+    """A tokenizer of the tokenizers library that remembers the ids of pieces of text.
+
+    A byte-level tokenizer that splits by its regular expression, changes no character and adds no space never joins a
+    character with white space after it, and looks ahead only past white space.  So a text can be cut before white
+    space that follows another character, and the pieces give the ids of the whole.  Texts are cut before spaces and
+    line feeds as Arrow arrays, each different piece of a run of texts is encoded once by the library, and the ids are
+    put in the places of the pieces.  Texts where other white space comes before a space or line feed are cut by a
+    regular expression.  Every other tokenizer gets whole texts.
+
+    ``most`` pieces of up to ``LONGEST`` characters are remembered; then those used since the last time are kept.
+    """
 
-    return Tokenizer.from_file(file)
+    CUT = re.compile(r"\s*\S+|\s+")
+    JOINED = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}][ \\n]"
+    LONGEST = 64
+
+    def __init__(self, file: str, most: int = 150_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(file)
+        rules = json.loads(Path(file).read_text())
+        splitter = rules["pre_tokenizer"] or {}
+        self.cuts = (
+            splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and splitter.get("use_regex", True)
+            and not rules["normalizer"] and not rules.get("truncation") and not rules.get("padding")
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in rules["added_tokens"])
+        )
+        self.most = most
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces."""
+        found = list(map(self.known.get, pieces))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        unknown = []
+        for i in missing:
+            found[i] = self.older.get(pieces[i])
+            if found[i] is None:
+                unknown.append(i)
+        for i, ids in zip(unknown, self._library([pieces[i] for i in unknown])):
+            found[i] = ids
+        if len(self.known) + len(missing) > self.most:
+            self.known, self.older = {}, self.known
+        self.known.update((pieces[i], found[i]) for i in missing[: self.most] if len(pieces[i]) <= self.LONGEST)
+        return found
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and where those of each text begin."""
+        lines = pc.split_pattern(texts, "\n")
+        words = pc.split_pattern(lines.flatten(), " ")
+        line_at, word_at = lines.offsets.to_numpy(), words.offsets.to_numpy()
+        before = np.ones(word_at[-1], np.int8)
+        before[word_at[:-1]] = 2
+        before[word_at[line_at[:-1]]] = 0
+        space = pa.DictionaryArray.from_arrays(before, ["", " ", "\n"]).cast(pa.string())
+        return pc.binary_join_element_wise(space, words.flatten(), ""), word_at[line_at]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
+        if not self.cuts or not texts:
+            return self._library(texts)
+        out: list[bytes] = [b""] * len(texts)
+        joined = pc.match_substring_regex(pa.array(texts, pa.string()), self.JOINED).to_pylist()
+        for i in (i for i, odd in enumerate(joined) if odd):
+            pieces = self.CUT.findall(texts[i])
+            different = list(dict.fromkeys(pieces))
+            out[i] = b"".join(map(dict(zip(different, self._each(different))).__getitem__, pieces))
+        plain = [i for i, odd in enumerate(joined) if not odd]
+        if plain:
+            pieces, first = self._cut(pa.array([texts[i] for i in plain], pa.string()))
+            coded = pieces.dictionary_encode()
+            ids = pa.array(self._each(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+            _, offsets, data = ids.buffers()
+            ends = np.frombuffer(offsets, np.int64, len(ids) + 1)[first]
+            view = memoryview(data) if data is not None else memoryview(b"")
+            for i, start, end in zip(plain, ends.tolist(), ends[1:].tolist()):
+                out[i] = bytes(view[start:end])
+        return out
+
+
+@lru_cache(2)
+def _pieces(file: str) -> Pieces:
+    return Pieces(file)
 
 
-def library_encoder(file: str) -> Callable[[list[str]], list[list[int]]]:
+def library_encoder(file: str) -> Callable[[list[str]], list[bytes]]:
     """Ids by the tokenizers library's ``file``, loaded once in each Python worker."""
-    return lambda texts: [e.ids for e in _tokenizer(file).encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: _pieces(file).encode(texts)
 
 
-def encoded(df: DataFrame, encoder: Callable[[list[str]], list[list[int]]], end_id: int) -> DataFrame:
+def encoded(df: DataFrame, encoder: Callable[[list[str]], list[bytes]], end_id: int) -> DataFrame:
     """(doc_id, ids) of (doc_id, text), each text's ids followed by ``end_id``, as little-endian 32-bit integers."""
+    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in chunks(batch.column(1).to_pylist()):
-                ids = [np.array([*i, end_id], "<u4").tobytes() for i in encoder(part)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for first, part in chunks(batch.column(1).to_pylist(), 1 << 22):
+                ids = pa.array([own + end for own in encoder(part)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), ids], ["doc_id", "ids"])
 
     return df.mapInArrow(encode, "doc_id long, ids binary")
 
 
 def write(
-    df: DataFrame, path: str, encoder: Callable[[list[str]], list[list[int]]], end_id: int = 0, id_col: str = "doc_id",
+    df: DataFrame, path: str, encoder: Callable[[list[str]], list[bytes]], end_id: int = 0, id_col: str = "doc_id",
     text: str = "text", bytes_a_task: int = 32 << 20,
 ) -> None:
     """Encodes every whole text of ``df`` and writes the ids to the new folder ``path`` by ascending doc_id.

@@ -55,7 +55,7 @@ def test_file(largest, width):
 
 @pytest.fixture
 def bytes_encoder():
-    return lambda texts: [[*t.encode()] for t in texts]
+    return lambda texts: [np.array([*t.encode()], "<u4").tobytes() for t in texts]
 
 
 def test_awkward_documents(spark, tmp_path, bytes_encoder):
@@ -92,6 +92,31 @@ def test_small_files_and_files_of_lost_attempts(spark, tmp_path, bytes_encoder):
     assert [r.start for r in got] == [sum(len(str(k)) + 1 for k in range(i)) for i in range(40)]
 
 
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x1c\x85\xa0\u2003\u3000a'sé1.<|"), st.characters(codec="utf-8")), max_size=40), max_size=4))
+@settings(max_examples=500, deadline=None)
+def test_pieces_give_the_ids_of_whole_texts(texts):
+    texts += ["".join(f"{t}<|endoftext|> \n" for t in texts), "it's  \n\n  we'll", "a" * 100 + " b"]
+    pieces = idfiles.library_encoder(FILE)
+    whole = Tokenizer.from_file(FILE)
+    assert [np.frombuffer(x, "<u4").tolist() for x in pieces(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_memory_is_bounded():
+    pieces = idfiles.Pieces(FILE, most=40)
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) + "  " * (i % 2) + " " + "y" * 70 for i in range(20)]
+    assert [pieces.encode([t]) for t in texts + texts[:3]] == [[x] for x in idfiles.Pieces(FILE).encode(texts + texts[:3])]
+    assert len(pieces.known) <= 40 and " " + "y" * 70 not in pieces.known
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_tokenizers_get_whole_texts(name):
+    file = public_tokenizers.path(name)
+    texts = ["Two  words", "\n One\nmore, it's ", ""]
+    whole = Tokenizer.from_file(file)
+    assert not idfiles.Pieces(file).cuts
+    assert [np.frombuffer(x, "<u4").tolist() for x in idfiles.Pieces(file).encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_query(spark):
     tokenizer = Tokenizer.from_file(FILE)
     got = {r.doc_id: tuple(r) for r in queries.op13_token_files(spark, DATA).collect()}
