@@ -17,7 +17,7 @@ import re
 import struct
 import uuid
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -36,6 +36,8 @@ from .common import chunks
 MAGIC = b"TOKENID1"
 _HEAD = struct.Struct("<8sBQQq")
 _CODE = struct.Struct("<BQQ")
+#: Characters of texts that are encoded at once.
+RUN = 1 << 21
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -184,8 +186,18 @@ class Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, ids_a_file: int, documents_a_file: int) -> None:
-        self.path, self.ids_a_file, self.documents_a_file = path, ids_a_file, documents_a_file
+    def __init__(self, path: str, ids_a_file: int, documents_a_file: int, tokenizer: str | None, end: bytes) -> None:
+        self.path, self.ids_a_file, self.documents_a_file, self.tokenizer, self.end = path, ids_a_file, documents_a_file, tokenizer, end
+
+    def _documents(self, batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+        """(doc_id, ids) of each row; ids that are given already are taken as they are."""
+        keys, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        if self.tokenizer is None:
+            yield from ((key, ids or b"") for key, ids in zip(keys, values))
+            return
+        for first, part in chunks(values, RUN):
+            for key, ids in zip(keys[first : first + len(part)], _pieces(self.tokenizer).encode(part)):
+                yield key, ids + self.end
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         part, files = TaskContext.get().partitionId(), []
@@ -200,8 +212,8 @@ class _Writer(DataSourceArrowWriter):
             keys, held, size = [], [], 0
 
         for batch in iterator:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(ids.as_buffer(), "<u4")
+            for key, ids in self._documents(batch):
+                own = np.frombuffer(ids, "<u4")
                 if keys and (size + len(own) > self.ids_a_file or len(keys) >= self.documents_a_file):
                     close()
                 keys.append(key)
@@ -245,10 +257,11 @@ class _Reader(DataSourceReader):
 
 
 class TokenIds(DataSource):
-    """The format ``token_ids``: rows (doc_id long, ids binary) in order, read back as ``SCHEMA``.
+    """The format ``token_ids``: rows in order, (doc_id long, text string) or (doc_id long, ids binary), read back as ``SCHEMA``.
 
-    Options: ``path`` (file, hdfs, s3 and the other schemes that pyarrow knows), ``ids_a_file`` (4,194,304),
-    ``documents_a_file`` (1,048,576); a document with more ids has a file for itself.  A folder is written once.
+    Options: ``path`` (file, hdfs, s3 and the other schemes that pyarrow knows); for texts ``tokenizer``, a file of the
+    tokenizers library, and ``end_id``, appended to each document (none, if not given); ``ids_a_file`` (4,194,304) and
+    ``documents_a_file`` (1,048,576), where a document with more ids has a file for itself.  A folder is written once.
     """
 
     @classmethod
@@ -262,14 +275,16 @@ class TokenIds(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        if [f.dataType.simpleString() for f in schema] != ["bigint", "binary"]:
-            raise ValueError("expected the columns doc_id long, ids binary")
+        kinds, tokenizer, end_id = [f.dataType.simpleString() for f in schema], self.options.get("tokenizer"), self.options.get("end_id")
+        if kinds != ["bigint", "string" if tokenizer else "binary"]:
+            raise ValueError("expected the columns doc_id long, ids binary, or with a tokenizer doc_id long, text string")
+        end = b"" if end_id is None else np.array([int(end_id)], "<u4").tobytes()
         path = self.options["path"]
         store, folder = _store(path)
         if store.get_file_info(f"{folder}/manifest.json").type != fs.FileType.NotFound:
             raise ValueError(f"{path} has token ids already")
         store.create_dir(folder, recursive=True)
-        return _Writer(path, int(self.options.get("ids_a_file", 1 << 22)), int(self.options.get("documents_a_file", 1 << 20)))
+        return _Writer(path, int(self.options.get("ids_a_file", 1 << 22)), int(self.options.get("documents_a_file", 1 << 20)), tokenizer, end)
 
 
 class Pieces:
@@ -363,29 +378,12 @@ def _pieces(file: str) -> Pieces:
     return Pieces(file)
 
 
-def library_encoder(file: str) -> Callable[[list[str]], list[bytes]]:
-    """Ids by the tokenizers library's ``file``, loaded once in each Python worker."""
-    return lambda texts: _pieces(file).encode(texts)
-
-
-def encoded(df: DataFrame, encoder: Callable[[list[str]], list[bytes]], end_id: int) -> DataFrame:
-    """(doc_id, ids) of (doc_id, text), each text's ids followed by ``end_id``, as little-endian 32-bit integers."""
-    end = np.array([end_id], "<u4").tobytes()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, part in chunks(batch.column(1).to_pylist(), 1 << 22):
-                ids = pa.array([own + end for own in encoder(part)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), ids], ["doc_id", "ids"])
-
-    return df.mapInArrow(encode, "doc_id long, ids binary")
-
-
 def write(
-    df: DataFrame, path: str, encoder: Callable[[list[str]], list[bytes]], end_id: int = 0, id_col: str = "doc_id",
-    text: str = "text", bytes_a_task: int = 32 << 20,
+    df: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text: str = "text",
+    bytes_a_task: int = 32 << 20,
 ) -> None:
-    """Encodes every whole text of ``df`` and writes the ids to the new folder ``path`` by ascending doc_id.
+    """Encodes every whole text of ``df`` by the file ``tokenizer`` and writes the ids to the new folder ``path`` by
+    ascending doc_id.
 
     Tasks take ranges of (doc_id, hash of the text), so a repeated doc_id is spread; its rows are ordered by that hash,
     a null doc_id comes first, a null or empty text is its end id alone, repeated rows are each written, and of an
@@ -396,7 +394,8 @@ def write(
     key = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     ordered = rows.repartitionByRange(max(1, -(-size // bytes_a_task)), *key).sortWithinPartitions(*key)
     df.sparkSession.dataSource.register(TokenIds)
-    encoded(ordered, encoder, end_id).write.format("token_ids").option("path", path).mode("append").save()
+    out = ordered.write.format("token_ids").option("path", path).option("tokenizer", tokenizer)
+    (out if end_id is None else out.option("end_id", str(end_id))).mode("append").save()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

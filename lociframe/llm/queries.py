@@ -106,8 +106,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
-    encoder = idfiles.library_encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    idfiles.write(_read(spark, sf_dir, "documents"), folder, encoder, end_id=0)
+    idfiles.write(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return idfiles.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

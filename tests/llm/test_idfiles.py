@@ -53,50 +53,46 @@ def test_file(largest, width):
         idfiles.IdFile(b"x" * 64)
 
 
-@pytest.fixture
-def bytes_encoder():
-    return lambda texts: [np.array([*t.encode()], "<u4").tobytes() for t in texts]
-
-
-def test_awkward_documents(spark, tmp_path, bytes_encoder):
-    texts = [None, "", "a", "b" * 50_000, "a", "é"]
+def test_awkward_documents(spark, tmp_path):
+    texts = [None, "", "a", "b" * 50_000, "a", "é  \n x"]
     rows = [(i, t, "x", "x") for i, t in enumerate(texts)] + [(None, "z", "x", "x"), (2, "a", "x", "x"), (2, "c", "x", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, start string").repartition(3)
-    idfiles.write(df, str(tmp_path / "ids"), bytes_encoder, bytes_a_task=10_000)
+    idfiles.write(df, str(tmp_path / "ids"), FILE, end_id=7, bytes_a_task=10_000)
     got = idfiles.read(spark, str(tmp_path / "ids")).orderBy("start").collect()
-    order = [r.doc_id for r in got]
-    assert order == [None, 0, 1, 2, 2, 2, 3, 4, 5]
+    assert [r.doc_id for r in got] == [None, 0, 1, 2, 2, 2, 3, 4, 5]
     at = 0
     for r in got:
         assert (r.start, r.n_tokens * 4) == (at, len(r.ids))
         at += r.n_tokens
-    held = sorted((r.doc_id or -1, bytes(np.frombuffer(r.ids, "<u4")[:-1].astype(np.uint8)).decode()) for r in got)
-    assert held == sorted((i or -1, t or "") for i, t, _, _ in rows)
+    whole = Tokenizer.from_file(FILE)
+    want = sorted((i or -1, [*whole.encode(t or "", add_special_tokens=False).ids, 7]) for i, t, _, _ in rows)
+    assert sorted((r.doc_id or -1, np.frombuffer(r.ids, "<u4").tolist()) for r in got) == want
     with pytest.raises(Exception, match="has token ids already"):
-        idfiles.write(df, str(tmp_path / "ids"), bytes_encoder)
-    idfiles.write(df.limit(0), str(tmp_path / "none"), bytes_encoder)
+        idfiles.write(df, str(tmp_path / "ids"), FILE)
+    idfiles.write(df.limit(0), str(tmp_path / "none"), FILE)
     assert idfiles.read(spark, str(tmp_path / "none")).collect() == []
 
 
-def test_small_files_and_files_of_lost_attempts(spark, tmp_path, bytes_encoder):
+def test_given_ids_small_files_and_files_of_lost_attempts(spark, tmp_path):
     path = str(tmp_path / "ids")
     spark.dataSource.register(idfiles.TokenIds)
-    df = spark.range(40).repartitionByRange(2, "id").sortWithinPartitions("id").select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    out = idfiles.encoded(df, bytes_encoder, 0).write.format("token_ids").option("path", path)
+    ids = F.unhex(F.expr("repeat('01000000', 1 + int(id) % 3)"))
+    df = spark.range(40).repartitionByRange(2, "id").sortWithinPartitions("id").select(F.col("id").alias("doc_id"), ids.alias("ids"))
+    out = df.write.format("token_ids").option("path", path)
     out.option("ids_a_file", "9").option("documents_a_file", "4").mode("append").save()
     listed = json.loads((Path(path) / "manifest.json").read_text())
-    assert len(listed) > 10 and max(entry["documents"] for entry in listed) <= 4
+    assert len(listed) >= 10 and max(entry["documents"] for entry in listed) <= 4 and max(entry["ids"] for entry in listed) <= 9
     (Path(path) / "000000-00000-lost.ids").write_bytes(b"half a file")
     got = idfiles.read(spark, f"file://{path}").orderBy("start").collect()
     assert [r.doc_id for r in got] == list(range(40))
-    assert [r.start for r in got] == [sum(len(str(k)) + 1 for k in range(i)) for i in range(40)]
+    assert [r.start for r in got] == [sum(1 + k % 3 for k in range(i)) for i in range(40)]
 
 
 @given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x1c\x85\xa0\u2003\u3000a'sé1.<|"), st.characters(codec="utf-8")), max_size=40), max_size=4))
 @settings(max_examples=500, deadline=None)
 def test_pieces_give_the_ids_of_whole_texts(texts):
     texts += ["".join(f"{t}<|endoftext|> \n" for t in texts), "it's  \n\n  we'll", "a" * 100 + " b"]
-    pieces = idfiles.library_encoder(FILE)
+    pieces = idfiles._pieces(FILE).encode
     whole = Tokenizer.from_file(FILE)
     assert [np.frombuffer(x, "<u4").tolist() for x in pieces(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
