@@ -156,8 +156,10 @@ class IdFile:
         while i < self.documents:
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right")))
             own = [None if k < self.nulls else known[k - self.nulls] for k in range(i, j)]
-            ids = [self.slice(s, e).astype("<u4").tobytes() for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist())]
-            arrays = [pa.array(own, pa.int64()), pa.array(before + starts[i:j]), pa.array(ends[i:j] - starts[i:j]), pa.array(ids, pa.binary())]
+            held = self.slice(int(starts[i]), int(ends[j - 1])).astype("<u4")
+            places = np.concatenate([[0], (ends[i:j] - starts[i]) * 4]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(places), pa.py_buffer(held)])
+            arrays = [pa.array(own, pa.int64()), pa.array(before + starts[i:j]), pa.array(ends[i:j] - starts[i:j]), ids]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids"])
             i = j
 
