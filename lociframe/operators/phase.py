@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from lociframe.session import cut_lineage
 
 HET = "[3569ac]"
 THREE_STATES = "[7bde]"
-#: unresolved hets per site beyond which expansion fails instead of overflowing
-MAX_HETS = 24
+#: bits of a resolution number that one task adds to a row at a time
+_BITS = 12
 _SALTS = 16
 
 
@@ -80,13 +82,15 @@ def diploid_phase_fix(patterns: DataFrame, diploid: DataFrame) -> DataFrame:
     )
 
 
-def diploid_expand(patterns: DataFrame, diploid: DataFrame, fixed: DataFrame, max_hets: int = MAX_HETS) -> DataFrame:
-    """(locus, site, resolution_idx, column, weight): phased columns.
+class Expansion(NamedTuple):
+    """Phased columns, and for every site of every locus how many there are."""
 
-    Every diploid sequence becomes two.  A site with h unfixed hets gives 2**h
-    columns; the first unfixed het is the highest bit of ``resolution_idx``.  A
-    set bit swaps the two states.  Sites over ``max_hets`` fail the job.
-    """
+    columns: DataFrame
+    counts: DataFrame
+
+
+def _open_hets(patterns: DataFrame, diploid: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Patterns as characters with the indices of diploid rows (``dip``), fixed hets (``fix``) and the ``h`` open ``hets``."""
     members = diploid.groupBy("locus").agg(F.collect_set(F.col("seq_idx").cast("int")).alias("dip"))
     fixes = fixed.groupBy("locus", "pattern_id").agg(F.collect_set(F.col("seq_idx").cast("int")).alias("fix"))
     none = F.array().cast("array<int>")
@@ -101,24 +105,65 @@ def diploid_expand(patterns: DataFrame, diploid: DataFrame, fixed: DataFrame, ma
         F.sequence(F.lit(0), F.size("chars") - 1),
         lambda i: F.array_contains("dip", i) & ~F.array_contains("fix", i) & F.get(F.col("chars"), i).rlike(HET),
     )
-    rows = rows.withColumn("hets", open_hets).withColumn("h", F.size("hets"))
-    power = F.when(F.col("h") <= max_hets, F.col("h")).otherwise(
-        F.raise_error(F.concat(F.lit("too many unphased heterozygotes in locus "), F.col("locus").cast("string"))).cast("int")
-    )
-    each = rows.withColumn("resolution_idx", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), power) - 1)))
+    return rows.withColumn("hets", open_hets).withColumn("h", F.size("hets"))
+
+
+def _resolutions(rows: DataFrame, most_hets: int, total: int, bits: int, rows_a_task: int) -> DataFrame:
+    """Each row once for every ``resolution_idx`` below 2**h.
+
+    Of ``h`` bits the highest are added first, ``bits`` at a time, and the pieces are dealt out anew before the next
+    ones, so that a task makes at most 2**bits rows of one that it reads and the last, widest step is spread evenly.
+    """
+    rows = rows.withColumns({"resolution_idx": F.lit(0).cast("long"), "_left": F.col("h")})
+    further = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1))
+    step = most_hets
+    parts = max(1, min(total // rows_a_task + 1, 1 << 20))
+    while step > bits:
+        n = F.least(F.lit(bits), F.greatest(F.col("_left") - bits, F.lit(0)))
+        rows = rows.withColumn("_n", n).withColumn("_more", further(F.col("_n")))
+        number = F.call_function("shiftleft", F.col("resolution_idx"), F.col("_n")).bitwiseOR(F.col("_more"))
+        rows = rows.withColumns({"resolution_idx": number, "_left": F.col("_left") - F.col("_n")}).drop("_n", "_more")
+        rows = rows.repartition(parts, "locus", "pattern_id", "resolution_idx")
+        step -= min(bits, step - bits)
+    rows = rows.withColumn("_more", further(F.col("_left")))
+    number = F.call_function("shiftleft", F.col("resolution_idx"), F.col("_left")).bitwiseOR(F.col("_more"))
+    return rows.withColumn("resolution_idx", number).drop("_left", "_more")
+
+
+def diploid_expand(
+    patterns: DataFrame, diploid: DataFrame, fixed: DataFrame, most_columns: int = 1 << 40, bits: int = _BITS,
+    rows_a_task: int = 1 << 20,
+) -> Expansion:
+    """``columns(locus, site, resolution_idx, column, weight)``: phased columns; ``counts(locus, site, h, n_columns,
+    fits)``: what each site becomes.
+
+    Every diploid sequence becomes two.  A site with h unfixed hets gives 2**h columns; the first unfixed het is the
+    highest bit of ``resolution_idx``.  A set bit swaps the two states.  The expansion is planned from the sizes of its
+    output, see ``_resolutions``.  A locus that would have over ``most_columns`` columns, which no storage holds, is not
+    expanded in part: its sites stand in ``counts`` with ``fits`` false, and only there.
+    """
+    rows = _open_hets(patterns, diploid, fixed)
+    n_columns = F.pow(F.lit(2.0), F.col("h"))  # exact as a double up to h = 1023
+    size = rows.groupBy("locus").agg(F.sum(n_columns).alias("_size"), F.max("h").alias("_most"))
+    size = cut_lineage(size.withColumn("fits", F.col("_size") <= float(most_columns)))
+    plan = size.filter("fits").agg(F.max("_most").alias("most"), F.sum("_size").alias("total")).first()
+    counts = rows.select("locus", F.col("pattern_id").alias("site"), "h", n_columns.alias("n_columns")).join(size.select("locus", "fits"), "locus")
+    able = rows.join(size.filter("not fits").select("locus"), "locus", "left_anti")
+    each = _resolutions(able, plan["most"] or 0, int(plan["total"] or 0), bits, rows_a_task)
     digit = lambda mask: F.substring(F.lit("0123456789abcdef"), mask + 1, F.lit(1))
 
     def phased(c, i):
         mask = states.code_mask(c)
         low, high = digit(lowest_bit(mask)), digit(drop_lowest_bit(mask))
         place = F.array_position("hets", i)
-        swap = F.call_function("getbit", F.col("resolution_idx").cast("long"), (F.col("h") - place).cast("int")) == 1
+        swap = F.call_function("getbit", F.col("resolution_idx"), (F.col("h") - place).cast("int")) == 1
         pair = F.when(place > 0, F.when(swap, F.concat(high, low)).otherwise(F.concat(low, high)))
         pair = pair.when(F.array_contains("fix", i), F.concat(low, high)).otherwise(F.concat(c, c))
         return F.when(F.array_contains("dip", i), pair).otherwise(c)
 
     column = F.array_join(F.transform(F.col("chars"), phased), "")
-    return each.select("locus", F.col("pattern_id").alias("site"), "resolution_idx", column.alias("column"), "weight")
+    columns = each.select("locus", F.col("pattern_id").alias("site"), "resolution_idx", column.alias("column"), "weight")
+    return Expansion(columns, counts)
 
 
 def phased_labels(sequences: DataFrame, diploid: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.functions.arrays import bisect
 from lociframe.session import cut_lineage
 
 
@@ -31,6 +32,27 @@ def ancestor_closure(pops: DataFrame, keys: list[str]) -> DataFrame:
     return pairs
 
 
+def sample_rows(pops: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per species tree: (keys, _ids, _up, _tau, _mirror, _event), arrays over its populations by node_id.
+
+    ``_up`` is the index of the parent, ``_mirror`` that of the second population above the same hybridization
+    (``mirror_id``) and ``_event`` its number, both null in a tree.
+    """
+    mirror = F.col("mirror_id") if "mirror_id" in pops.columns else F.lit(None)
+    kind = pops.schema["node_id"].dataType
+    event = F.col("event") if "event" in pops.columns else F.lit(None)
+    node = F.struct(
+        "node_id", F.col("parent_id").cast(kind).alias("parent_id"), F.col("tau").cast("double").alias("tau"),
+        mirror.cast(kind).alias("mirror_id"), event.cast("int").alias("event"),
+    )
+    rows = pops.groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("_pops"))
+    index = lambda name: F.transform(f"_pops.{name}", lambda x: bisect(F.col("_pops.node_id"), x))
+    return rows.select(
+        *keys, F.col("_pops.node_id").alias("_ids"), index("parent_id").alias("_up"), F.col("_pops.tau").alias("_tau"),
+        index("mirror_id").alias("_mirror"), F.col("_pops.event").alias("_event"),
+    )
+
+
 def linked_theta_master(pops: DataFrame, keys: list[str]) -> DataFrame:
     """Replace each population's theta by its linked master's; adds ``master``."""
     masters = pops.select(*keys, F.col("node_id").alias("master"), F.col("theta").alias("_theta"))

@@ -326,8 +326,23 @@ phased AS (SELECT locus, pattern_id AS site, weight, resolution_idx, string_agg(
 
 @query("diploid_expand", f"WITH {CHARS}, {_DIP} SELECT locus, site, resolution_idx, code, weight FROM phased")
 def diploid_expand(spark, sf):
-    out = P.diploid_expand(patterns(spark, sf), _diploids(spark, sf), _no_fixes(spark))
-    return out.select("locus", "site", "resolution_idx", F.col("column").alias("code"), "weight")
+    out = P.diploid_expand(patterns(spark, sf), _diploids(spark, sf), _no_fixes(spark)).columns
+    return out.select("locus", "site", F.col("resolution_idx").cast("int").alias("resolution_idx"), F.col("column").alias("code"), "weight")
+
+
+@query("diploid_expand_counts", f"""WITH {CHARS}, {_DIP}, c AS (SELECT locus, pattern_id AS site, coalesce(len(hets), 0) AS h FROM dip)
+    SELECT locus, site, CAST(h AS INTEGER) AS h, 2.0 ** h AS n_columns, sum(2.0 ** h) OVER (PARTITION BY locus) <= 200 AS fits FROM c""")
+def diploid_expand_counts(spark, sf):
+    """Sites by the columns they become, in loci of up to 200 columns and above."""
+    return P.diploid_expand(patterns(spark, sf), _diploids(spark, sf), _no_fixes(spark), most_columns=200).counts
+
+
+@query("diploid_expand_fitting", f"""WITH {CHARS}, {_DIP} SELECT locus, count(*) AS n, sum(resolution_idx)::BIGINT AS idx FROM phased
+    WHERE locus IN (SELECT locus FROM dip GROUP BY 1 HAVING sum(2.0 ** coalesce(len(hets), 0)) <= 200) GROUP BY 1""")
+def diploid_expand_fitting(spark, sf):
+    """Loci that fit, expanded two bits at a time."""
+    out = P.diploid_expand(patterns(spark, sf), _diploids(spark, sf), _no_fixes(spark), most_columns=200, bits=2).columns
+    return out.groupBy("locus").agg(F.count(F.lit(1)).alias("n"), F.sum("resolution_idx").alias("idx"))
 
 
 def _no_fixes(spark):
@@ -339,7 +354,7 @@ def _no_fixes(spark):
 def diploid_phased_patterns(spark, sf):
     """Fix, expand and recompress; the greedy fixes have no SQL form."""
     pats, dips = cut_lineage(patterns(spark, sf)), _diploids(spark, sf)
-    expanded = P.diploid_expand(pats, dips, P.diploid_phase_fix(pats, dips))
+    expanded = P.diploid_expand(pats, dips, P.diploid_phase_fix(pats, dips)).columns
     return P.phase_patterns(expanded).select("locus", F.col("column").alias("code"), "pattern_id", "n_columns")
 
 
@@ -349,21 +364,21 @@ def diploid_phased_patterns(spark, sf):
     "JOIN (SELECT locus, code, min({'s': site, 'r': resolution_idx}) AS first FROM phased GROUP BY 1, 2) USING (locus, code)",
 )
 def phase_pattern_map(spark, sf):
-    expanded = P.diploid_expand(patterns(spark, sf), _diploids(spark, sf), _no_fixes(spark))
-    return P.phase_pattern_map(expanded, P.phase_patterns(expanded))
+    expanded = P.diploid_expand(patterns(spark, sf), _diploids(spark, sf), _no_fixes(spark)).columns
+    return P.phase_pattern_map(expanded, P.phase_patterns(expanded)).withColumn("resolution_idx", F.col("resolution_idx").cast("int"))
 
 
 @query(
     "consensus_genotype",
-    f"""WITH {CHARS} SELECT x.locus, CAST(x.mask | y.mask AS INTEGER) AS mask, CAST(sum(x.weight) AS BIGINT) AS n
-    FROM chars x JOIN chars y ON x.locus = y.locus AND x.pattern_id = y.pattern_id AND x.seq_idx = 0 AND y.seq_idx = 1 GROUP BY 1, 2""",
+    f"""WITH {CHARS} SELECT x.locus, CAST(x.seq_idx / 2 AS INTEGER) AS individual, CAST(x.mask | y.mask AS INTEGER) AS mask, CAST(sum(x.weight) AS BIGINT) AS n
+    FROM chars x JOIN chars y ON x.locus = y.locus AND x.pattern_id = y.pattern_id AND x.seq_idx % 2 = 0 AND y.seq_idx = x.seq_idx + 1 GROUP BY 1, 2, 3""",
 )
 def consensus_genotype(spark, sf):
-    coded = A.sequences(spark, sf).select(
-        "locus", "seq_idx", F.lit("i").alias("individual"), states.encode_text(F.col("sequence")).alias("coded")
-    )
-    pick = lambda i: coded.filter(F.col("seq_idx") == i).drop("seq_idx")
+    """Sequences 0 and 1 are the haplotypes of individual 0, sequences 2 and 3 of individual 1."""
+    individual = F.floor(F.col("seq_idx") / 2).cast("int").alias("individual")
+    coded = A.sequences(spark, sf).select("locus", "seq_idx", individual, states.encode_text(F.col("sequence")).alias("coded"))
+    pick = lambda half: coded.filter(F.col("seq_idx") % 2 == half).drop("seq_idx")
     merged = P.consensus_genotype(pick(0), pick(1))
-    each = merged.select("locus", F.explode(F.split("coded", "")).alias("c"))
-    counts = each.groupBy("locus", "c").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("locus", states.code_mask(F.col("c")).cast("int").alias("mask"), "n")
+    each = merged.select("locus", "individual", F.explode(F.split("coded", "")).alias("c"))
+    counts = each.groupBy("locus", "individual", "c").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("locus", "individual", states.code_mask(F.col("c")).cast("int").alias("mask"), "n")

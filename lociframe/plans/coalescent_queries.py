@@ -94,9 +94,9 @@ def sort_events(spark, sf):
     return G.sort_events(_events(spark, sf)).select("gen", "locus", "pop_id", "time", "event_no")
 
 
-@query("lineages_through_time", f"WITH {FLOW} SELECT gen, locus, pop_id, round(t0, 9) AS t0, round(t1, 9) AS t1, sum(n)::BIGINT AS n, count(*) AS c FROM ltt WHERE kind <> 'START' AND t1 > t0 GROUP BY 1, 2, 3, 4, 5")
+@query("lineages_through_time", f"WITH {FLOW} SELECT gen, locus, pop_id, round(t0, 9) AS t0, round(t1, 9) AS t1, sum(n)::BIGINT AS n, count(*) AS c FROM ltt WHERE kind <> 'START' GROUP BY 1, 2, 3, 4, 5")
 def lineages_through_time(spark, sf):
-    out = _ltt(spark, sf, True).filter("t1 > t0")
+    out = _ltt(spark, sf, True)
     return out.groupBy("gen", "locus", "pop_id", r("t0", 9), r("t1", 9)).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
 
 
@@ -350,13 +350,11 @@ def gene_tree_height_length(spark, sf):
 def pairwise_coalescence_time(spark, sf):
     nodes = _gene_nodes(spark, sf)
     pairs = spark.createDataFrame([("t1", "t2"), ("t1", "t3"), ("t2", "t4")], "label1 string, label2 string")
-    closure = S.ancestor_closure(nodes.select("gen", "locus", "node_id", "parent_id"), ["gen", "locus"])
-    return G.pairwise_coalescence_time(nodes, closure, pairs)
+    return G.pairwise_coalescence_time(nodes, pairs)
 
 
 def _segments(spark, sf):
-    table = pops_table(spark)
-    return G.branch_population_segments(_gene_nodes(spark, sf), S.pop_lifetimes(table, []).drop("parent_id"), S.ancestor_closure(table, []))
+    return G.branch_population_segments(_gene_nodes(spark, sf), pops_table(spark))
 
 
 @query("branch_population_segments", f"WITH {_CAT} SELECT gen, locus, CAST(node_id AS INTEGER) AS node_id, segment_pop, t0, t1 FROM seg")
@@ -370,10 +368,122 @@ def relaxed_branch_lengths(spark, sf):
     return G.relaxed_branch_lengths(_segments(spark, sf), rates).select("gen", "locus", "node_id", r("length", 9))
 
 
+# --- a species tree of each sample, and a network of each sample ---------------
+
+#: a sample's ages are these times its scale
+_SCALED = "SELECT o_orderkey AS gen, 1 + (o_orderkey % 7) / 10.0::DOUBLE AS f FROM orders"
+#: network: population, parent, start, hybridization, second population, horizontal.  Above H (event 0) a lineage goes
+#: by S or by T; above K (event 1) directly or by the horizontal edge Km to U.
+NETWORK = [
+    ("A", "H", 0.0, None, None, False), ("H", "S", 0.02, 0, "Hm", False), ("Hm", "T", 0.02, 0, None, False), ("S", "K", 0.04, None, None, False),
+    ("T", "K", 0.03, None, None, False), ("K", "Z", 0.06, 1, "Km", False), ("Km", "U", 0.06, 1, None, True), ("U", "Z", 0.06, None, None, False),
+    ("Z", None, 0.09, None, None, False),
+]
+#: (bit of event 0, bit of event 1, population, from, to)
+_PATHS = [
+    (None, None, "A", 0.0, 0.02), (0, None, "H", 0.02, 0.04), (0, None, "S", 0.04, 0.06), (1, None, "Hm", 0.02, 0.03), (1, None, "T", 0.03, 0.06),
+    (None, 0, "K", 0.06, 0.09), (None, 1, "U", 0.06, 0.09), (None, None, "Z", 0.09, 1e9),
+]
+
+
+def _null(v):
+    return "NULL" if v is None else repr(v)
+
+
+_BY_SAMPLE = f"""{_CAT}, scale AS ({_SCALED}),
+  own AS (SELECT br.gen, locus, node_id, segment_pop, greatest(t0, lo * f) AS t0, least(t1, hi * f) AS t1, rate
+    FROM br JOIN scale USING (gen), bands WHERE least(t1, hi * f) > greatest(t0, lo * f))"""
+_BY_PATH = f"""{_CAT}, scale AS ({_SCALED}),
+  paths(b0, b1, segment_pop, lo, hi) AS (VALUES {", ".join(f"({_null(a)}, {_null(b)}, '{p}', {lo}::DOUBLE, {hi}::DOUBLE)" for a, b, p, lo, hi in _PATHS)}),
+  own AS (SELECT br.gen, locus, node_id, segment_pop, greatest(t0, lo * f) AS t0, least(t1, hi * f) AS t1
+    FROM br JOIN scale USING (gen), paths
+    WHERE least(t1, hi * f) > greatest(t0, lo * f) AND coalesce(b0 = br.gen % 2, TRUE) AND coalesce(b1 = br.gen // 2 % 2, TRUE))"""
+
+
+def _scaled(spark, sf, rows, schema):
+    """The populations of ``rows`` once for each order, ages times the order's scale."""
+    pops = F.broadcast(spark.createDataFrame(rows, schema))
+    orders = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("gen"), (1 + (F.col("o_orderkey") % 7) / 10.0).alias("f"))
+    return orders.crossJoin(pops).withColumn("tau", F.col("tau") * F.col("f"))
+
+
+def _sampled_pops(spark, sf):
+    return _scaled(spark, sf, [p[:3] for p in POPS], "node_id string, parent_id string, tau double").drop("f")
+
+
+def _sampled_network(spark, sf):
+    schema = "node_id string, parent_id string, tau double, event int, mirror_id string, horizontal boolean"
+    return _scaled(spark, sf, NETWORK, schema).drop("f")
+
+
+def _placed_nodes(spark, sf, pop):
+    """Gene trees whose nodes lie in the populations of their sample; ``pop`` gives one from the unscaled time."""
+    f = 1 + (F.col("gen") % 7) / 10.0
+    return _gene_nodes(spark, sf).withColumn("hpath", F.col("gen") % 4).withColumn("pop_id", pop(lambda age: F.col("time") < age * f))
+
+
+def _sampled_segments(spark, sf):
+    pop = lambda before: F.when(before(0.05), "A").when(before(0.12), "S").otherwise("Z")
+    return G.branch_population_segments(_placed_nodes(spark, sf, pop), _sampled_pops(spark, sf))
+
+
+def _network_segments(spark, sf):
+    def pop(before):
+        one, two = F.col("hpath") % 2 == 1, F.col("hpath") >= 2
+        low = F.when(one, F.when(before(0.03), "Hm").otherwise("T")).otherwise(F.when(before(0.04), "H").otherwise("S"))
+        high = F.when(two, "U").otherwise("K")
+        return F.when(before(0.02), "A").when(before(0.06), low).when(before(0.09), high).otherwise("Z")
+
+    return G.branch_population_segments(_placed_nodes(spark, sf, pop), _sampled_network(spark, sf))
+
+
+_SEGMENT = "gen, locus, CAST(node_id AS INTEGER) AS node_id, segment_pop, round(t0, 9) AS t0, round(t1, 9) AS t1"
+
+
+def _rounded(segments):
+    return segments.select("gen", "locus", "node_id", "segment_pop", r("t0", 9), r("t1", 9))
+
+
+@query("branch_population_segments_by_sample", f"WITH {_BY_SAMPLE} SELECT {_SEGMENT} FROM own")
+def branch_population_segments_by_sample(spark, sf):
+    return _rounded(_sampled_segments(spark, sf))
+
+
+@query("branch_population_segments_network", f"WITH {_BY_PATH} SELECT {_SEGMENT} FROM own")
+def branch_population_segments_network(spark, sf):
+    return _rounded(_network_segments(spark, sf))
+
+
+def _population_rates(spark, sf, names):
+    """A rate of each sample and population."""
+    cells = [F.struct(F.lit(p).alias("segment_pop"), (0.5 + (F.col("o_orderkey") * (i + 1)) % 10 / 10.0).alias("rate")) for i, p in enumerate(names)]
+    return A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("gen"), F.explode(F.array(*cells)).alias("x")).select("gen", "x.*")
+
+
+def _rate_sql(names):
+    return "CASE segment_pop " + " ".join(f"WHEN '{p}' THEN 0.5 + (gen * {i + 1}) % 10 / 10.0" for i, p in enumerate(names)) + " END"
+
+
+_TREE_POPS, _NET_POPS = [p[0] for p in POPS], [p[0] for p in NETWORK]
+_LENGTH = "SELECT gen, locus, CAST(node_id AS INTEGER) AS node_id, round(sum((t1 - t0) * ({rate})), 9) AS length FROM own GROUP BY 1, 2, 3"
+
+
+@query("relaxed_branch_lengths_by_sample", f"WITH {_BY_SAMPLE} {_LENGTH.format(rate=_rate_sql(_TREE_POPS))}")
+def relaxed_branch_lengths_by_sample(spark, sf):
+    rates = _population_rates(spark, sf, _TREE_POPS)
+    return G.relaxed_branch_lengths(_sampled_segments(spark, sf), rates).select("gen", "locus", "node_id", r("length", 9))
+
+
+@query("relaxed_branch_lengths_network", f"WITH {_BY_PATH} {_LENGTH.format(rate=_rate_sql(_NET_POPS))}")
+def relaxed_branch_lengths_network(spark, sf):
+    rates = _population_rates(spark, sf, _NET_POPS).filter("segment_pop <> 'Km'")  # a horizontal edge has no rate
+    return G.relaxed_branch_lengths(_network_segments(spark, sf), rates).select("gen", "locus", "node_id", r("length", 9))
+
+
 _RATE = "0.5 + (o_orderkey * {k} * 31) % 1000 / 1000.0"
 
 
-def _drift_sql() -> str:
+def _drift_sql(scale: str = "1.0", extra: str = "") -> str:
     rates = ", ".join(f"({_RATE.format(k=k)})::DOUBLE AS r{k}" for k in range(1, 6))
     lg = lambda x, a, b: f"({a} * ln({b}) - lgamma({a}) + ({a} - 1) * ln({x}) - {b} * {x})"
     gamma = " + ".join(lg(f"r{k}", "(1.1 * 1.1 / 0.2)", "(1.1 / 0.2)") for k in range(1, 6))
@@ -386,7 +496,8 @@ def _drift_sql() -> str:
         z = f"(({y1} * {y1} * ({ta} + {t2}) - 2 * {y1} * {y2} * {ta} + {y2} * {y2} * ({ta} + {t1})) / {det})"
         return f"(-{z} / 0.4 - ln({det} * 0.04) / 2 - ln({r1} * {r2}) - ln(2 * pi()))"
 
-    corr_l = drift("r4", "r1", "r2", "0.035", "0.025", "0.025") + " + " + drift("1.1", "r3", "r4", "0.0", "0.06", "0.035")
+    half = lambda age: f"({age} * {scale})"
+    corr_l = drift("r4", "r1", "r2", half("0.035"), half("0.025"), half("0.025")) + " + " + drift("1.1", "r3", "r4", "0.0", half("0.06"), half("0.035"))
     cols = {"gamma": gamma, "lognormal": logn, "corr_gamma": corr_g, "corr_lognormal": corr_l}
     return (
         f"WITH t AS (SELECT o_orderkey AS gen, {rates} FROM orders) SELECT gen, CAST(1 AS INTEGER) AS locus, "
@@ -395,21 +506,58 @@ def _drift_sql() -> str:
     )
 
 
-@query("branch_rate_log_prior", _drift_sql())
-def branch_rate_log_prior(spark, sf):
+def _drift_rates(spark, sf, count=5):
     k = F.col("o_orderkey")
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("node_id"), (0.5 + (k * i * 31) % 1000 / 1000.0).alias("rate")) for i in range(1, 6)])).alias("x")
-    rates = A.table(spark, sf, "orders").select(k.alias("gen"), F.lit(1).alias("locus"), cells).select(
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("node_id"), (0.5 + (k * i * 31) % 1000 / 1000.0).alias("rate")) for i in range(1, count + 1)])).alias("x")
+    return A.table(spark, sf, "orders").select(k.alias("gen"), F.lit(1).alias("locus"), cells).select(
         "gen", "locus", "x.*", F.lit(1.1).alias("mu"), F.lit(0.2).alias("nu")
     )
-    pops = spark.createDataFrame([(1, 4, 0.0), (2, 4, 0.0), (3, 5, 0.0), (4, 5, 0.05), (5, None, 0.12)], "node_id int, parent_id int, tau double")
+
+
+def _priors(rates, pops, models):
     out = None
-    for model in ("gamma", "lognormal", "corr_gamma", "corr_lognormal"):
+    for model in models:
         one = G.branch_rate_log_prior(rates, pops, model).select("gen", "locus", r("lnp").alias(model))
         out = one if out is None else out.join(one, ["gen", "locus"])
     return out
 
 
+_DRIFT_POPS = [(1, 4, 0.0), (2, 4, 0.0), (3, 5, 0.0), (4, 5, 0.05), (5, None, 0.12)]
+_MODELS = ("gamma", "lognormal", "corr_gamma", "corr_lognormal")
+
+
+@query("branch_rate_log_prior", _drift_sql())
+def branch_rate_log_prior(spark, sf):
+    pops = spark.createDataFrame(_DRIFT_POPS, "node_id int, parent_id int, tau double")
+    return _priors(_drift_rates(spark, sf), pops, _MODELS)
+
+
+@query("branch_rate_log_prior_by_sample", _drift_sql("(1 + (gen % 7) / 10.0::DOUBLE)"))
+def branch_rate_log_prior_by_sample(spark, sf):
+    pops = _scaled(spark, sf, _DRIFT_POPS, "node_id int, parent_id int, tau double").drop("f")
+    return _priors(_drift_rates(spark, sf), pops, _MODELS)
+
+
+def _network_prior_sql() -> str:
+    """Of nine populations the seventh is a horizontal edge and has no rate."""
+    kept = [k for k in range(1, 10) if k != 7]
+    rates = ", ".join(f"({_RATE.format(k=k)})::DOUBLE AS r{k}" for k in kept)
+    a, b = "(1.1 * 1.1 / 0.2)", "(1.1 / 0.2)"
+    gamma = " + ".join(f"({a} * ln({b}) - lgamma({a}) + ({a} - 1) * ln(r{k}) - {b} * r{k})" for k in kept)
+    logn = " + ".join(f"(-pow(ln(r{k}) - ln(1.1) + 0.1, 2) / 0.4 - ln(r{k}) - 0.5 * ln(2 * pi() * 0.2))" for k in kept)
+    return f"""WITH t AS (SELECT o_orderkey AS gen, {rates} FROM orders)
+      SELECT gen, CAST(1 AS INTEGER) AS locus, round({gamma}, 6) AS gamma, round({logn}, 6) AS lognormal FROM t"""
+
+
+@query("branch_rate_log_prior_network", _network_prior_sql())
+def branch_rate_log_prior_network(spark, sf):
+    names = [p[0] for p in NETWORK]
+    number = lambda c: F.array_position(F.array(*map(F.lit, names)), c).cast("int")
+    pops = _sampled_network(spark, sf)
+    pops = pops.withColumns({"node_id": number(F.col("node_id")), "parent_id": number(F.col("parent_id")), "mirror_id": number(F.col("mirror_id"))})
+    return _priors(_drift_rates(spark, sf, len(names)), pops, ("gamma", "lognormal"))
+
+
 # --- likelihood --------------------------------------------------------------
 
 FREQS = (0.3, 0.2, 0.15, 0.35)
@@ -499,8 +647,8 @@ def _locus_trees(spark, sf):
     return A.table(spark, sf, "documents").select(F.lit(1).alias("gen"), d.alias("locus"), cells).select("gen", "locus", "x.*")
 
 
-def _root(spark, sf, pats=None):
-    nodes = _locus_trees(spark, sf)
+def _root(spark, sf, pats=None, nodes=None):
+    nodes = _locus_trees(spark, sf) if nodes is None else nodes
     branches = G.branches(nodes).select("gen", "locus", "node_id", (F.col("parent_time") - F.col("time")).alias("t"), F.lit("JC69").alias("model"))
     pmats = K.transition_probs(branches).select("gen", "locus", "node_id", F.lit(0).alias("cat"), "p")
     return K.conditional_likelihoods(nodes, cut_lineage(patterns(spark, sf)) if pats is None else pats, pmats)
@@ -533,24 +681,60 @@ def locus_log_likelihood(spark, sf):
     return K.locus_log_likelihood(_root(spark, sf), _equal(spark, sf)).select("locus", r("logl", 4))
 
 
-@query("diploid_log_likelihood")
-def diploid_log_likelihood(spark, sf):
-    """The first two sequences of a locus as the two halves of one diploid."""
-    pats = patterns(spark, sf)
-    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("locus"))
-    # sequences 0 and 1 become four tips, the tree's tips
-    pairs = pats.withColumn("column", F.substring("column", 1, 2)).groupBy("locus", "column").agg(F.min("pattern_id").alias("pattern_id"), F.sum("weight").alias("weight"))
-    pairs = cut_lineage(pairs)
+def _diploid_pairs(spark, sf):
+    """Patterns of two diploids each: sequences 0 and 1, then 2 and 3, as loci 2d and 2d + 1."""
+    halves = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.substring("column", 2 * k + 1, 2).alias("column")) for k in (0, 1)])).alias("x")
+    each = patterns(spark, sf).select("locus", "pattern_id", "weight", halves)
+    keyed = each.select((2 * F.col("locus") + F.col("x.k")).alias("locus"), F.col("x.column").alias("column"), "pattern_id", "weight")
+    return cut_lineage(keyed.groupBy("locus", "column").agg(F.min("pattern_id").alias("pattern_id"), F.sum("weight").alias("weight")))
+
+
+def _diploid_lnl(spark, sf, fixed):
+    """Log likelihoods over the phase resolutions; four halves are the tips of the document's tree."""
+    pairs = _diploid_pairs(spark, sf)
+    both = lambda df: df.withColumn("locus", F.explode(F.array(2 * F.col("locus"), 2 * F.col("locus") + 1)))
+    docs = both(A.table(spark, sf, "documents").select(F.col("doc_id").alias("locus")))
     dips = docs.withColumn("seq_idx", F.explode(F.array(F.lit(0), F.lit(1))))
-    expanded = P.diploid_expand(pairs, dips, P.diploid_phase_fix(pairs, dips))
+    expanded = P.diploid_expand(pairs, dips, fixed(pairs, dips)).columns
     phased = P.phase_patterns(expanded)
     ids = phased.select("locus", "column", F.substring_index("pattern_id", ".", 1).cast("long").alias("pattern_id"), F.col("pattern_id").alias("weight"))
     # the text key of a phased pattern rides in the weight column
-    lnl = K.pattern_log_likelihood(_root(spark, sf, ids), _equal(spark, sf))
+    nodes = both(_locus_trees(spark, sf))
+    lnl = K.pattern_log_likelihood(_root(spark, sf, ids, nodes), both(_equal(spark, sf)))
     named = lnl.select("gen", "locus", F.col("weight").alias("pattern_id"), "lnl")
     phase_map = P.phase_pattern_map(expanded, phased)
     weights = pairs.select("locus", F.col("pattern_id").alias("site"), "weight")
-    return K.diploid_log_likelihood(named, phase_map, weights).select("locus", r("logl", 4))
+    out = K.diploid_log_likelihood(named, phase_map, weights)
+    return out.select(F.floor(F.col("locus") / 2).alias("locus"), (F.col("locus") % 2).cast("int").alias("pair"), r("logl", 4))
+
+
+@query("diploid_log_likelihood")
+def diploid_log_likelihood(spark, sf):
+    """Phases fixed by the greedy rule, which has no SQL form; the others averaged."""
+    return _diploid_lnl(spark, sf, P.diploid_phase_fix)
+
+
+def _averaged_sql() -> str:
+    """Every resolution of a pair of diploids on the four tips of the tree, no phase fixed."""
+    code = lambda i, which: f"CAST(CASE WHEN bit_count(d{i}) = 2 THEN {which} ELSE d{i} END AS INTEGER)"
+    one = lambda i: f"(d{i} & (-d{i}))"
+    two = lambda i: f"(d{i} & (d{i} - 1))"
+    half = lambda i, first: code(i, f"CASE WHEN s{i} = {first} THEN {one(i)} ELSE {two(i)} END")
+    inner = _likelihood_sql().split("FROM pats)", 1)[1]
+    return f"""{CHARS}, q AS (SELECT locus, pattern_id, weight, k, CAST(instr('0123456789abcdef', substr(col, CAST(2 * k + 1 AS INTEGER), 1)) - 1 AS INTEGER) AS d0,
+        CAST(instr('0123456789abcdef', substr(col, CAST(2 * k + 2 AS INTEGER), 1)) - 1 AS INTEGER) AS d1 FROM pats, range(2) t(k)),
+      site AS (SELECT *, unnest(CASE WHEN bit_count(d0) = 2 THEN [0, 1] ELSE [0] END) AS s0 FROM q),
+      res AS (SELECT *, unnest(CASE WHEN bit_count(d1) = 2 THEN [0, 1] ELSE [0] END) AS s1 FROM site),
+      l3 AS (SELECT locus, pattern_id, k, weight, {half(0, 0)} AS m0, {half(0, 1)} AS m1, {half(1, 0)} AS m2, {half(1, 1)} AS m3,
+        0.01 * (1 + locus % 5) AS t1, t1 + 0.01 * (1 + locus % 7) AS t2, t2 + 0.02 * (1 + locus % 3) AS t3 FROM res){inner},
+      mean AS (SELECT locus, k, pattern_id, weight, ln(avg((z0 + z1 + z2 + z3) / 4)) AS lnl FROM l6 GROUP BY 1, 2, 3, 4)"""
+
+
+@query("diploid_log_likelihood_averaged", f"WITH {_averaged_sql()} SELECT locus, CAST(k AS INTEGER) AS pair, round(sum(weight * lnl), 4) AS logl FROM mean GROUP BY 1, 2")
+def diploid_log_likelihood_averaged(spark, sf):
+    """No phase fixed: the mean over all resolutions of every site."""
+    nothing = spark.createDataFrame([], "locus long, pattern_id long, seq_idx long")
+    return _diploid_lnl(spark, sf, lambda pairs, dips: nothing)
 
 
 # --- traits ------------------------------------------------------------------

@@ -200,14 +200,106 @@ def test_phase_fix_matches_the_direct_rule(spark):
         assert {tuple(r) for r in phase.diploid_phase_fix(df, dips).collect()} == direct_resolve(sites)
 
 
-def test_expansion_limit(spark):
+NO_FIXES = "locus long, pattern_id long, seq_idx long"
+
+
+def test_expansion_order(spark):
     df = spark.createDataFrame([(1, "33", 0, 1)], "locus long, column string, pattern_id long, weight long")
     dips = spark.createDataFrame([(1, 0), (1, 1)], "locus long, seq_idx int")
-    none = spark.createDataFrame([], "locus long, pattern_id long, seq_idx long")
-    out = rows(phase.diploid_expand(df, dips, none).select("resolution_idx", "column"))
+    out = rows(phase.diploid_expand(df, dips, spark.createDataFrame([], NO_FIXES)).columns.select("resolution_idx", "column"))
     assert out == [(0, "1212"), (1, "1221"), (2, "2112"), (3, "2121")]
-    with pytest.raises(Exception, match="too many"):
-        phase.diploid_expand(df, dips, none, max_hets=1).collect()
+
+
+@pytest.mark.parametrize("bits", [1, 3, 12])
+def test_expansion_in_stages(spark, bits):
+    sites = [(1, "3" * 7 + "1", 0, 1), (1, "35112481", 1, 2), (2, "3" * 8, 0, 1), (2, "11111111", 3, 1)]
+    df = spark.createDataFrame(sites, "locus long, column string, pattern_id long, weight long")
+    dips = spark.createDataFrame([(i, k) for i in (1, 2) for k in range(8)], "locus long, seq_idx int")
+    fixed = spark.createDataFrame([(2, 0, 5)], NO_FIXES)
+    out = phase.diploid_expand(df, dips, fixed, bits=bits).columns.collect()
+    by_site = {}
+    for r in out:
+        by_site.setdefault((r.locus, r.site), []).append((r.resolution_idx, r.column))
+    assert {k: [i for i, _ in sorted(v)] for k, v in by_site.items()} == {
+        (1, 0): [*range(128)], (1, 1): [*range(4)], (2, 0): [*range(128)], (2, 3): [0]
+    }
+    for index, column in by_site[2, 0]:
+        bits_left = f"{index:07b}"
+        want = "".join("12" if i == 5 or bits_left[i - (i > 5)] == "0" else "21" for i in range(8))
+        assert column == want
+
+
+def test_thirty_heterozygotes(spark):
+    """2**30 columns of one site neither fail nor pass through one task; loci beyond all storage are told apart."""
+    df = spark.createDataFrame([(1, "3" * 30, 0, 1), (2, "3" * 70, 0, 1), (2, "3" + "1" * 69, 1, 1)], "locus long, column string, pattern_id long, weight long")
+    dips = spark.createDataFrame([(1, k) for k in range(30)] + [(2, k) for k in range(70)], "locus long, seq_idx int")
+    out = phase.diploid_expand(df, dips, spark.createDataFrame([], NO_FIXES), rows_a_task=1 << 26)
+    assert rows(out.counts.select("locus", "site", "h", "n_columns", "fits")) == [
+        (1, 0, 30, 2.0**30, True), (2, 0, 70, 2.0**70, False), (2, 1, 1, 2.0, False)
+    ]
+    assert {r.locus for r in out.columns.limit(3000).collect()} == {1}
+    assert rows(phase.diploid_expand(df.filter("locus = 2"), dips, spark.createDataFrame([], NO_FIXES)).columns) == []
+
+
+NETWORK = "gen long, node_id string, parent_id string, tau double, event int, mirror_id string, horizontal boolean, bidirectional boolean"
+
+
+def test_branches_in_networks_of_two_samples(spark):
+    """A bidirectional event: above X and Y at one time a lineage may change sides along edges without duration."""
+    def sample(gen, f):
+        return [
+            (gen, "a", "X", 0.0, None, None, None, None), (gen, "b", "Y", 0.0, None, None, None, None),
+            (gen, "X", "R", 1.0 * f, 0, "Xm", False, True), (gen, "Xm", "Y", 1.0 * f, 0, None, True, True),
+            (gen, "Y", "R", 1.0 * f, 1, "Ym", False, True), (gen, "Ym", "X", 1.0 * f, 1, None, True, True),
+            (gen, "R", None, 3.0 * f, None, None, None, None),
+        ]
+
+    pops = spark.createDataFrame(sample(1, 1.0) + sample(2, 2.0), NETWORK)
+    nodes = [(g, 5, 1, 3, 0.5, "a", m) for g, m in ((1, 0), (2, 1))] + [(g, 5, 2, 3, 0.0, "b", None) for g in (1, 2)]
+    nodes += [(g, 5, 3, None, 7.0, "R", None) for g in (1, 2)]
+    genes = spark.createDataFrame(nodes, "gen long, locus long, node_id int, parent_id int, time double, pop_id string, hpath long")
+    got = rows(coalescent.branch_population_segments(genes, pops).select("gen", "node_id", "segment_pop", "t0", "t1"))
+    assert got == [
+        (1, 1, "R", 3.0, 7.0), (1, 1, "X", 1.0, 3.0), (1, 1, "a", 0.5, 1.0), (1, 2, "R", 3.0, 7.0), (1, 2, "Y", 1.0, 3.0), (1, 2, "b", 0.0, 1.0),
+        (2, 1, "R", 6.0, 7.0), (2, 1, "Y", 2.0, 6.0), (2, 1, "a", 0.5, 2.0), (2, 2, "R", 6.0, 7.0), (2, 2, "Y", 2.0, 6.0), (2, 2, "b", 0.0, 2.0),
+    ]
+    rates = pops.select("gen", F.lit(5).alias("locus"), "node_id", F.lit(2.0).alias("rate"), F.lit(1.0).alias("mu"), F.lit(0.5).alias("nu"))
+    per_rate = -0.5 * math.log(2 * math.pi * 0.5) - math.log(2) - (math.log(2) + 0.25) ** 2
+    lnp = [r.lnp for r in coalescent.branch_rate_log_prior(rates, pops, "lognormal").collect()]
+    assert lnp == pytest.approx([5 * per_rate] * 2)  # mirrors have no rate of their own
+    with pytest.raises(ValueError, match="networks"):
+        coalescent.branch_rate_log_prior(rates, pops, "corr_gamma")
+    with pytest.raises(Exception, match="no such population: c"):
+        coalescent.branch_population_segments(genes.withColumn("pop_id", F.lit("c")), pops).collect()
+
+
+def test_common_ancestors_of_random_trees(spark):
+    rng = random.Random(3)
+    nodes, want = [], {}
+    for gen in range(6):
+        size = 40 if gen else 1
+        tops, time, parent, next_id = [rng.randrange(100) * 100 + k for k in range(size)], 0.0, {}, 20_000
+        tips, when = list(tops), {t: 0.01 * (t % 3) for t in tops}
+        stop = 2 if gen == 5 else 1  # the last one is two trees
+        while len(tops) > stop:
+            time += 1 + rng.random()
+            chain = gen == 1  # a ladder
+            joined = [tops.pop(0), tops.pop(0)] if chain else [tops.pop(rng.randrange(len(tops))) for _ in range(2)]
+            for t in joined:
+                parent[t] = next_id
+            when[next_id] = time
+            tops.insert(0, next_id)
+            next_id += 1
+        nodes += [(gen, 1, t, parent.get(t), when[t], f"s{tips.index(t)}" if t in tips else None) for t in when]
+        line = lambda t: [t, *line(parent[t])] if t in parent else [t]  # noqa: B023, E731
+        for a, b in itertools.combinations(range(size), 2):
+            shared = [t for t in line(tips[a]) if t in line(tips[b])]
+            if shared:
+                want[f"s{a}", f"s{b}", gen] = when[shared[0]] - min(when[tips[a]], when[tips[b]])
+    pairs = spark.createDataFrame([(f"s{a}", f"s{b}") for a, b in itertools.combinations(range(41), 2)], "label1 string, label2 string")
+    df = spark.createDataFrame(nodes, "gen long, locus long, node_id long, parent_id long, time double, label string")
+    got = {(r.label1, r.label2, r.gen): r.t for r in coalescent.pairwise_coalescence_time(df, pairs).collect()}
+    assert got == pytest.approx(want)
 
 
 def test_two_lineage_density(spark):
