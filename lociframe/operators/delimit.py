@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions.blocks import cumulative_by_count
-from lociframe.operators.trees import (
-    canonical_topology,
-    newick_nodes,
-    node_ages,
-    strip_tree_attributes,
-    with_taxa,
-)
-from lociframe.session import cut_lineage
+from lociframe.operators.newick import delimited
 
 #: added to tip branches when every putative species is kept apart
 TIP_GUARD = 0.1
@@ -38,67 +31,18 @@ def guide_node_support(posterior: DataFrame) -> DataFrame:
     return bits.groupBy("node").agg(F.sum(F.when(F.col("bit") == "1", F.col("p")).otherwise(0.0)).alias("support"))
 
 
-def collapsed_nodes(trees: DataFrame, keys: list[str], total_species: int) -> DataFrame:
-    """(keys, newick, zeros): the attribute-free tree and its inner nodes of age 0.
-
-    When the logged count says that no node collapsed, tips are lengthened
-    first so that truncated ages cannot collapse by rounding.
-    """
-    parsed = newick_nodes(trees.withColumn("_full", F.col("n_species") == total_species), [*keys, "_full"])
-    guarded = F.col("length") + F.when(F.col("_full") & F.col("is_tip"), F.lit(TIP_GUARD)).otherwise(F.lit(0.0))
-    aged = node_ages(parsed.withColumn("length", guarded), [*keys, "_full"])
-    zero = (~F.col("is_tip")) & (F.col("age") <= 0)
-    flags = aged.groupBy(*keys, "_full").agg(F.sort_array(F.collect_list(F.when(zero, F.col("node_id")))).alias("zeros"))
-    return strip_tree_attributes(trees.select(*keys, "newick")).join(flags.drop("_full"), keys)
-
-
-def delimited_models(collapsed: DataFrame) -> DataFrame:
-    """(newick, zeros, n, species, tree, n_species) of the distinct outcomes.
+def collapse_zero_branches(trees: DataFrame, keys: list[str], total_species: int) -> DataFrame:
+    """(keys, species, tree, n_species) of each sampled tree: nodes of age 0 become one species.
 
-    A collapsed node becomes one species named by its sorted leaf labels; the
-    tree above the species is written canonically.  Samples sharing topology
-    and collapsed nodes are counted first and rebuilt once.
+    A species is named by its sorted leaf labels; the tree above the species is written canonically.  When the logged
+    count says that no node collapsed, tips are lengthened first so that truncated ages cannot collapse by rounding.
     """
-    keys = ["newick", "zeros"]
-    # few rows that several branches below share; parsing all trees again would not be free
-    counted = cut_lineage(collapsed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    nodes = with_taxa(newick_nodes(counted, keys), keys)
-    nodes = nodes.withColumn("zero", F.col("is_tip") | F.array_contains("zeros", F.col("node_id")))
-    parent = nodes.select(*keys, F.col("node_id").alias("parent_id"), F.col("zero").alias("parent_zero"))
-    kept = nodes.join(parent, [*keys, "parent_id"], "left").filter("not coalesce(parent_zero, false)")
-    # species are the tips of the delimited tree, renumbered in the old tip order
-    kept = kept.select(
-        *keys, "node_id", "parent_id", "first_tip", "n_leaves", F.col("zero").alias("is_tip"),
-        F.when(F.col("zero"), F.array_join("taxa", "")).alias("label"),
-    )
-    everywhere = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = F.array_sort(F.collect_list(F.when(F.col("is_tip"), F.col("first_tip"))).over(everywhere))
-    species = F.sort_array(F.collect_list(F.col("label")).over(everywhere))
-    first, past = F.col("first_tip"), F.col("first_tip") + F.col("n_leaves")
-    renumbered = kept.withColumn("_starts", starts).withColumn("species", species).select(
-        *keys, "species", "node_id", "parent_id", "is_tip", "label",
-        (F.size(F.filter("_starts", lambda s: s < first)) + 1).alias("first_tip"),
-        F.size(F.filter("_starts", lambda s: (s >= first) & (s < past))).alias("n_leaves"),
-    )
-    names = renumbered.select(*keys, "species").distinct()
-    topology = canonical_topology(renumbered, keys)
-    return (
-        counted.join(names, keys)
-        .join(topology, keys, "left")
-        .select(
-            *keys, "n", "species",
-            F.coalesce("topology", F.concat(F.col("species")[0], F.lit(";"))).alias("tree"),
-            F.size("species").alias("n_species"),
-        )
-    )
+    return delimited(trees, keys, total_species, TIP_GUARD)
 
 
-def collapse_zero_branches(trees: DataFrame, keys: list[str], total_species: int) -> DataFrame:
-    """(keys, species, tree, n_species) of each sampled tree."""
-    collapsed = collapsed_nodes(trees, keys, total_species)
-    return collapsed.join(delimited_models(collapsed).drop("n"), ["newick", "zeros"]).select(
-        *keys, "species", "tree", "n_species"
-    )
+def delimited_models(outcomes: DataFrame) -> DataFrame:
+    """(species, tree, n_species, n) of the distinct outcomes of ``collapse_zero_branches``."""
+    return outcomes.groupBy("species", "tree", "n_species").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _with_share(counts: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Posterior trees repeat: branch lengths differ but topologies are few.  The
 topology and clade operators therefore strip attributes, collapse equal strings
-to one row with a count, and parse only those.  A tree is parsed with windows
-over its own tokens, all keyed by the tree, so one exchange serves every step.
+to one row with a count, and parse only those, each to one row (``newick.py``).
+Functions that take ``nodes`` work on any node table.
 """
 
 from __future__ import annotations
@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import mathfns as M
 from lociframe.functions.blocks import cumulative_by_count
-
-TOKEN = r"[(),;]|(?:\[[^\]]*\]|[^(),;\[])+"
-
+from lociframe.operators.newick import newick_nodes, tree_taxa, tree_topologies
 
 def strip_tree_attributes(trees: DataFrame, keep_lengths: bool = False) -> DataFrame:
     """Remove whitespace and the ``#...`` / ``:...`` / ``[...]`` parts of nodes.
@@ -29,81 +27,6 @@ def strip_tree_attributes(trees: DataFrame, keep_lengths: bool = False) -> DataF
     return trees.withColumn("newick", F.regexp_replace(text, r"[#:][^,();]*", ""))
 
 
-def newick_nodes(trees: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per node of every tree; ``keys`` identify a tree.
-
-    Nodes are numbered in preorder from 1.  ``first_tip`` and ``n_leaves`` give
-    the node's tips as a range of tip numbers, ``n_nodes`` the size of its
-    subtree, ``depth`` the distance from the root in edges.
-    """
-    tokens = (
-        trees.repartition(*keys)
-        .select(*keys, F.expr(f"regexp_extract_all(regexp_replace(newick, '\\\\s+', ''), r'{TOKEN}', 0)").alias("t"))
-        .select(*keys, F.posexplode("t").alias("p", "tok"))
-    )
-    in_order = Window.partitionBy(*keys).orderBy("p")
-    running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tok = F.col("tok")
-    is_open, is_close = tok == "(", tok == ")"
-    tokens = tokens.withColumn("prev", F.lag("tok").over(in_order)).withColumn("next", F.lead("tok").over(in_order))
-    text = lambda c: ~c.isin("(", ")", ",", ";")
-    is_tip = text(tok) & (F.col("prev").isNull() | F.col("prev").isin("(", ","))
-    count = lambda flag: F.sum(flag.cast("int")).over(running)
-    marked = tokens.withColumn("tip", is_tip).select(
-        *keys,
-        "p",
-        "tok",
-        "tip",
-        F.when(text(F.col("next")), F.col("next")).alias("after"),
-        (count(is_open) - count(is_close)).alias("depth"),
-        count(is_open | F.col("tip")).alias("node_id"),
-        count(F.col("tip")).alias("tips"),
-    )
-    role = lambda name, level: F.struct(F.lit(name).alias("role"), level.alias("level"))
-    roles = (
-        F.when(F.col("tip"), F.array(role("child", F.col("depth"))))
-        .when(is_open, F.array(role("child", F.col("depth") - 1), role("open", F.col("depth"))))
-        .when(is_close, F.array(role("close", F.col("depth") + 1)))
-    )
-    levelled = marked.withColumn("r", F.explode(roles)).select("*", "r.role", "r.level").drop("r")
-    at_level = Window.partitionBy(*keys, "level").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owner = F.last(F.when(F.col("role") == "open", F.col("node_id")), ignorenulls=True).over(at_level)
-    owned = levelled.withColumn("owner", owner).filter("role <> 'open'")
-    child = F.col("role") == "child"
-    node = F.when(child, F.col("node_id")).otherwise(F.col("owner"))
-    pick = lambda cond, value: F.max(F.when(cond, value))
-    flat = (
-        owned.withColumn("node", node)
-        .groupBy(*keys, "node")
-        .agg(
-            pick(child, F.col("owner")).alias("parent_id"),
-            pick(child, F.col("level")).alias("depth"),
-            F.bool_or("tip").alias("is_tip"),
-            pick(child, F.col("tok")).alias("tip_text"),
-            pick(~child, F.col("after")).alias("inner_text"),
-            pick(child, F.col("tips")).alias("tips_start"),
-            pick(~child, F.col("tips")).alias("tips_end"),
-            pick(~child, F.col("node_id")).alias("last_node"),
-        )
-    )
-    body = F.when(F.col("is_tip"), F.col("tip_text")).otherwise(F.coalesce("inner_text", F.lit("")))
-    part = lambda pattern: F.nullif(F.regexp_extract("body", pattern, 1), F.lit(""))
-    return flat.withColumn("body", body).select(
-        *keys,
-        F.col("node").alias("node_id"),
-        "parent_id",
-        part(r"^([^:#\[]+)").alias("label"),
-        F.expr("try_cast(nullif(regexp_extract(body, r':([^:#\\[]+)', 1), '') as double)").alias("length"),
-        F.expr("try_cast(nullif(regexp_extract(body, r'#([^:#\\[]+)', 1), '') as double)").alias("theta"),
-        part(r"\[([^\]]*)\]").alias("attributes"),
-        "is_tip",
-        F.when(F.col("is_tip"), F.col("tips_start")).otherwise(F.col("tips_start") + 1).alias("first_tip"),
-        F.when(F.col("is_tip"), F.lit(1)).otherwise(F.col("tips_end") - F.col("tips_start")).alias("n_leaves"),
-        F.when(F.col("is_tip"), F.lit(1)).otherwise(F.col("last_node") - F.col("node") + 1).alias("n_nodes"),
-        "depth",
-    )
-
-
 def with_taxa(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``taxa``, the sorted leaf labels below each node."""
     everywhere = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -165,16 +88,12 @@ def distinct_newicks(trees: DataFrame) -> DataFrame:
 
 def topology_counts(trees: DataFrame) -> DataFrame:
     """(topology, n) over a tree sample."""
-    texts = distinct_newicks(trees)
-    names = canonical_topology(newick_nodes(texts, ["newick"]), ["newick"])
-    return texts.join(names, "newick").groupBy("topology").agg(F.sum("n").alias("n"))
+    return tree_topologies(distinct_newicks(trees), ["n"]).groupBy("topology").agg(F.sum("n").alias("n"))
 
 
 def clade_counts(trees: DataFrame) -> DataFrame:
     """(clade, n) over a tree sample."""
-    texts = distinct_newicks(trees)
-    found = clades(newick_nodes(texts, ["newick"]), ["newick"])
-    return found.join(texts, "newick").groupBy("clade").agg(F.sum("n").alias("n"))
+    return tree_taxa(distinct_newicks(trees), ["n"], proper=True).groupBy("clade").agg(F.sum("n").alias("n"))
 
 
 def topology_posterior(counts: DataFrame) -> DataFrame:
@@ -206,7 +125,9 @@ def clade_posterior(counts: DataFrame, trees: DataFrame) -> DataFrame:
 
 
 def majority_clades(posterior: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Clades with frequency >= threshold, then the full species set."""
+    """Clades with frequency >= threshold, at least 0.5, then the full species set."""
+    if threshold < 0.5:
+        raise ValueError("clades of frequency below 0.5 need not nest")
     kept = posterior.filter(F.col("freq") >= threshold).select("clade", "freq", "size")
     return kept.unionByName(species_set(posterior)).orderBy("size", clade_key(F.col("clade")))
 
@@ -218,24 +139,35 @@ def species_set(posterior: DataFrame) -> DataFrame:
 
 
 def majority_consensus(majority: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nest majority clades; also the pairs that overlap without nesting.
+    """(key, parent, freq, size): each majority clade below its smallest strict superset; and (key, key2, common): the
+    pairs that overlap without nesting.
 
-    Each clade's parent is its smallest strict superset; the full set has none.
-    Only clades that share a taxon are compared.
+    For every taxon its clades are put in order of size, and each clade names the one after it.  Two clades that both
+    are in more than half of the trees stand together in one of them, so they nest: all taxa of a clade then name the
+    same next clade, and as many as the clade has, which is the proof that it is a superset.  Only where taxa disagree
+    clades are compared with each other, and these are clades of frequency exactly 0.5.
     """
     keyed = majority.select("clade", "freq", "size", clade_key(F.col("clade")).alias("key"))
-    members = keyed.select("key", "size", F.explode("clade").alias("taxon"))
+    members = keyed.select("key", "size", "freq", F.explode("clade").alias("taxon"))
+    chain = Window.partitionBy("taxon").orderBy("size", "key")
+    steps = members.withColumn("next", F.lead("key").over(chain))
+    named = steps.groupBy("key", "size", "next").agg(F.count(F.lit(1)).alias("taxa")).filter("next is not null")
+    nested = named.filter("taxa = size").select("key", F.col("next").alias("parent"))
+    broken = named.filter("taxa < size").select("key").distinct()
+
+    one = members.join(broken, "key", "left_semi").select("key", "size", "taxon")
     other = members.select(F.col("key").alias("key2"), F.col("size").alias("size2"), "taxon")
-    shared = (
-        members.join(other, "taxon").filter("key <> key2").groupBy("key", "size", "key2", "size2").agg(F.count(F.lit(1)).alias("common"))
-    )
-    parents = (
-        shared.filter("common = size and size2 > size")
-        .groupBy("key")
-        .agg(F.min(F.struct("size2", "key2")).alias("up"))
-        .select("key", F.col("up.key2").alias("parent"))
-    )
-    conflicts = shared.filter("common < least(size, size2) and key < key2").select("key", "key2", "common")
+    shared = one.join(other, "taxon").filter("size2 > size").groupBy("key", "size", "key2", "size2").agg(F.count(F.lit(1)).alias("common"))
+    found = shared.filter("common = size").groupBy("key").agg(F.min(F.struct("size2", "key2")).alias("up"))
+    parents = nested.unionByName(found.select("key", F.col("up.key2").alias("parent")))
+
+    # a clade in conflict shares a taxon with a broken one, and both have frequency 0.5
+    ties = members.filter("freq = 0.5").select("key", "size", "taxon")
+    touched = members.join(broken, "key", "left_semi").select("taxon").distinct()
+    suspects = ties.join(ties.join(touched, "taxon", "left_semi").select("key").distinct(), "key", "left_semi")
+    second = suspects.select(F.col("key").alias("key2"), F.col("size").alias("size2"), "taxon")
+    pairs = suspects.join(second, "taxon").filter("key < key2").groupBy("key", "size", "key2", "size2").agg(F.count(F.lit(1)).alias("common"))
+    conflicts = pairs.filter("common < least(size, size2)").select("key", "key2", "common")
     return keyed.join(parents, "key", "left").select("key", "parent", "freq", "size"), conflicts
 
 
@@ -250,9 +182,8 @@ def map_trees(topologies: DataFrame, posterior: DataFrame) -> DataFrame:
     """The topologies tied for the highest count, one row per supported clade."""
     top = topologies.agg(F.max("n").alias("_top"))
     best = topologies.crossJoin(F.broadcast(top)).filter("n = _top").drop("_top")
-    nodes = newick_nodes(best.select(F.col("topology").alias("newick")), ["newick"])
-    found = tree_clade_support(clades(nodes, ["newick"]), posterior)
-    return best.join(found.withColumnRenamed("newick", "topology"), "topology").select("topology", "n", "p", "clade", "freq")
+    found = tree_taxa(best.withColumn("newick", F.col("topology")), ["topology", "n", "p"], proper=True)
+    return tree_clade_support(found, posterior).select("topology", "n", "p", "clade", "freq")
 
 
 def best_models(posterior: DataFrame, item: str, k: int) -> DataFrame:
@@ -327,8 +258,7 @@ def outgroup_constraint(outgroup: DataFrame, taxa: DataFrame) -> DataFrame:
 
 def constraint_clades(constraint_trees: DataFrame) -> DataFrame:
     """Inner nodes (the root included) of constraint trees as required clades."""
-    nodes = newick_nodes(strip_tree_attributes(constraint_trees), ["constraint_id"])
-    return with_taxa(nodes, ["constraint_id"]).filter("not is_tip").select("constraint_id", F.col("taxa").alias("clade"))
+    return tree_taxa(strip_tree_attributes(constraint_trees), ["constraint_id"]).filter("not is_tip").select("constraint_id", "clade")
 
 
 def comply(trees: DataFrame, required: DataFrame) -> DataFrame:
@@ -337,11 +267,10 @@ def comply(trees: DataFrame, required: DataFrame) -> DataFrame:
     The whole taxon set of a tree counts as one of its clades.
     """
     texts = distinct_newicks(trees)
-    nodes = with_taxa(newick_nodes(texts, ["newick"]), ["newick"])
     need = required.select(clade_key(F.array_sort("clade")).alias("key")).distinct()
     total = need.agg(F.count(F.lit(1)).alias("_need"))
     matched = (
-        nodes.select("newick", clade_key(F.col("taxa")).alias("key"))
+        tree_taxa(texts, ["newick"]).select("newick", clade_key(F.col("clade")).alias("key"))
         .join(need, "key", "left_semi")
         .groupBy("newick")
         .agg(F.count(F.lit(1)).alias("m"))

@@ -81,12 +81,12 @@ def _support(spark, sf):
 
 @query("clades", f"WITH {SAMPLE} SELECT gen, clade FROM clade")
 def clades(spark, sf):
-    return _key(T.clades(T.newick_nodes(A.tree_sample(spark, sf), ["gen"]), ["gen"])).select("gen", "clade")
+    return _key(T.tree_taxa(A.tree_sample(spark, sf), ["gen"], proper=True)).select("gen", "clade")
 
 
 @query("canonical_topology", f"WITH {SAMPLE} SELECT gen, topology FROM topo")
 def canonical_topology(spark, sf):
-    return T.canonical_topology(T.newick_nodes(A.tree_sample(spark, sf), ["gen"]), ["gen"])
+    return T.tree_topologies(A.tree_sample(spark, sf), ["gen"])
 
 
 @query(
@@ -121,15 +121,51 @@ def majority_consensus(spark, sf):
     return T.majority_consensus(T.majority_clades(_support(spark, sf)))[0].select("key", "parent", r("freq"))
 
 
+@query("canonical_topology_of_nodes", f"WITH {SAMPLE} SELECT gen, topology FROM topo")
+def canonical_topology_of_nodes(spark, sf):
+    """The same from a node table, which need not come from a text."""
+    return T.canonical_topology(T.newick_nodes(A.tree_sample(spark, sf), ["gen"]), ["gen"])
+
+
+@query("clades_of_nodes", f"WITH {SAMPLE} SELECT gen, clade FROM clade")
+def clades_of_nodes(spark, sf):
+    return _key(T.clades(T.newick_nodes(A.tree_sample(spark, sf), ["gen"]), ["gen"])).select("gen", "clade")
+
+
+def _halves(spark, sf):
+    """Two trees an order, one with A and B together and one with A and C: clades in exactly half of the trees."""
+    even = F.col("o_orderkey") % 2 == 0
+    one = F.when(even, "((((A,B),C),D),E);").otherwise("(((A,B),(C,D)),E);")
+    two = F.when(even, "((((A,C),B),D),E);").otherwise("(((A,C),(B,D)),E);")
+    keyed = A.table(spark, sf, "orders").select("o_orderkey", F.posexplode(F.array(one, two)).alias("half", "newick"))
+    return keyed.select(F.lit("c1").alias("chain"), (F.col("o_orderkey") * 2 + F.col("half")).alias("gen"), "newick")
+
+
+_HALVES = """h(clade, n) AS (SELECT c, sum(CASE WHEN odd IS NULL THEN 1 WHEN odd = (o_orderkey % 2 <> 0) THEN 1 ELSE 0 END * w) FROM orders,
+    (VALUES ('A,B', NULL, 1), ('A,C', NULL, 1), ('A,B,C', FALSE, 2), ('C,D', TRUE, 1), ('B,D', TRUE, 1), ('A,B,C,D', NULL, 2)) v(c, odd, w) GROUP BY 1),
+  m AS (SELECT clade, string_split(clade, ',') AS s, n / (2.0 * (SELECT count(*) FROM orders)) AS freq FROM h
+    WHERE n >= (SELECT count(*) FROM orders) UNION ALL SELECT 'A,B,C,D,E', ['A', 'B', 'C', 'D', 'E'], 1.0)"""
+
+
 @query(
     "consensus_conflicts",
-    f"""WITH {SAMPLE} SELECT a.clade AS key, b.clade AS key2, CAST(len(list_intersect(string_split(a.clade, ','), string_split(b.clade, ','))) AS BIGINT) AS common
-    FROM cp a JOIN cp b ON a.clade < b.clade AND len(list_intersect(string_split(a.clade, ','), string_split(b.clade, ','))) BETWEEN 1
-      AND least(len(string_split(a.clade, ',')), len(string_split(b.clade, ','))) - 1""",
+    f"""WITH {_HALVES} SELECT a.clade AS key, b.clade AS key2, CAST(len(list_intersect(a.s, b.s)) AS BIGINT) AS common
+    FROM m a JOIN m b ON a.clade < b.clade AND len(list_intersect(a.s, b.s)) BETWEEN 1 AND least(len(a.s), len(b.s)) - 1""",
 )
 def consensus_conflicts(spark, sf):
-    """Overlapping clades when every clade is admitted."""
-    return T.majority_consensus(T.majority_clades(_support(spark, sf), 0.0))[1]
+    """Clades in exactly half of the trees that overlap without nesting."""
+    trees = _halves(spark, sf)
+    return T.majority_consensus(T.majority_clades(T.clade_posterior(T.clade_counts(trees), trees)))[1]
+
+
+@query(
+    "consensus_with_conflicts",
+    f"""WITH {_HALVES} SELECT a.clade AS key, (SELECT arg_min(b.clade, len(b.s)) FROM m b WHERE len(b.s) > len(a.s) AND list_has_all(b.s, a.s)) AS parent,
+    round(a.freq, 6) AS freq FROM m a""",
+)
+def consensus_with_conflicts(spark, sf):
+    trees = _halves(spark, sf)
+    return T.majority_consensus(T.majority_clades(T.clade_posterior(T.clade_counts(trees), trees)))[0].select("key", "parent", r("freq"))
 
 
 @query(
@@ -145,7 +181,7 @@ def map_trees(spark, sf):
 
 @query("tree_clade_support", f"WITH {SAMPLE} SELECT gen, clade, round(freq, 6) AS freq FROM clade JOIN cp USING (clade)")
 def tree_clade_support(spark, sf):
-    found = T.clades(T.newick_nodes(A.tree_sample(spark, sf), ["gen"]), ["gen"])
+    found = T.tree_taxa(A.tree_sample(spark, sf), ["gen"], proper=True)
     return _key(T.tree_clade_support(found, _support(spark, sf))).select("gen", "clade", r("freq"))
 
 
@@ -161,7 +197,7 @@ def order_by_size(spark, sf):
 
 @query("clade_union", f"WITH {SAMPLE} SELECT gen, string_agg(DISTINCT t, ',' ORDER BY t) AS clade FROM (SELECT gen, unnest(string_split(clade, ',')) AS t FROM clade) GROUP BY 1")
 def clade_union(spark, sf):
-    found = T.clades(T.newick_nodes(A.tree_sample(spark, sf), ["gen"]), ["gen"])
+    found = T.tree_taxa(A.tree_sample(spark, sf), ["gen"], proper=True)
     return _key(T.clade_union(found, ["gen"]))
 
 
@@ -171,7 +207,7 @@ def clade_union(spark, sf):
 )
 def taxon_complement(spark, sf):
     trees = A.tree_sample(spark, sf)
-    found = T.clades(T.newick_nodes(trees, ["gen"]), ["gen"]).select("gen", "clade")
+    found = T.tree_taxa(trees, ["gen"], proper=True).select("gen", "clade")
     taxa = T.distinct_newicks(trees).select(F.explode(F.expr("regexp_extract_all(newick, '[A-Z]', 0)")).alias("taxon"))
     return _key(T.taxon_complement(found, taxa))
 
@@ -248,7 +284,7 @@ def posterior_vs_prior(spark, sf):
 
 
 def _models(spark, sf):
-    return D.delimited_models(D.collapsed_nodes(A.timed_trees(spark, sf), ["gen"], 4))
+    return D.delimited_models(D.collapse_zero_branches(A.timed_trees(spark, sf), ["gen"], 4))
 
 
 @query("collapse_zero_branches", f"WITH {TIMED} SELECT k AS gen, array_to_string(species, ' ') AS species, tree, CAST(len(species) AS INTEGER) AS n_species FROM delim")

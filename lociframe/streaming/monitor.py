@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lociframe.operators.trees import canonical_topology, clades, newick_nodes, strip_tree_attributes
+from lociframe.operators.newick import tree_taxa, tree_topologies
+from lociframe.operators.trees import strip_tree_attributes
 
 TRACE_SCHEMA = "chain string, gen long, param string, value double"
 TREE_SCHEMA = "chain string, gen long, newick string"
@@ -48,10 +49,8 @@ def stream_newick_counts(trees: DataFrame) -> DataFrame:
 
 def expand_counts(newick_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Topology and clade counts from the current text counts (a batch table)."""
-    nodes = newick_nodes(newick_counts, ["newick"])
-    topologies = newick_counts.join(canonical_topology(nodes, ["newick"]), "newick").groupBy("topology").agg(F.sum("n").alias("n"))
-    found = newick_counts.join(clades(nodes, ["newick"]), "newick").groupBy("clade").agg(F.sum("n").alias("n"))
-    return topologies, found
+    topologies = tree_topologies(newick_counts, ["n"]).groupBy("topology").agg(F.sum("n").alias("n"))
+    return topologies, tree_taxa(newick_counts, ["n"], proper=True).groupBy("clade").agg(F.sum("n").alias("n"))
 
 
 def stream_topology_posterior(trees: DataFrame, checkpoint: str, sink: str, available_now: bool = False) -> StreamingQuery:

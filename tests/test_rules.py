@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import blocks
 from lociframe.functions import mathfns as M
-from lociframe.operators import align, coalescent, conditionals, label_switch, likelihood, phase, pops, trace, trees
+from lociframe.operators import align, coalescent, conditionals, delimit, label_switch, likelihood, phase, pops, trace, trees
 from lociframe.sources import sinks, text
 
 
@@ -163,6 +163,80 @@ def test_majority_conflict_at_one_half(spark):
     post = trees.clade_posterior(trees.clade_counts(df), df)
     nested, conflicts = trees.majority_consensus(trees.majority_clades(post))
     assert nested.count() == 3 and rows(conflicts) == [("A,B", "A,C", 1)]
+    with pytest.raises(ValueError, match="need not nest"):
+        trees.majority_clades(post, 0.4)
+
+
+def random_newick(rng, names):
+    parts = list(names)
+    while len(parts) > 1:
+        k = min(len(parts), rng.choice([2, 2, 2, 3]))
+        picked = [parts.pop(rng.randrange(len(parts))) for _ in range(k)]
+        parts.append("(" + ",".join(picked) + ")")
+    return parts[0] + ";"
+
+
+def test_consensus_of_random_trees(spark):
+    """Against comparing all pairs of clades; even numbers of trees give ties at one half."""
+    rng = random.Random(5)
+    for names, count in (("ABCDEF", 2), ("ABCDEFGH", 2), ("ABCDE", 4)):
+        texts = [random_newick(rng, names) for _ in range(count)]
+        df = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)], "chain string, gen long, newick string")
+        majority = trees.majority_clades(trees.clade_posterior(trees.clade_counts(df), df)).cache()
+        sets = [(frozenset(r.clade), ",".join(r.clade)) for r in majority.collect()]
+        up = {k: min(((len(t), n) for t, n in sets if s < t), default=(0, None))[1] for s, k in sets}
+        clash = sorted((a, b, len(s & t)) for s, a in sets for t, b in sets if a < b and s & t and not (s <= t or t <= s))
+        nested, conflicts = trees.majority_consensus(majority)
+        assert {r.key: r.parent for r in nested.collect()} == up
+        assert rows(conflicts) == clash
+
+
+def test_one_row_a_tree_and_node_tables_agree(spark):
+    rng = random.Random(8)
+    names = ["é", "b b", "C", "a1", "Z", "_", "ab", "a"]
+    texts = [random_newick(rng, names[: rng.randint(2, 8)]) for _ in range(40)] + ["((x),y);", "x;", "(((a,b)));"]
+    df = spark.createDataFrame(list(enumerate(texts)), "gen long, newick string")
+    nodes = trees.newick_nodes(df, ["gen"]).cache()
+    assert rows(trees.tree_topologies(df, ["gen"])) == rows(trees.canonical_topology(nodes, ["gen"]))
+    by_text = trees.tree_taxa(df, ["gen"], proper=True).select("gen", "node_id", "clade", "n_leaves")
+    assert rows(by_text) == rows(trees.clades(nodes, ["gen"]).select("gen", "node_id", "clade", "n_leaves"))
+
+
+def test_awkward_newick_texts(spark):
+    texts = [None, "", ";", "A;", "(A:1e-3,B:x[&r=1]#0.5)root:2;", "((A,B);", "(A,,B);", " ( A , B ) ;", "(A:.5,(B:1,C:1):0)0.9[n];"]
+    df = spark.createDataFrame(list(enumerate(texts)), "gen long, newick string")
+    got = {}
+    for r in trees.newick_nodes(df, ["gen"]).orderBy("gen", "node_id").collect():
+        got.setdefault(r.gen, []).append((r.parent_id, r.label, r.length, r.theta, r.attributes, r.first_tip, r.n_leaves, r.n_nodes, r.depth))
+    assert got == {
+        3: [(None, "A", None, None, None, 1, 1, 1, 0)],
+        4: [(None, "root", 2.0, None, None, 1, 2, 3, 0), (1, "A", 0.001, None, None, 1, 1, 1, 1), (1, "B", None, 0.5, "&r=1", 2, 1, 1, 1)],
+        5: [(None, None, None, None, None, 1, None, None, 0), (1, None, None, None, None, 1, 2, 3, 1), (2, "A", None, None, None, 1, 1, 1, 2), (2, "B", None, None, None, 2, 1, 1, 2)],
+        6: [(None, None, None, None, None, 1, 2, 3, 0), (1, "A", None, None, None, 1, 1, 1, 1), (1, "B", None, None, None, 2, 1, 1, 1)],
+        7: [(None, None, None, None, None, 1, 2, 3, 0), (1, "A", None, None, None, 1, 1, 1, 1), (1, "B", None, None, None, 2, 1, 1, 1)],
+        8: [(None, "0.9", None, None, "n", 1, 3, 5, 0), (1, "A", 0.5, None, None, 1, 1, 1, 1), (1, None, 0.0, None, None, 2, 2, 3, 1),
+            (3, "B", 1.0, None, None, 2, 1, 1, 2), (3, "C", 1.0, None, None, 3, 1, 1, 2)],
+    }
+
+
+def test_a_ladder_of_many_tips(spark):
+    """No recursion: a tree as high as it has tips."""
+    n = 2000
+    text = "(" * (n - 1) + "t0000:1" + "".join(f",t{i:04d}:{i}):1" for i in range(1, n)) + ";"
+    df = spark.createDataFrame([("c", 1, text, 5)], "chain string, gen long, newick string, n_species int")
+    assert trees.tree_topologies(df, ["gen"]).collect()[0].topology.startswith("(" * (n - 1) + "t0000,t0001)")
+    out = delimit.collapse_zero_branches(df.withColumn("newick", F.regexp_replace("newick", ":1$", "")), ["gen"], n).collect()[0]
+    assert out.n_species == n and out.species[0] == "t0000"
+
+
+def test_species_of_age_zero(spark):
+    texts = [("((A:0,B:0):1,C:1);", 2), ("((A:0,B:0):0,C:0);", 1), ("((A:0,B:0):0,C:0);", 3), ("((B:1,A:1):1,C:2);", 3)]
+    df = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(texts)], "gen long, newick string, n_species int")
+    out = delimit.collapse_zero_branches(df, ["gen"], 3)
+    assert rows(out) == [
+        (0, ["AB", "C"], "(AB,C);", 2), (1, ["ABC"], "ABC;", 1), (2, ["A", "B", "C"], "((A,B),C);", 3), (3, ["A", "B", "C"], "((A,B),C);", 3)
+    ]
+    assert rows(delimit.delimited_models(out).select("n", "tree")) == [(1, "(AB,C);"), (1, "ABC;"), (2, "((A,B),C);")]
 
 
 def direct_resolve(sites):
