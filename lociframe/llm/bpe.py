@@ -104,7 +104,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encoding and decoding by one rank file."""
 
-    def __init__(self, lines: bytes, pattern: str) -> None:
+    def __init__(self, lines: bytes, pattern: str, remembered: int = CACHED) -> None:
+        self.remembered = remembered
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x.strip())}
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
@@ -124,8 +125,8 @@ class Codec:
                     ids = out[i] = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
                     if len(piece) <= CACHED_CHARS:
                         known[piece] = ids
-            if len(known) > CACHED:  # the older half goes
-                for piece in list(islice(known, CACHED // 2)):
+            if len(known) > self.remembered:  # the older half goes
+                for piece in list(islice(known, self.remembered // 2)):
                     del known[piece]
         return b"".join(out)
 
@@ -134,21 +135,24 @@ class Codec:
 
 
 @lru_cache(2)
-def _codec(digest: str, lines: bytes, pattern: str) -> Codec:
-    return Codec(lines, pattern)
+def _codec(digest: str, lines: bytes, pattern: str, remembered: int) -> Codec:
+    return Codec(lines, pattern, remembered)
 
 
 class Vocabulary:
-    """A rank file and its pre-token pattern, read on the driver and sent to the executors (under 1 MB)."""
+    """A rank file and its pre-token pattern, read on the driver and sent to the executors (under 1 MB).
 
-    def __init__(self, path: str, pattern: str) -> None:
+    A Python worker remembers the ids of up to ``remembered`` words; fewer change its memory and time, not the ids.
+    """
+
+    def __init__(self, path: str, pattern: str, remembered: int = CACHED) -> None:
         with open(path, "rb") as file:
             self.lines = file.read()
-        self.pattern = pattern
+        self.pattern, self.remembered = pattern, remembered
         self.digest = hashlib.sha256(self.lines + pattern.encode()).hexdigest()
 
     def codec(self) -> Codec:
-        return _codec(self.digest, self.lines, self.pattern)
+        return _codec(self.digest, self.lines, self.pattern, self.remembered)
 
 
 def _mapped(df: DataFrame, keep: tuple[str, ...], source: str, new: str, vocabulary: Vocabulary, step: str) -> DataFrame:

@@ -225,6 +225,14 @@ def families(nodes: DataFrame, far: int) -> DataFrame:
     return edges.distinct()
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets of numbers."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a)) if len(b) else 0
+
+
 def confirm(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of ``members`` (family, node, signature, text): within a family the pairs with near signatures are
     compared on their full shingle sets, nearest first, leaving out those already linked in this block."""
@@ -242,7 +250,7 @@ def confirm(members: DataFrame, percent: int) -> DataFrame:
             raw = np.frombuffer(b"".join(unit["signature"]), "<u2").reshape(-1, SYMBOLS)
             sets = []
             for _, run in chunks(unit["text"]):
-                sets += [frozenset(s.tolist()) for s in shingle_sets(run)]
+                sets += [np.sort(s) for s in shingle_sets(run)]
             left = np.flatnonzero(side == 0)
             right = np.flatnonzero(side == 1) if side.any() else left
             apart = _apart(raw[left], raw[right])
@@ -255,7 +263,7 @@ def confirm(members: DataFrame, percent: int) -> DataFrame:
                 a, b = sets[x], sets[y]
                 if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
                     continue
-                both = len(a & b)
+                both = _shared(a, b)
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     union.join(x, y)
             found += _stars(union, names)
