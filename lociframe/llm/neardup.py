@@ -250,7 +250,7 @@ def confirm(members: DataFrame, percent: int) -> DataFrame:
             raw = np.frombuffer(b"".join(unit["signature"]), "<u2").reshape(-1, SYMBOLS)
             sets = []
             for _, run in chunks(unit["text"]):
-                sets += [np.sort(s) for s in shingle_sets(run)]
+                sets += shingle_sets(run)  # sorted
             left = np.flatnonzero(side == 0)
             right = np.flatnonzero(side == 1) if side.any() else left
             apart = _apart(raw[left], raw[right])
