@@ -17,13 +17,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the filters know; null, empty and letterless texts go."""
+    """Documents in a language that the filters know; null, empty and letterless texts go.
+
+    Each row is judged on its own: repeated rows and a null doc_id are kept or go like others; of an empty table none.
+    """
     filters = language.learn(docs.where(remainder(3) != 1))
     return language.accept(docs.select(*COLUMNS), filters)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines, n_chars anew; documents that lose every line with a word go."""
+    """Texts without repeated lines, n_chars anew; documents that lose every line with a word go.
+
+    The earliest of equal lines is that of the smallest doc_id (null first); rows that repeat doc_id and text lose the
+    same lines; null and empty texts stay as they are; an empty table gives no rows.
+    """
     out = lines.drop_repeated_lines(docs.select(*COLUMNS))
     emptied = F.col("lines_dropped").isNotNull() & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
@@ -40,19 +47,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Rows that repeat doc_id, source and text are one row that is taken as often as all of them together; null and
+    wordless texts are never taken; a null doc_id or source is a value like others, and an empty table gives no rows.
+    """
     docs = docs.select(*COLUMNS)
-    taken = stored(
-        mixing.mix(docs).where("copies > 0").groupBy("doc_id", "text_key").agg(F.max("copies").alias("copies")), "taken"
-    )
-    d, t = docs.withColumn("_text_key", F.xxhash64("text")).alias("d"), taken.alias("t")
-    joined = d.join(t, F.expr("d.doc_id <=> t.doc_id AND d._text_key = t.text_key"))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.copies")))).select(*(f"d.{c}" for c in COLUMNS))
+    key = ("doc_id", "source", "text_key")
+    taken = stored(mixing.mix(docs).where("copies > 0").groupBy(*key).agg(F.sum("copies").alias("copies")), "taken")
+    one = docs.groupBy("doc_id", "source", F.xxhash64("text").alias("text_key"), "text").agg(F.min(F.struct("lang", "n_chars")).alias("rest"))
+    joined = one.alias("d").join(taken.alias("t"), F.expr(" AND ".join(f"d.{c} <=> t.{c}" for c in key)))
+    each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.copies"))))
+    return each.select("d.doc_id", "d.text", "d.rest.lang", "d.source", "d.rest.n_chars").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids (binary, little-endian unsigned 32-bit), n_tokens, and a digest of the decoded text."""
-    words = vocabulary()
+    """doc_id, source, ids (binary, little-endian unsigned 32-bit), n_tokens, and a digest of the decoded text.
+
+    A row for each row, repeated ones too; null and empty texts have no ids.
+    """
+    words = vocabulary(remembered=100_000)  # the workers of earlier stages are still there
     ids = bpe.encode(docs, words, keep=("doc_id", "source"))
     back = bpe.decode(ids, words, keep=("doc_id", "source", "ids"))
     return back.select("doc_id", "source", "ids", bpe.n_tokens().alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
