@@ -81,12 +81,15 @@ def _value_at(rank: Column) -> Column:
 
 def trace_quantiles(trace: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Median, and the sorted elements at floor(0.025 n) and floor(0.975 n)."""
+    return _for_every_group(trace, keys, _quantiles(_ranked(trace, keys), keys))
+
+
+def _quantiles(ranked: DataFrame, keys: list[str]) -> DataFrame:
     n = F.col("n")
     half = F.floor(n / 2)
     lower_half = F.when(n % 2 == 0, half - 1).otherwise(half)
-    out = (
-        _ranked(trace, keys)
-        .groupBy(*keys)
+    return (
+        ranked.groupBy(*keys)
         .agg(
             _value_at(half).alias("_upper"),
             _value_at(lower_half).alias("_lower"),
@@ -95,7 +98,6 @@ def trace_quantiles(trace: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         )
         .select(*keys, ((F.col("_upper") + F.col("_lower")) / 2).alias("median"), "q025", "q975")
     )
-    return _for_every_group(trace, keys, out)
 
 
 def hpd_interval(trace: DataFrame, keys: list[str] = KEYS, alpha: float = 0.05) -> DataFrame:
@@ -105,21 +107,23 @@ def hpd_interval(trace: DataFrame, keys: list[str] = KEYS, alpha: float = 0.05)
     distinct value is the only candidate start.  The window starting at the
     lower tail wins ties against all, then the smallest start.
     """
+    return _for_every_group(trace, keys, _hpd(_ranked(trace, keys), keys, alpha))
+
+
+def _hpd(ranked: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
     n = F.col("n")
     low, high = F.floor(n * (alpha / 2)), F.floor(n * (1 - alpha / 2))
-    ranked = _ranked(trace, keys)
     steps = ranked.select(*keys, "n", F.col("value").alias("lo"), "start", (F.col("start") + high - low).alias("rank"))
     wanted = steps.filter(F.col("rank") < n)
     widths = values_at_ranks(ranked, wanted, keys, "value", "n").withColumn("hi", F.col("at_rank"))
     best = widths.groupBy(*keys).agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), "start", "lo", "hi")).alias("best"))
     tails = ranked.groupBy(*keys).agg(_value_at(low).alias("t_lo"), _value_at(high).alias("t_hi"), F.max("n").alias("n"))
     shorter = (n > 2) & (F.col("best.w") < F.col("t_hi") - F.col("t_lo"))
-    out = tails.join(best, keys, "left").select(
+    return tails.join(best, keys, "left").select(
         *keys,
         F.when(shorter, F.col("best.lo")).otherwise(F.col("t_lo")).alias("hpd_lo"),
         F.when(shorter, F.col("best.hi")).otherwise(F.col("t_hi")).alias("hpd_hi"),
     )
-    return _for_every_group(trace, keys, out)
 
 
 def sample_index(trace: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -211,28 +215,44 @@ def ess(trace: DataFrame, max_lag: int = MAX_LAG, keys: list[str] = KEYS, popula
     )
 
 
+STATISTICS = ("mean", "median", "sd", "min", "max", "q025", "q975", "hpd_lo", "hpd_hi", "ess", "eff", "rho1")
+
+
 def trace_summary(trace: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """The twelve-statistic table, one row per parameter."""
+    """The twelve-statistic table, one row per parameter; values are ranked once."""
+    return _summary(trace, keys).select(*keys, *STATISTICS)
+
+
+def _summary(trace: DataFrame, keys: list[str]) -> DataFrame:
+    ranked = _ranked(trace, keys)
     return (
         trace_moments(trace, keys)
-        .join(trace_quantiles(trace, keys), keys)
-        .join(hpd_interval(trace, keys), keys)
-        .join(ess(trace, keys=keys), keys)
-        .select(
-            *keys, "mean", "median", "sd", "min", "max", "q025", "q975", "hpd_lo", "hpd_hi", "ess", "eff", "rho1"
-        )
+        .join(_quantiles(ranked, keys), keys, "left")
+        .join(_hpd(ranked, keys), keys, "left")
+        .join(ess(trace, keys=keys), keys, "left")
     )
 
 
 def multi_chain_summary(trace: DataFrame) -> DataFrame:
-    """Moments and quantiles by chain and pooled (``chain`` is NULL when pooled)."""
-    both = trace.withColumn("chain", F.explode(F.array(F.col("chain"), F.lit(None).cast("string"))))
-    marked = both.withColumn("pool", F.coalesce("chain", F.lit("")))
-    moments = trace_moments(marked, ["pool", "param"])
-    quantiles = trace_quantiles(marked, ["pool", "param"])
-    return moments.join(quantiles, ["pool", "param"]).select(
-        F.when(F.col("pool") != "", F.col("pool")).alias("chain"), "param", "n", "mean", "sd", "min", "max", "median", "q025", "q975"
+    """(pooled, chain, param, n, the twelve statistics): a row for each chain, and with ``pooled`` one for all chains.
+
+    The pooled series of a parameter is its chains one after the other, by name and a null chain first; its ess, eff
+    and rho1 are those of that series.  A null chain is a chain like others and counts once in the pool.
+    """
+    series = F.concat(F.when(F.col("chain").isNull(), F.lit("n")).otherwise(F.lit("c")), F.coalesce("chain", F.lit("")))
+    own = trace.select(series.alias("series"), "param", "gen", "value")
+    spans = own.groupBy("param", "series").agg((F.max("gen") - F.least(F.min("gen"), F.lit(0)) + 1).alias("span"))
+    before = Window.partitionBy("param").orderBy(F.desc(F.col("series").startswith("n")), "series").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.withColumn("offset", F.coalesce(F.sum("span").over(before), F.lit(0))).drop("span")  # a row a chain
+    # chains are few and hold many samples each, so the samples stay where they are
+    placed = own.join(offsets, ["param", "series"])
+    copies = F.array(
+        F.struct(F.col("series"), F.col("gen")), F.struct(F.lit("p").alias("series"), (F.col("gen") + F.col("offset")).alias("gen"))
     )
+    both = placed.select("param", "value", F.explode(copies).alias("c")).select("c.series", "param", "c.gen", "value")
+    out = _summary(both, ["series", "param"])
+    chain = F.when(F.col("series").startswith("c"), F.expr("substring(series, 2)"))
+    return out.select((F.col("series") == "p").alias("pooled"), chain.alias("chain"), "param", "n", *STATISTICS)
 
 
 def running_mean(trace: DataFrame, keys: list[str] = KEYS) -> DataFrame:

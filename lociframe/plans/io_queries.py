@@ -291,26 +291,35 @@ def stream_running_mean(spark, sf):
     return spark.read.parquet(out + "/current").select("chain", "param", "n", r("rmean"))
 
 
-@query("stream_topology_posterior", f"WITH {SAMPLE} SELECT topology, n FROM tp")
-def stream_topology_posterior(spark, sf):
-    source = _replay(A.tree_sample(spark, sf), spark, "topologies")
-    out = scratch(spark, "topologies") + "/s"
+def _followed_trees(spark, sf, name):
+    """Both tables of a followed tree sample, after several batches."""
+    source = _replay(A.tree_sample(spark, sf), spark, name)
+    out = scratch(spark, name) + "/s"
     trees = monitor.stream_trace(spark, source, monitor.TREE_SCHEMA, files_per_trigger=4)
     monitor.stream_topology_posterior(trees, out + "/ck", out + "/data", available_now=True).awaitTermination()
-    last = spark.read.parquet(out + "/data")
-    newest = last.agg(F.max("batch").alias("m"))
-    return last.join(F.broadcast(newest), last.batch == newest.m).select("topology", "n")
+    return monitor.topology_state(spark, out + "/data")
+
+
+@query("stream_topology_posterior", f"WITH {SAMPLE} SELECT topology, n FROM tp")
+def stream_topology_posterior(spark, sf):
+    return _followed_trees(spark, sf, "topologies")[0]
+
+
+@query("stream_clade_posterior", f"WITH {SAMPLE} SELECT clade, n FROM cp")
+def stream_clade_posterior(spark, sf):
+    return _followed_trees(spark, sf, "clades")[1].select(F.array_join("clade", ",").alias("clade"), "n")
 
 
 @query("stream_resume", f"WITH {TRACE} SELECT chain, param, gen, value FROM trace")
 def stream_resume(spark, sf):
-    """Two runs over a growing directory; the second continues the first."""
+    """A run that goes back a little each time; its samples are compacted while it is followed."""
     trace = A.trace(spark, sf)
     middle = trace.agg((F.max("gen") / 2).alias("m"))
     marked = trace.crossJoin(F.broadcast(middle))
     out = scratch(spark, "resume")
-    for part in ("gen <= m", "gen > m"):
+    for part in ("gen <= m", "gen > m - 50"):
         marked.filter(part).drop("m").repartitionByRange(4, "gen").write.mode("append").parquet(out + "/in")
         stream = monitor.stream_trace(spark, out + "/in")
         monitor.stream_resume(stream, out + "/ck", out + "/data").awaitTermination()
+        monitor.compact(spark, out + "/data")
     return monitor.durable_samples(spark, out + "/data").select("chain", "param", "gen", "value")

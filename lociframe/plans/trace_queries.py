@@ -187,19 +187,21 @@ def bayes_factor(spark, sf):
     return T.bayes_factor(T.marginal_likelihood(post, weights), T.marginal_likelihood(other, weights)).select(r("log_bf", 5))
 
 
+_POOLED = CHAINS + """, ends AS (SELECT param, max(gen) FILTER (chain = 'c1') + 1 AS first FROM chains GROUP BY 1),
+  trace AS (SELECT chain, gen, param, value FROM chains
+    UNION ALL SELECT 'pool', gen + CASE WHEN chain = 'c2' THEN first - 1 ELSE 0 END, param, value FROM chains JOIN ends USING (param))"""
+
+
 @query(
     "multi_chain_summary",
-    f"""WITH {CHAINS}, both_ AS (SELECT * FROM chains UNION ALL SELECT NULL, gen, param, value FROM chains),
-    s AS (SELECT chain, param, value, row_number() OVER (PARTITION BY chain, param ORDER BY value) - 1 AS k,
-      count(*) OVER (PARTITION BY chain, param) AS n FROM both_)
-    SELECT chain, param, max(n) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS min, max(value) AS max,
-      round((max(value) FILTER (k = n // 2) + max(value) FILTER (k = CASE WHEN n % 2 = 0 THEN n // 2 - 1 ELSE n // 2 END)) / 2, 6) AS median,
-      max(value) FILTER (k = CAST(floor(n * 0.025) AS BIGINT)) AS q025,
-      max(value) FILTER (k = CAST(floor(n * 0.975) AS BIGINT)) AS q975 FROM s GROUP BY 1, 2""",
+    f"WITH {SORTED.replace(TRACE, _POOLED)}, {acf_sql('trace')}, {tau_sql()}, m AS ({MOMENTS}), q AS ({QUANTILES}), h AS ({HPD}), e AS ({ESS}) "
+    "SELECT chain = 'pool' AS pooled, CASE WHEN chain <> 'pool' THEN chain END AS chain, param, n, mean, median, sd, min, max, q025, q975, hpd_lo, hpd_hi, "
+    "ess, eff, rho1 FROM m JOIN q USING (chain, param) JOIN h USING (chain, param) JOIN e USING (chain, param)",
 )
 def multi_chain_summary(spark, sf):
-    out = T.multi_chain_summary(A.two_chains(spark, sf))
-    return out.select(*[r(c) if c in ("mean", "sd", "median") else c for c in out.columns])
+    digits = {"mean": 6, "median": 6, "sd": 6, "ess": 3, "eff": 4, "rho1": 6}
+    out = T.multi_chain_summary(cut_lineage(A.two_chains(spark, sf)))
+    return out.select(*[r(c, digits[c]) if c in digits else c for c in out.columns])
 
 
 def _wide_as_trace(spark, sf):

@@ -12,6 +12,7 @@ from lociframe.functions import blocks
 from lociframe.functions import mathfns as M
 from lociframe.operators import align, coalescent, conditionals, delimit, label_switch, likelihood, phase, pops, trace, trees
 from lociframe.sources import sinks, text
+from lociframe.streaming import monitor
 
 
 def rows(df):
@@ -504,3 +505,79 @@ def test_t92_uses_the_gc_share_only(spark):
         for f in ([0.3, 0.2, 0.15, 0.35], [0.35, 0.15, 0.2, 0.3])
     ]
     assert p[0] == pytest.approx(p[1]) and all(sum(p[0][i : i + 4]) == pytest.approx(1) for i in range(0, 16, 4))
+
+
+def pooled(spark, chains):
+    data = [(c, i + 1, "p", float(v)) for c, values in chains.items() for i, v in enumerate(values)]
+    out = trace.multi_chain_summary(spark.createDataFrame(data, "chain string, gen long, param string, value double"))
+    return {(r.pooled, r.chain): r for r in out.collect()}
+
+
+def test_pool_of_chains_with_and_without_names(spark):
+    rng = random.Random(2)
+    chains = {None: [rng.gauss(0, 1) for _ in range(40)], "": [rng.gauss(1, 1) for _ in range(30)], "b": [rng.gauss(2, 1) for _ in range(50)]}
+    got = pooled(spark, chains)
+    assert set(got) == {(False, None), (False, ""), (False, "b"), (True, None)}
+    every = sum(chains.values(), [])
+    one = trace.trace_summary(make_trace(spark, every)).collect()[0]
+    whole = got[True, None]
+    assert whole.n == 120 and all(whole[c] == pytest.approx(one[c]) for c in trace.STATISTICS)
+    for name, values in chains.items():
+        one = trace.trace_summary(make_trace(spark, values)).collect()[0]
+        assert all(got[False, name][c] == pytest.approx(one[c]) for c in trace.STATISTICS)
+
+
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["written", "committed"])
+def test_samples_survive_a_failure_inside_a_batch(spark, tmp_path, step):
+    """Whether the data or also the manifest was written: the replay gives every sample once."""
+    source, ck, sink = (str(tmp_path / x) for x in ("in", "ck", "out"))
+    want = {("c", g, p): float(g) for g in range(1, 41) for p in ("x", "y")}
+    data = spark.createDataFrame([(c, g, p, v) for (c, g, p), v in want.items()], monitor.TRACE_SCHEMA)
+    for low, high in ((31, 40), (1, 20), (11, 30)):  # files out of order, and a run that went back
+        data.filter(F.col("gen").between(low, high)).coalesce(1).write.mode("append").parquet(source)
+        calls = []
+
+        def fail(at):
+            calls.append(at)
+            if at == step:
+                raise Lost(at)
+
+        stream = monitor.stream_trace(spark, source)
+        with pytest.raises(Exception, match="Lost"):
+            monitor.stream_resume(stream, ck, sink, on_step=fail).awaitTermination()
+        assert calls[-1] == step
+        before = monitor.durable_samples(spark, sink)
+        assert before.count() == before.dropDuplicates().count()
+        monitor.stream_resume(monitor.stream_trace(spark, source), ck, sink).awaitTermination()
+        if low == 1:
+            monitor.compact(spark, sink)
+            monitor.compact(spark, sink)
+    got = monitor.durable_samples(spark, sink).collect()
+    assert len(got) == len(want) and {(r.chain, r.gen, r.param): r.value for r in got} == want
+
+
+def test_tree_counts_survive_a_failure(spark, tmp_path):
+    source, ck, sink = (str(tmp_path / x) for x in ("in", "ck", "out"))
+    assert [df.count() for df in monitor.topology_state(spark, sink)] == [0, 0]
+    for part in range(5):
+        texts = [("c", part * 10 + i, "((A,B),C);" if i % 2 else "(B,(A,C));") for i in range(4)]
+        spark.createDataFrame(texts, monitor.TREE_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = lambda **kw: monitor.stream_topology_posterior(
+            monitor.stream_trace(spark, source, monitor.TREE_SCHEMA), ck, sink, available_now=True, slots=2, **kw
+        ).awaitTermination()
+        if part == 2:
+            def fail(at):
+                raise Lost(at)
+
+            with pytest.raises(Exception, match="Lost"):
+                stream(on_step=fail)
+            assert rows(monitor.topology_state(spark, sink)[0]) == [("((A,B),C);", 4), ("((A,C),B);", 4)]
+        stream()
+        topologies, found = monitor.topology_state(spark, sink)
+        n = 2 * (part + 1)
+        assert rows(topologies) == [("((A,B),C);", n), ("((A,C),B);", n)]
+        assert rows(found) == [(["A", "B"], n), (["A", "C"], n)]
