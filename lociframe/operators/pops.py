@@ -5,31 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.functions.arrays import bisect
-from lociframe.session import cut_lineage
+from lociframe.functions.arrays import ancestor_tables, bisect, let
 
 
 def ancestor_closure(pops: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node_id, anc_id, dist): every node with each ancestor and itself.
 
-    Path doubling: after k rounds all pairs up to 2**k edges apart are known,
-    so a tree of height h takes log2(h) joins.
+    A tree is one row of parent indices.  Depths come from doubling, then each node climbs as many steps as it is
+    deep, so the work is that of writing the result; nodes leave their tree's row only as result rows.
     """
-    pops = cut_lineage(pops.select(*keys, "node_id", "parent_id"))
-    edges = pops.filter("parent_id is not null").select(*keys, F.col("node_id").alias("at"), F.col("parent_id").alias("to"))
-    pairs = pops.select(*keys, "node_id", F.col("node_id").alias("anc_id"), F.lit(0).alias("dist"))
-    jump, length = cut_lineage(edges), 1
-    while not jump.isEmpty():
-        further = pairs.withColumnRenamed("anc_id", "at").join(jump, [*keys, "at"])
-        pairs = cut_lineage(
-            pairs.unionByName(
-                further.select(*keys, "node_id", F.col("to").alias("anc_id"), (F.col("dist") + length).alias("dist"))
-            )
-        )
-        second = jump.select(*keys, F.col("at").alias("to"), F.col("to").alias("far"))
-        jump = cut_lineage(jump.join(second, [*keys, "to"]).select(*keys, "at", F.col("far").alias("to")))
-        length *= 2
-    return pairs
+    kind = pops.schema["node_id"].dataType
+    node = F.struct("node_id", F.col("parent_id").cast(kind).alias("parent_id"))
+    rows = pops.groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("_nodes"))
+    up = let(F.col("_nodes.node_id"), lambda ids: F.transform("_nodes.parent_id", lambda p, i: F.coalesce(bisect(ids, p), i)))
+    rows = rows.select(*keys, F.col("_nodes.node_id").alias("_ids"), up.alias("_up"))
+    each = rows.select(*keys, "_ids", "_up", F.posexplode(ancestor_tables(F.col("_up"))["depth"]).alias("_at", "_deep"))
+    step = lambda path, _: F.array_append(path, F.get("_up", F.element_at(path, -1)))
+    path = F.when(F.col("_deep") == 0, F.array("_at")).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("_deep")), F.array("_at"), step))
+    climbed = each.select(*keys, F.get("_ids", F.col("_at")).alias("node_id"), "_ids", F.posexplode(path).alias("dist", "_anc"))
+    return climbed.select(*keys, "node_id", F.get("_ids", F.col("_anc")).alias("anc_id"), "dist")
 
 
 def sample_rows(pops: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,7 +40,7 @@ def sample_rows(pops: DataFrame, keys: list[str]) -> DataFrame:
         mirror.cast(kind).alias("mirror_id"), event.cast("int").alias("event"),
     )
     rows = pops.groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("_pops"))
-    index = lambda name: F.transform(f"_pops.{name}", lambda x: bisect(F.col("_pops.node_id"), x))
+    index = lambda name: let(F.col("_pops.node_id"), lambda ids: F.transform(f"_pops.{name}", lambda x: bisect(ids, x)))
     return rows.select(
         *keys, F.col("_pops.node_id").alias("_ids"), index("parent_id").alias("_up"), F.col("_pops.tau").alias("_tau"),
         index("mirror_id").alias("_mirror"), F.col("_pops.event").alias("_event"),

@@ -407,7 +407,7 @@ def _scaled(spark, sf, rows, schema):
     return orders.crossJoin(pops).withColumn("tau", F.col("tau") * F.col("f"))
 
 
-def _sampled_pops(spark, sf):
+def _aged_pops(spark, sf):
     return _scaled(spark, sf, [p[:3] for p in POPS], "node_id string, parent_id string, tau double").drop("f")
 
 
@@ -424,7 +424,7 @@ def _placed_nodes(spark, sf, pop):
 
 def _sampled_segments(spark, sf):
     pop = lambda before: F.when(before(0.05), "A").when(before(0.12), "S").otherwise("Z")
-    return G.branch_population_segments(_placed_nodes(spark, sf, pop), _sampled_pops(spark, sf))
+    return G.branch_population_segments(_placed_nodes(spark, sf, pop), _aged_pops(spark, sf))
 
 
 def _network_segments(spark, sf):
