@@ -189,8 +189,32 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, weights)[middle] / np.convolve(np.ones(len(values)), weights)[middle]
 
 
+def _most(chosen: set, length: dict) -> set:
+    """The paths with most text that have to be added for the chosen ones to hold over half of all text."""
+    held, whole = sum(length[p] for p in chosen), sum(length.values())
+    added = set()
+    for path in sorted((p for p in length if p not in chosen), key=lambda p: -length[p]):
+        if 2 * held > whole:
+            break
+        added.add(path)
+        held += length[path]
+    return added
+
+
+def _holder_paths(page: Page) -> set:
+    """Paths of the elements in an unmarked article or main."""
+    inside = [False] * len(page.parent)
+    for element in range(1, len(inside)):
+        inside[element] = not page.marked[element] and (inside[page.parent[element]] or page.tag[element] in HOLDERS)
+    return {page.path[element] for element, within in enumerate(inside) if within}
+
+
 def content_nodes(page: Page) -> set[int]:
-    """Numbers of the text nodes on content paths."""
+    """Numbers of the text nodes on content paths.
+
+    A path is one if its smoothed or its own ratio reaches the mean.  The paths chosen hold over half of the text of
+    the page, and if an article or main has none of them, over half of the text in these as well.
+    """
     length, marks, count, order = {}, {}, {}, []
     for element, text, _ in page.texts:
         bare = text.strip()
@@ -210,6 +234,10 @@ def content_nodes(page: Page) -> set[int]:
     chosen = set()
     for fused in (_smooth(text_ratio) * (1.0 + _smooth(mark_ratio)), text_ratio * (1.0 + mark_ratio)):  # smoothing can hide a path
         chosen |= {p for p, ratio in zip(order, fused) if ratio >= fused.mean() * (1 - 1e-9)}
+    chosen |= _most(chosen, {p: length[p] for p in order})  # one long text on a path of its own must not outdo many paragraphs
+    inside = _holder_paths(page) & count.keys()
+    if inside and not chosen & inside:
+        chosen |= _most(set(), {p: length[p] for p in order if p in inside})
     return {i for i, (e, text, _) in enumerate(page.texts) if page.path[e] in chosen and not page.marked[e] and text.strip()}
 
 
@@ -268,7 +296,9 @@ def main_text(source: str | None) -> str:
 
 def extract(df: DataFrame) -> DataFrame:
     """page_id, url, text (the main text of the whole ``html``; empty if none), n_chars (code points) of each row of
-    ``df``.  Null and empty html give an empty text.  Equal rows give equal rows; other columns are not read."""
+    ``df``.  Null and empty html give an empty text, a page of any length is read whole, tags that are never closed or
+    never opened are closed and passed over as browsers do.  Equal rows give equal rows, an empty table none; other
+    columns are not read, whatever their names."""
     schema = df.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

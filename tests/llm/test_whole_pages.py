@@ -1,5 +1,6 @@
 """Pages whose article once fell out by a name or by its division."""
 
+import numpy as np
 import pytest
 
 from lociframe.llm import pages
@@ -67,3 +68,39 @@ def test_long_block_of_an_article():
     listing = "<pre>" + " ".join(f"line {i}, of code;" for i in range(200)) + "</pre>"
     text = pages.main_text(f"<body>{NAV}<div id=content><h1>Head</h1>{prose('Before', 3)}{listing}{prose('After', 3)}</div></body>")
     assert "Head" in text and "line 199" in text and sentences(text, "Before") == sentences(text, "After") == 3
+
+
+@pytest.mark.parametrize("paragraphs", [3, 10])
+@pytest.mark.parametrize("beside", ["legal", "kommentare"])
+def test_article_beside_one_long_text(paragraphs, beside):
+    """One long node on a path of its own has a ratio above that of the article's paragraphs."""
+    told = [f"Paragraph {i} of the article tells what happened that day, in some words." for i in range(paragraphs)]
+    article = "<article><h1>Head</h1>" + "".join(f"<p>{t}</p>" for t in told) + "</article>"
+    long = f"<div class={beside}><p>" + "All rights are reserved by whom it may concern, for ever. " * 8 + "</p></div>"
+    for page in (f"<body>{article}{long}</body>", f"<body>{long}{article}</body>"):
+        text = pages.main_text(page)
+        assert all(t in text for t in told)
+
+
+def test_paragraphs_beside_one_long_text_without_an_article():
+    told = [f"Sentence {i} stands on a page that has no article element at all." for i in range(12)]
+    page = "<body><div id=a><div>" + "".join(f"<p>{t}</p>" for t in told) + "</div></div><div><p>" + "Small print goes on. " * 25 + "</p></div></body>"
+    assert all(t in pages.main_text(page) for t in told)
+
+
+@pytest.mark.parametrize("ratios", [[5, 1, 9, 2, 2], [3, 3, 3], [1], [0, 7, 0, 7]])
+def test_smoothing_is_a_weighted_mean(ratios):
+    weights = [1, 4, 6, 4, 1]
+    want = []
+    for i in range(len(ratios)):
+        near = [(weights[k - i + 2], ratios[k]) for k in range(len(ratios)) if abs(k - i) <= 2]
+        want.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    assert pages._smooth(np.array(ratios, float)) == pytest.approx(want)
+
+
+def test_paths_are_needed():
+    """Without the ratios, text of little content beside the paragraphs would be taken as well."""
+    told = "".join(f"<p>Paragraph {i} tells a long and punctuated story, with clauses, and more of them.</p>" for i in range(6))
+    rest = "".join(f"<span>item {i}</span>" for i in range(30))
+    text = pages.main_text(f"<body><div><div>{told}</div></div><div><b>{rest}</b></div></body>")
+    assert "Paragraph 5" in text and "item 7" not in text
