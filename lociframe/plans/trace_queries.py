@@ -425,27 +425,52 @@ def conditional_to_marginal_product(spark, sf):
     return _marginal(C.conditional_to_marginal_product(theta, w, pairs, "gamma"))
 
 
+_SWITCH = "phi_x string, phi_y string, theta_x string, theta_y string, event string"
+
+
+def _mirrored(spark, sf, event, chain, flip, factors, thetas):
+    """Samples of an event in which those with ``flip`` are written mirrored."""
+    k = F.col("o_orderkey")
+    part = lambda m: (k * m) % 1000 / 1000
+    px, py = 0.1 + 0.3 * part(factors[0]), 0.2 + 0.2 * part(factors[1])
+    cells = [("phi_x", px, 1 - px), ("phi_y", py, 1 - py)]
+    if thetas:
+        tx, ty = 0.01 + 0.01 * part(31), 0.05 + 0.01 * part(57)
+        cells += [("theta_x", tx, ty), ("theta_y", ty, tx)]
+    values = [F.struct(F.lit(f"{n}{event}").alias("param"), F.when(flip, m).otherwise(v).alias("value")) for n, v, m in cells]
+    keyed = A.table(spark, sf, "orders").select(chain.alias("chain"), k.alias("gen"), F.explode(F.array(*values)).alias("c"))
+    return keyed.select("chain", "gen", "c.param", "c.value")
+
+
+def _switched(spark, sf):
+    """Two events, one without thetas, in two chains; the operator must turn the mirrored samples back."""
+    k = F.col("o_orderkey")
+    chain = F.when(k % 2 == 0, "c1").otherwise("c2")
+    one = _mirrored(spark, sf, "", chain, k % 3 == 0, (7919, 104729), True)
+    two = _mirrored(spark, sf, "2", chain, k % 5 < 2, (3571, 2311), False)
+    events = [("phi_x", "phi_y", "theta_x", "theta_y", "one"), ("phi_x2", "phi_y2", None, None, "two")]
+    return S.label_switch(cut_lineage(one.unionByName(two)), spark.createDataFrame(events, _SWITCH))
+
+
+_SIDES = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'c1' ELSE 'c2' END AS chain, o_orderkey AS gen, param, round(CASE param
+      WHEN 'phi_x' THEN 0.1 + 0.3 * ((o_orderkey * 7919) % 1000) / 1000 WHEN 'phi_y' THEN 0.2 + 0.2 * ((o_orderkey * 104729) % 1000) / 1000
+      WHEN 'theta_x' THEN 0.01 + 0.01 * ((o_orderkey * 31) % 1000) / 1000 WHEN 'theta_y' THEN 0.05 + 0.01 * ((o_orderkey * 57) % 1000) / 1000
+      WHEN 'phi_x2' THEN 0.1 + 0.3 * ((o_orderkey * 3571) % 1000) / 1000 ELSE 0.2 + 0.2 * ((o_orderkey * 2311) % 1000) / 1000 END, 9) AS value
+    FROM orders, (VALUES ('phi_x'), ('phi_y'), ('theta_x'), ('theta_y'), ('phi_x2'), ('phi_y2')) p(param)"""
+
+
+@query("label_switch", _SIDES)
+def label_switch(spark, sf):
+    return _switched(spark, sf)[0].select("chain", "gen", "param", r("value", 9))
+
+
 @query(
-    "label_switch",
-    """SELECT 'c1' AS chain, o_orderkey AS gen, param, round(CASE param WHEN 'phi_x' THEN 0.1 + 0.3 * ((o_orderkey * 7919) % 1000) / 1000
-      WHEN 'phi_y' THEN 0.2 + 0.2 * ((o_orderkey * 104729) % 1000) / 1000 WHEN 'theta_x' THEN 0.01 + 0.01 * ((o_orderkey * 31) % 1000) / 1000
-      ELSE 0.05 + 0.01 * ((o_orderkey * 57) % 1000) / 1000 END, 9) AS value
-    FROM orders, (VALUES ('phi_x'), ('phi_y'), ('theta_x'), ('theta_y')) p(param)""",
+    "label_switch_counts",
+    """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'c1' ELSE 'c2' END AS chain, event, count(*) FILTER (CASE event WHEN 'one' THEN o_orderkey % 3 = 0 ELSE o_orderkey % 5 < 2 END) AS n_reflected
+    FROM orders, (VALUES ('one'), ('two')) e(event) GROUP BY 1, 2""",
 )
-def label_switch(spark, sf):
-    """Every third sample is written mirrored; the operator must turn it back."""
-    k = F.col("o_orderkey")
-    part = lambda m: (k * m) % 1000 / 1000
-    px, py, tx, ty = 0.1 + 0.3 * part(7919), 0.2 + 0.2 * part(104729), 0.01 + 0.01 * part(31), 0.05 + 0.01 * part(57)
-    flip = k % 3 == 0
-    either = lambda plain, mirrored: F.when(flip, mirrored).otherwise(plain)
-    wide = A.table(spark, sf, "orders").select(
-        F.lit("c1").alias("chain"), k.alias("gen"), either(px, 1 - px).alias("phi_x"), either(py, 1 - py).alias("phi_y"),
-        either(tx, ty).alias("theta_x"), either(ty, tx).alias("theta_y"),
-    )
-    trace = wide.unpivot(["chain", "gen"], ["phi_x", "phi_y", "theta_x", "theta_y"], "param", "value")
-    fixed, _ = S.label_switch(trace, "phi_x", "phi_y", "theta_x", "theta_y")
-    return fixed.select("chain", "gen", "param", r("value", 9))
+def label_switch_counts(spark, sf):
+    return _switched(spark, sf)[1]
 
 
 # --- migration ---------------------------------------------------------------

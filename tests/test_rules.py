@@ -113,12 +113,45 @@ def test_conditional_mixture_missing_rows(spark):
         conditionals.conditional_to_marginal(half, "gamma").collect()
 
 
+def one_event(spark, *more):
+    events = [("e", "px", "py", "tx", "ty"), *more]
+    return spark.createDataFrame(events, "event string, phi_x string, phi_y string, theta_x string, theta_y string")
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_label_switch_by_chain_and_event(spark):
+    """Chains on different sides, a null chain, an event without thetas, and one of which a parameter is missing."""
+    rng = random.Random(4)
+    data, mirrored = [], {("a", "e"): 0, (None, "e"): 0, ("a", "f"): 0, (None, "f"): 0, ("a", "g"): 0}
+    for chain in ("a", None):
+        for g in range(120):
+            v = [rng.betavariate(20, 80), rng.betavariate(30, 50), rng.gammavariate(20, 1e-3), rng.gammavariate(50, 1e-3)]
+            w = [rng.betavariate(30, 60), rng.betavariate(10, 50)]
+            if g % 4 == 0:
+                v, mirrored[chain, "e"] = [1 - v[0], 1 - v[1], v[3], v[2]], mirrored[chain, "e"] + 1
+            if g % 7 == (0 if chain else 3):
+                w, mirrored[chain, "f"] = [1 - x for x in w], mirrored[chain, "f"] + 1
+            data += [(chain, g, n, x) for n, x in zip(("px", "py", "tx", "ty", "qx", "qy", "other"), [*v, *w, 0.9])]
+        data += [("a", g, "zx", 0.9) for g in range(3) if chain]
+    df = spark.createDataFrame(data, "chain string, gen long, param string, value double")
+    events = one_event(spark, ("f", "qx", "qy", None, "ty"), ("g", "zx", "zy", None, None))
+    fixed, n = label_switch.label_switch(df, events)
+    assert rows_of(n) == sorted(((c, e, k) for (c, e), k in mirrored.items()), key=repr)
+    most = {r.param: r.m for r in fixed.groupBy("param").agg(F.max("value").alias("m")).collect()}
+    assert fixed.count() == len(data) and most["px"] < 0.5 and most["qy"] < 0.5 and most["other"] == most["zx"] == 0.9
+    with pytest.raises(ValueError, match="two events"):
+        label_switch.label_switch(df, one_event(spark, ("f", "px", "qy", None, None)))
+
+
 @pytest.mark.parametrize("samples", [0, 1, 5])
 def test_label_switch_of_constant_columns(spark, samples):
     rows = [("c", g, p, v) for g in range(samples) for p, v in (("px", 0.2), ("py", 0.3), ("tx", 1.0), ("ty", 2.0))]
     df = spark.createDataFrame(rows, "chain string, gen long, param string, value double")
-    fixed, n = label_switch.label_switch(df, "px", "py", "tx", "ty")
-    assert n == 0 and sorted(map(tuple, fixed.collect())) == sorted(rows)
+    fixed, n = label_switch.label_switch(df, one_event(spark))
+    assert rows_of(n) == [("c", "e", 0)] * (samples > 0) and sorted(map(tuple, fixed.collect())) == sorted(rows)
 
 
 @pytest.mark.parametrize("method", ["cog0", "cogn", "beta_gamma"])
@@ -132,8 +165,8 @@ def test_label_switch_recovers_sides(spark, method):
             mirrored += 1
         data += [("c", g, n, x) for n, x in zip(("px", "py", "tx", "ty"), v)]
     df = spark.createDataFrame(data, "chain string, gen long, param string, value double")
-    fixed, n = label_switch.label_switch(df, "px", "py", "tx", "ty", method=method)
-    assert n == mirrored
+    fixed, n = label_switch.label_switch(df, one_event(spark), method=method)
+    assert rows_of(n) == [("c", "e", mirrored)]
     assert fixed.filter("param = 'px'").agg(F.max("value")).first()[0] < 0.5
 
 
