@@ -9,6 +9,10 @@ one row per character.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from lociframe.functions import states
 
 #: sites per chunk when alignments are turned from rows into columns
 CHUNK = 256
+#: sites whose patterns are compared by one task
+SITES_A_RUN = 1 << 17
 
 
 def site_columns(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -302,29 +308,48 @@ def mean_pairwise_distance(patterns: DataFrame) -> DataFrame:
     )
 
 
-def pairwise_differences(patterns: DataFrame) -> DataFrame:
+def _gram_tiles(codes: np.ndarray, weight: np.ndarray, tile: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, weighted differences) of the tiles at and below the diagonal, by products of one-hot
+    columns: a character's own product counts the pairs of sequences that share it."""
+    n = codes.shape[1]
+    characters = np.unique(codes)
+    for i in range(0, n, tile):
+        left = codes[:, i : i + tile]
+        for j in range(0, i + 1, tile):
+            right = codes[:, j : j + tile]
+            same = sum(((left == c) * weight[:, None]).T @ (right == c).astype(float) for c in characters)
+            yield i, j, np.rint(weight.sum() - same).astype(np.int64)
+
+
+def pairwise_differences(patterns: DataFrame, tile: int = 128) -> DataFrame:
     """(locus, j1, j2, diff, p) for every pair of sequences of a locus, j1 > j2.
 
-    The pairs are the result.  Invariant patterns add nothing to ``diff`` and
-    are folded into the length before any pair is written; the rest meet the
-    map-side aggregation directly.
+    The pairs are the result.  A run of patterns of a locus becomes weighted counts of differences between blocks of
+    ``tile`` sequences inside the task that reads it; the tiles of all runs are added, and only sums become pairs.
     """
-    n = F.length("column")
-    size = patterns.groupBy("locus").agg(F.max(n).alias("n_seq"), F.sum("weight").alias("length"))
-    pair_rows = size.select(
-        "locus",
-        "length",
-        F.explode(F.sequence(F.lit(1), F.col("n_seq") - 1)).alias("j1"),
-    ).select("locus", "length", "j1", F.explode(F.sequence(F.lit(0), F.col("j1") - 1)).alias("j2"))
-    variable = patterns.filter(~F.col("column").rlike(r"^(.)\1*$")).select("locus", "weight", F.split("column", "").alias("c"))
-    first = variable.select("locus", "weight", "c", F.posexplode("c").alias("j1", "x"))
-    second = first.select("locus", "weight", "j1", "x", F.posexplode(F.slice("c", F.lit(1), F.col("j1"))).alias("j2", "y"))
-    diffs = second.filter("x <> y").groupBy("locus", "j1", "j2").agg(F.sum("weight").alias("diff"))
-    return (
-        pair_rows.join(diffs, ["locus", "j1", "j2"], "left")
-        .na.fill(0, ["diff"])
-        .select("locus", "j1", "j2", "diff", (F.col("diff") / F.col("length")).alias("p"))
-    )
+    kind = patterns.schema["locus"].dataType.simpleString()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for locus, rows in batch.groupby("locus", sort=False):
+                codes = np.frombuffer("".join(rows["column"]).encode("utf-32-le"), np.uint32).reshape(len(rows), -1)
+                weight = rows["weight"].to_numpy(float)
+                for i, j, diff in _gram_tiles(codes, weight, tile):
+                    out.append((locus, i, j, diff.shape[1], int(weight.sum()), diff.ravel()))
+            yield pd.DataFrame(out, columns=["locus", "i", "j", "width", "length", "diff"])
+
+    schema = f"locus {kind}, i long, j long, width long, length long, diff array<bigint>"
+    # runs of a locus are made long, and a long locus is many runs: a pattern's id is the first site that shows it
+    runs = patterns.repartition("locus", F.floor(F.col("pattern_id") / SITES_A_RUN)).sortWithinPartitions("locus")
+    tiles = runs.select("locus", "column", "weight").mapInPandas(count, schema)
+    plus = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda x, y: F.zip_with(x, y, lambda m, n: m + n))
+    summed = tiles.groupBy("locus", "i", "j").agg(F.max("width").alias("width"), F.sum("length").alias("length"), F.collect_list("diff").alias("all"))
+    summed = summed.select("locus", "i", "j", "width", "length", plus.alias("diff"))
+    cells = summed.select("locus", "i", "j", "width", "length", F.posexplode("diff").alias("at", "diff"))
+    j1, j2 = F.col("i") + F.floor(F.col("at") / F.col("width")), F.col("j") + F.col("at") % F.col("width")
+    pairs = cells.select("locus", j1.cast("int").alias("j1"), j2.cast("int").alias("j2"), "diff", (F.col("diff") / F.col("length")).alias("p"))
+    return pairs.filter("j1 > j2")
 
 
 def root_divergence(patterns: DataFrame, sides: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -614,3 +614,19 @@ def test_tree_counts_survive_a_failure(spark, tmp_path):
         n = 2 * (part + 1)
         assert rows(topologies) == [("((A,B),C);", n), ("((A,C),B);", n)]
         assert rows(found) == [(["A", "B"], n), (["A", "C"], n)]
+
+
+@pytest.mark.parametrize("tile", [1, 2, 3, 128])
+def test_differences_of_tiles(spark, tile):
+    rng = random.Random(9)
+    data = [(locus, "".join(rng.choice("12489") for _ in range(n)), k, rng.randint(1, 5)) for locus, n in ((1, 7), (2, 2), (3, 1)) for k in range(25)]
+    data.append((4, "é1\U0001f600", 0, 2))
+    df = spark.createDataFrame(data, "locus long, column string, pattern_id long, weight long").repartition(5)
+    want = {}
+    for locus, column, _, weight in data:
+        for j1 in range(len(column)):
+            for j2 in range(j1):
+                old = want.get((locus, j1, j2), (0, 0))
+                want[locus, j1, j2] = old[0] + weight * (column[j1] != column[j2]), old[1] + weight
+    got = {(r.locus, r.j1, r.j2): (r.diff, r.p) for r in align.pairwise_differences(df, tile).collect()}
+    assert got == {k: (d, pytest.approx(d / n)) for k, (d, n) in want.items()}
