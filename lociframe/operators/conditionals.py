@@ -257,3 +257,15 @@ def conditional_to_marginal_product(
         "et_lo", "et_hi", "hpd_lo", "hpd_hi", *_efficiencies(c, F.col("tau")),
     )
     return names.join(out, keys, "left")
+
+
+def unmatched_iterations(cond_theta: DataFrame, cond_w: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(chain, param, gen, side): iterations of a product that have a conditional of one factor only.
+
+    ``side`` is the factor that is there, ``theta`` or ``w``.  ``conditional_to_marginal_product`` uses the others.
+    """
+    one = cond_theta.select("chain", "gen", F.col("param").alias("theta")).join(pairs, "theta").select("chain", "param", "gen").distinct()
+    two = cond_w.select("chain", "gen", F.col("param").alias("w")).join(pairs, "w").select("chain", "param", "gen").distinct()
+    both = one.withColumn("_t", F.lit(True)).join(two.withColumn("_w", F.lit(True)), ["chain", "param", "gen"], "full")
+    side = F.when(F.col("_t").isNull(), F.lit("w")).otherwise(F.lit("theta"))
+    return both.filter("_t is null or _w is null").select("chain", "param", "gen", side.alias("side"))

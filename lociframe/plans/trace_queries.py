@@ -398,18 +398,21 @@ def conditional_to_marginal_beta(spark, sf):
     return _marginal(C.conditional_to_marginal(_stored_conditionals(spark, sf), "beta"))
 
 
-_PRODUCT_SQL = f"""WITH {COND}, u AS (SELECT 'c1' AS chain, 'M:1->2' AS param, t.gen, t.a1 AS a, t.b1 AS b, w.a1 AS aw, w.b1 AS bw,
+#: products of a theta and a w; together they use every flag
+PRODUCTS = [("M:1->2", "A", "N"), ("M:3->2", "R", "N")]
+_PAIRS_SQL = "pr(param, theta, w) AS (VALUES " + ", ".join(map(repr, PRODUCTS)) + ")"
+_PRODUCT_SQL = f"""WITH {COND}, {_PAIRS_SQL}, u AS (SELECT 'c1' AS chain, pr.param, t.gen, t.a1 AS a, t.b1 AS b, w.a1 AS aw, w.b1 AS bw,
     t.a1 / t.b1 AS m1, t.a1 / (t.b1 * t.b1) AS v1, w.a1 / w.b1 AS m2, w.a1 / (w.b1 * w.b1) AS v2, m1 * m2 AS value
-    FROM cond t JOIN cond w ON t.gen = w.gen AND t.param = 'A' AND w.param = 'N'),
+    FROM pr JOIN cond t ON t.param = pr.theta JOIN cond w ON t.gen = w.gen AND w.param = pr.w),
   st AS (SELECT chain, param, count(*) AS n, avg(m1) AS mean1, avg(m2) AS mean2, avg(value) AS my, var_pop(m1) + avg(v1) AS var1,
     var_pop(m2) + avg(v2) AS var2, var_pop(value) / 16 AS vmy, (avg((v1 + m1 * m1) * (v2 + m2 * m2)) - avg(value) * avg(value)) / 16 AS vy FROM u GROUP BY 1, 2),
   g AS (SELECT *, greatest(mean1 / 2 - 4 * sqrt(var1 / 4), 0) AS lo1, (mean1 / 2 + 4 * sqrt(var1 / 4) - lo1) / 60 AS width1,
     greatest(mean2 / 2 - 4 * sqrt(var2 / 4), 0) AS lo2, (mean2 / 2 + 4 * sqrt(var2 / 4) - lo2) / 60 AS width2 FROM st),
-  d1 AS (SELECT gen, k, exp(a * (ln(2) + ln(b)) - lgamma(a) + (a - 1) * ln(lo1 + (k + 0.5) * width1) - 2 * b * (lo1 + (k + 0.5) * width1)) AS p FROM u, g, range(60) t(k)),
-  d2 AS (SELECT gen, l, exp(aw * (ln(2) + ln(bw)) - lgamma(aw) + (aw - 1) * ln(lo2 + (l + 0.5) * width2) - 2 * bw * (lo2 + (l + 0.5) * width2)) AS q FROM u, g, range(60) t(l)),
-  grid AS (SELECT k, l, sum(p * q) AS s FROM d1 JOIN d2 USING (gen) GROUP BY 1, 2),
-  cells AS (SELECT chain, param, row_number() OVER (ORDER BY (lo1 + (k + 0.5) * width1) * (lo2 + (l + 0.5) * width2), k, l) - 1 AS bin,
-    (lo1 + (k + 0.5) * width1) * (lo2 + (l + 0.5) * width2) AS y, s * width1 * width2 / n AS pdf FROM grid, g),
+  d1 AS (SELECT chain, param, gen, k, exp(a * (ln(2) + ln(b)) - lgamma(a) + (a - 1) * ln(lo1 + (k + 0.5) * width1) - 2 * b * (lo1 + (k + 0.5) * width1)) AS p FROM u JOIN g USING (chain, param), range(60) t(k)),
+  d2 AS (SELECT chain, param, gen, l, exp(aw * (ln(2) + ln(bw)) - lgamma(aw) + (aw - 1) * ln(lo2 + (l + 0.5) * width2) - 2 * bw * (lo2 + (l + 0.5) * width2)) AS q FROM u JOIN g USING (chain, param), range(60) t(l)),
+  grid AS (SELECT chain, param, k, l, sum(p * q) AS s FROM d1 JOIN d2 USING (chain, param, gen) GROUP BY 1, 2, 3, 4),
+  cells AS (SELECT chain, param, row_number() OVER (PARTITION BY chain, param ORDER BY (lo1 + (k + 0.5) * width1) * (lo2 + (l + 0.5) * width2), k, l) - 1 AS bin,
+    (lo1 + (k + 0.5) * width1) * (lo2 + (l + 0.5) * width2) AS y, s * width1 * width2 / n AS pdf FROM grid JOIN g USING (chain, param)),
   {_interval_sql('cells')}, {acf_sql('u', 'stddev_pop', lags=120)}, {tau_sql()}
   SELECT chain, param, round(my / 4, 6) AS mean, round(sqrt(vy), 6) AS sd, round(mean2, 6) AS w_mean, round(sqrt(var2), 6) AS w_sd,
     round(et_lo, 6) AS et_lo, round(et_hi, 6) AS et_hi, round(hpd_lo, 6) AS hpd_lo, round(hpd_hi, 6) AS hpd_hi, round(vy / vmy, 5) AS c,
@@ -417,12 +420,24 @@ _PRODUCT_SQL = f"""WITH {COND}, u AS (SELECT 'c1' AS chain, 'M:1->2' AS param, t
   FROM st JOIN lim USING (chain, param) JOIN tau USING (chain, param)"""
 
 
+def _products(spark, sf):
+    cond = _stored_conditionals(spark, sf)
+    return cond, cond, spark.createDataFrame(PRODUCTS, "param string, theta string, w string")
+
+
 @query("conditional_to_marginal_product", _PRODUCT_SQL)
 def conditional_to_marginal_product(spark, sf):
-    cond = _stored_conditionals(spark, sf)
-    theta, w = cond.filter("param = 'A'"), cond.filter("param = 'N'")
-    pairs = spark.createDataFrame([("M:1->2", "A", "N")], "param string, theta string, w string")
-    return _marginal(C.conditional_to_marginal_product(theta, w, pairs, "gamma"))
+    return _marginal(C.conditional_to_marginal_product(*_products(spark, sf), "gamma"))
+
+
+@query(
+    "unmatched_iterations",
+    f"""WITH {COND}, {_PAIRS_SQL}, t AS (SELECT pr.param, gen FROM cond c JOIN pr ON c.param = pr.theta), w AS (SELECT pr.param, gen FROM cond c JOIN pr ON c.param = pr.w)
+    SELECT 'c1' AS chain, param, gen, 'theta' AS side FROM (SELECT * FROM t EXCEPT SELECT * FROM w) UNION ALL
+    SELECT 'c1', param, gen, 'w' FROM (SELECT * FROM w EXCEPT SELECT * FROM t)""",
+)
+def unmatched_iterations(spark, sf):
+    return C.unmatched_iterations(*_products(spark, sf))
 
 
 _SWITCH = "phi_x string, phi_y string, theta_x string, theta_y string, event string"
