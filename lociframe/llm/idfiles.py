@@ -37,7 +37,7 @@ MAGIC = b"TOKENID1"
 _HEAD = struct.Struct("<8sBQQq")
 _CODE = struct.Struct("<BQQ")
 #: Characters of texts that are encoded at once.
-RUN = 1 << 23
+RUN = 12 << 20
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -306,7 +306,7 @@ class Pieces:
     JOINED = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}][ \\n]"
     LONGEST = 64
 
-    def __init__(self, file: str, most: int = 250_000) -> None:
+    def __init__(self, file: str, most: int = 350_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
