@@ -23,14 +23,24 @@ CHECK = 998_244_353
 #: Digests are numbers below 2**DIGEST_BITS.
 DIGEST_BITS = 60
 ROUNDS = 24
+#: A paragraph of more code points is cut after its sentences, and a sentence of more into pieces of so many.
+UNIT = 400
+#: A sentence with the marks and spaces that end it, or a piece of a longer one.
+PIECE = rf"[^.!?。！？]{{0,{UNIT}}}[.!?。！？]{{1,{UNIT}}} ?|[^.!?。！？]{{1,{UNIT}}}"
 #: Rows about of one block of neighbours, and pieces of the doc_id range.
 ROWS_A_BLOCK, PIECES = 2000, 64
 
 
 def paragraphs(text: Column) -> Column:
-    """Distinct 60-bit digests of a text's non-empty paragraphs (between line feeds), ascending."""
+    """Distinct 60-bit digests of a text's non-empty paragraphs (between line feeds), ascending.
+
+    A paragraph longer than UNIT counts as its pieces, so an edit of a text without line feeds changes only some of its
+    digests.
+    """
     digest = lambda p: F.conv(F.substring(F.md5(p.cast("binary")), 1, 15), 16, 10).cast("long")
-    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), digest)))
+    cut = lambda p: F.when(F.char_length(p) <= UNIT, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)))
+    units = F.flatten(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), cut))
+    return F.sort_array(F.array_distinct(F.transform(units, digest)))
 
 
 def _once(value: Column, use) -> Column:
@@ -186,7 +196,7 @@ def fingerprints(df: DataFrame) -> DataFrame:
 
     The edited text is the text whose last half (rounded down) is replaced by as much of the start of the next
     document in descending order of doc_id (after the last: the first, which for a single row is itself).
-    Likeness is that of the paragraph sets, from the digests that peeling lists.  Null texts are empty; an empty text has
+    Likeness is that of the sets of paragraphs (long ones: of their pieces), from the digests that peeling lists.  Null texts are empty; an empty text has
     an empty fingerprint, like another empty one (1.0).  A null doc_id comes last.  Equal texts have equal fingerprints; other columns are
     not read.
     """

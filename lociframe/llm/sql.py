@@ -74,7 +74,17 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (least(((start + each * k) >> 24) - ((start + each * (k - 1)) >> 24), 3) * size)::BIGINT AS taken FROM c"""
 
-FINGERPRINTS = r"""
+_PIECE = r"[^.!?。！？]{0,400}[.!?。！？]{1,400} ?|[^.!?。！？]{1,400}"
+
+
+def _digests(text: str) -> str:
+    """Digests of a text's paragraphs, those over 400 code points cut after sentences."""
+    units = f"""flatten(list_transform(list_filter(string_split({text}, chr(10)), lambda x: x <> ''),
+      lambda x: CASE WHEN length(x) <= 400 THEN [x] ELSE regexp_extract_all(x, '{_PIECE}') END))"""
+    return f"list_distinct(list_transform({units}, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT))"
+
+
+FINGERPRINTS = rf"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars,
     coalesce(lag(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next
@@ -82,16 +92,14 @@ WITH t AS (
 ), e AS (
   SELECT *, substr(text, 1, n_chars - n_chars // 2) || substr(next, 1, n_chars // 2) AS edited FROM t
 ), p AS (
-  SELECT *, list_distinct(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT)) AS a,
-    list_distinct(list_transform(list_filter(string_split(edited, chr(10)), lambda x: x <> ''), lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT)) AS b,
-    list_distinct(list_transform(list_filter(string_split(next, chr(10)), lambda x: x <> ''), lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT)) AS c
+  SELECT *, {_digests("text")} AS a, {_digests("edited")} AS b, {_digests("next")} AS c
   FROM e
 ), i AS (SELECT doc_id, 'a' AS side, unnest(a) AS x FROM p UNION ALL SELECT doc_id, 'b', unnest(b) FROM p),
 cell AS (
   SELECT doc_id, side, third * 4 + (x % (1000003 + third * 10)) % 4 AS cell, count(*) AS c, bit_xor(x) AS i, bit_xor(x % 998244353) AS k
   FROM i, range(3) r(third) GROUP BY ALL
 ), f AS (
-  SELECT p.doc_id, s.side, string_agg(coalesce(cell.c, 0) || ':' || format('{:X}', coalesce(cell.i, 0)) || ':' || format('{:X}', coalesce(cell.k, 0)), ' ' ORDER BY n) AS f
+  SELECT p.doc_id, s.side, string_agg(coalesce(cell.c, 0) || ':' || format('{{:X}}', coalesce(cell.i, 0)) || ':' || format('{{:X}}', coalesce(cell.k, 0)), ' ' ORDER BY n) AS f
   FROM p CROSS JOIN (VALUES ('a'), ('b')) s(side) CROSS JOIN range(12) r(n) LEFT JOIN cell ON cell.doc_id = p.doc_id AND cell.side = s.side AND cell.cell = n
   GROUP BY p.doc_id, s.side
 )
