@@ -21,6 +21,8 @@ from .common import stored
 
 #: Rows of a leaf that meet its queries in one block.
 BLOCK = 4096
+#: Rows and queries about, copies counted, of one group of blocks.
+GROUP_ROWS = 50_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -106,11 +108,15 @@ def calibrate(tree: Tree, sample: np.ndarray, recall: float, k: int, queries: in
 
 
 def usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(vec_id, vec) of the rows that take part, vec as doubles, one row for each id."""
+    """(vec_id, key, vec) of the rows that take part, vec as doubles: one row for each id and vector, ``key`` telling
+    apart the rows that share an id.  Vectors shorter than the longest are filled up with zeros."""
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & finite & F.exists("vec", lambda x: x != 0.0))
-    return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    shortest, longest = rows.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if shortest != longest:
+        rows = rows.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("vec"))))
+    return rows.select("vec_id", F.xxhash64("vec_id", "vec").alias("key"), "vec").dropDuplicates(["vec_id", "vec"])
 
 
 def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
@@ -119,20 +125,21 @@ def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _best(query: np.ndarray, query_id: np.ndarray, rows: np.ndarray, row_id: np.ndarray, k: int) -> Iterator[tuple]:
+def _best(query: np.ndarray, asking: pd.DataFrame, rows: np.ndarray, row_id: np.ndarray, row_key: np.ndarray, k: int) -> Iterator[tuple]:
     """The ``k`` nearest rows of each query, scored in double precision; all ties at the end take part."""
+    query_id, query_key = asking["query_id"].to_numpy(), asking["query_key"].to_numpy()
     unit_rows = unit(rows)
     row_length = np.sqrt((rows * rows).sum(axis=1))
     for at in range(0, len(query), 512):
         part = query[at : at + 512]
         rough = unit(part) @ unit_rows.T
-        rough[query_id[at : at + 512, None] == row_id[None, :]] = -np.inf
+        rough[query_key[at : at + 512, None] == row_key[None, :]] = -np.inf
         last = np.partition(rough, max(0, len(rows) - k), axis=1)[:, max(0, len(rows) - k)]
         for i in range(len(part)):
             near = np.flatnonzero((rough[i] >= last[i] - 1e-9) & (rough[i] > -np.inf))
             score = (rows[near] * part[i]).sum(axis=1) / (row_length[near] * np.sqrt((part[i] * part[i]).sum()))
-            for j in np.lexsort((row_id[near], -score))[:k]:
-                yield int(query_id[at + i]), int(row_id[near[j]]), float(score[j])
+            for j in np.lexsort((row_key[near], row_id[near], -score))[:k]:
+                yield int(query_id[at + i]), int(query_key[at + i]), int(row_id[near[j]]), int(row_key[near[j]]), float(score[j])
 
 
 def search(
@@ -143,19 +150,19 @@ def search(
     vec_id) its ``k`` nearest other rows by cosine, ties to the smaller vec_id.
 
     ``sample_rows`` bounds the rows that the tree is fitted and calibrated on (about so many, by the hash of the id);
-    all rows are indexed.  Rows whose vector is null, empty, zero or has null or non-finite components take no part,
-    nor do vectors of another length than most.  Of rows that repeat an id one counts.  A leaf with many rows or many queries, equal vectors
-    for example, is searched in blocks.  With no other row a query has no result.  Other columns are not read.
+    all rows are indexed.  Rows whose vector is null, empty, zero or has null or non-finite components take no part.
+    Rows that share an id and differ in the vector are rows of their own, which find each other; repeats of both are
+    one row.  Vectors shorter than the longest are compared as if they ended in zeros.  A leaf with many rows or many
+    queries, equal vectors for example, is searched in blocks.  With no other row a query has no result.  Other
+    columns are not read.
     """
     spark = df.sparkSession
     rows = usable(df, id_col, vector)
-    lengths = rows.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    none = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
-        return spark.createDataFrame([], none)
-    rows = stored(rows.where(F.size("vec") == lengths[0]["size"]), "vectors")
+    rows = stored(rows, "vectors")
     total = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(total)) < sample_rows).select("vec").toPandas()
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    drawn = rows.where(F.pmod(F.col("key"), F.lit(total)) < sample_rows).select("vec").toPandas()
     if drawn.empty:
         drawn = rows.limit(1).select("vec").toPandas()
     sample = unit(_matrix(drawn["vec"]))
@@ -166,45 +173,49 @@ def search(
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = shared.value.assign(unit(_matrix(batch.column("vec"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], ["vec_id", "vec", "leaf"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], ["vec_id", "key", "vec", "leaf"])
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaves = [shared.value.visits(q, visits) for q in unit(_matrix(batch.column("vec")))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "vec", "leaves"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "query_key", "vec", "leaves"])
 
-    indexed = rows.select("vec_id", "vec").mapInArrow(index, "vec_id long, vec array<double>, leaf long")
-    queries = rows.where(is_query).select("vec_id", "vec").mapInArrow(plan, "query_id long, vec array<double>, leaves array<bigint>")
-    queries = stored(queries.select("query_id", "vec", F.explode("leaves").alias("leaf")), "queries")
+    indexed = rows.select("vec_id", "key", "vec").mapInArrow(index, "vec_id long, key long, vec array<double>, leaf long")
+    queries = rows.where(is_query).select("vec_id", "key", "vec").mapInArrow(
+        plan, "query_id long, query_key long, vec array<double>, leaves array<bigint>"
+    )
+    queries = stored(queries.select("query_id", "query_key", "vec", F.explode("leaves").alias("leaf")), "queries")
     indexed = stored(indexed, "leaves")
-    in_leaf = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("row_blocks"))
-    asked = queries.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("query_blocks"))
+    in_leaf = indexed.groupBy("leaf").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).alias("row_blocks"))
+    asked = queries.groupBy("leaf").agg(F.count("*").alias("queries"), F.ceil(F.count("*") / BLOCK).alias("query_blocks"))
     blocks = stored(in_leaf.join(asked, "leaf"), "blocks")
     count = F.lit(0).cast("long")
     each = lambda n: F.explode(F.sequence(count, F.col(n) - 1))
     cell = F.xxhash64("leaf", "row_block", "query_block").alias("cell")
     left = (
-        indexed.join(blocks, "leaf").withColumn("row_block", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")))
-        .withColumn("query_block", each("query_blocks")).select(cell, "vec_id", "vec")
+        indexed.join(blocks, "leaf").withColumn("row_block", F.pmod("key", "row_blocks"))
+        .withColumn("query_block", each("query_blocks")).select(cell, "vec_id", "key", "vec")
     )
     right = (
-        queries.join(blocks, "leaf").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")))
-        .withColumn("row_block", each("row_blocks")).select(cell, "query_id", "vec")
+        queries.join(blocks, "leaf").withColumn("query_block", F.pmod("query_key", "query_blocks"))
+        .withColumn("row_block", each("row_blocks")).select(cell, "query_id", "query_key", "vec")
     )
-    parts = F.lit(max(8, total // 10_000))
+    # a group's size follows from the copies that it holds, not from the rows of the table
+    copies = blocks.agg(F.sum(F.col("rows") * F.col("query_blocks") + F.col("queries") * F.col("row_blocks"))).first()[0]
+    parts = F.lit(max(8, (copies or 0) // GROUP_ROWS))
 
     def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found, by_cell = [], dict(tuple(rows.groupby("cell")))
         for cell, q in asked.groupby("cell"):
             if cell in by_cell:
                 r = by_cell[cell]
-                found += _best(_matrix(q["vec"]), q["query_id"].to_numpy(), _matrix(r["vec"]), r["vec_id"].to_numpy(), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                found += _best(_matrix(q["vec"]), q, _matrix(r["vec"]), r["vec_id"].to_numpy(), r["key"].to_numpy(), k)
+        return pd.DataFrame(found, columns=["query_id", "query_key", "vec_id", "key", "score"])
 
     def grouped(side: DataFrame):
         return side.withColumn("part", F.pmod("cell", parts)).groupBy("part")
 
-    met = grouped(left).cogroup(grouped(right)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = grouped(left).cogroup(grouped(right)).applyInPandas(meet, "query_id long, query_key long, vec_id long, key long, score double")
+    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", "key")
     ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -319,9 +319,54 @@ def test_fingerprints_of_a_thousand_and_more_paragraphs(spark):
     assert [x.near_next for x in rows] == [pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))] * 2
 
 
+def units(text):
+    """The paragraphs of a text, long ones cut after sentences and every 400 characters, by a scan."""
+    out = set()
+    for p in text.split("\n"):
+        if len(p) <= 400:
+            out |= {p} - {""}
+            continue
+        at = 0
+        while at < len(p):
+            end = at
+            while end < len(p) and end - at < 400 and p[end] not in ".!?。！？":
+                end += 1
+            marks = end
+            while marks < len(p) and marks - end < 400 and p[marks] in ".!?。！？":
+                marks += 1
+            if marks > end and marks < len(p) and p[marks] == " ":
+                marks += 1
+            out.add(p[at:marks])
+            at = marks
+    return out
+
+
+def test_fingerprints_of_texts_without_line_feeds(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    sentence = lambda: " ".join(word() for _ in range(r.randrange(3, 12))) + r.choice([". ", "! ", "?", "... ", "。"])
+    texts = ["".join(sentence() for _ in range(60)), " ".join(word() for _ in range(900)), "x" * 400, "x" * 401, "." * 2000, "\U0001f600" * 900 + "! a"]
+    rows = sketches.fingerprints(frame(spark, texts)).orderBy("doc_id").collect()
+    for i, row in enumerate(rows):
+        n, nxt = len(texts[i]), texts[i - 1]
+        a, e, x = units(texts[i]), units(texts[i][: n - n // 2] + nxt[: n // 2]), units(nxt)
+        assert row.near_edited == pytest.approx(len(a & e) / len(a | e))
+        assert row.near_next == pytest.approx(len(a & x) / len(a | x))
+    # the half that stays is found again, with sentence ends and without them
+    assert rows[0].near_edited > 0.2 and rows[1].near_edited > 0
+
+
 # nearest neighbours
 
 
+def test_neighbours_of_rows_that_share_an_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.1]), (50, [1.0, 0.1]), (7, [0.0, 1.0]), (9, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id) for r in ann.search(df, F.col("vec_id") == 50).orderBy("rank", "vec_id", "score").collect()]
+    # [1, 0] finds [2] (cosine 1), then its namesake; [1, 0.1] finds [1, 0] and [2] at one distance: the smaller id first
+    assert got == [(1, 9), (1, 9), (2, 50), (2, 50), (3, 7), (3, 7)]
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(4)
     vectors = r.normal(size=(600, 16))
@@ -339,6 +384,9 @@ def test_neighbours(spark):
         best = np.lexsort((np.arange(600), -near))[:5]
         hits += len({i for i, _ in got[q]} & set(best.tolist()))
         assert all(s == pytest.approx(unit[q] @ unit[i]) for i, s in got[q])
+    # a vector of another length takes part, as if it ended in zeros
+    first = unit @ np.eye(16)[0]
+    assert got.pop(1200)[0][1] == pytest.approx(first.max())
     assert hits >= 0.9 * 60 and set(got) == set(range(0, 600, 50))
     assert [i for i, _ in got[100]] == [101, 102, 103, 104, 105]
 
