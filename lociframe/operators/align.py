@@ -254,6 +254,31 @@ def alignment_summary(patterns: DataFrame, models: DataFrame, equal_models: tupl
     return joined.select("locus", "model", "n_sequences", "n_sites", "n_ambiguous", "n_patterns", *pis)
 
 
+def protein_summary(patterns: DataFrame, models: DataFrame, fixed: DataFrame) -> DataFrame:
+    """One row per protein locus: model, sequences, sites, ambiguous sites, patterns, 20 state frequencies.
+
+    ``models(locus, model)``; ``fixed(model_id, freqs)`` holds the models that bring their own frequencies, as
+    ``read_protein_models`` gives them.  A locus of any other model has the observed shares, an ambiguous code counting
+    for each of its states.  Characters are counted inside each pattern.
+    """
+    states_in = lambda i: "".join(c for c, m in states.AMINO_ACID_MASKS.items() if m >> i & 1 and c not in "*-?")
+    hits = lambda i: F.length("column") - F.length(F.translate("column", states_in(i), ""))
+    ambiguous = F.col("column").rlike("[BZX]")
+    sums = patterns.groupBy("locus").agg(
+        F.max(F.length("column")).cast("long").alias("n_sequences"),
+        F.sum("weight").alias("n_sites"),
+        F.coalesce(F.sum(F.when(ambiguous, F.col("weight"))), F.lit(0)).alias("n_ambiguous"),
+        F.count(F.lit(1)).alias("n_patterns"),
+        F.array(*[F.sum(hits(i) * F.col("weight")) for i in range(20)]).alias("_n"),
+    )
+    whole = F.aggregate("_n", F.lit(0).cast("long"), lambda s, x: s + x)
+    observed = sums.withColumn("_all", whole).withColumn("_seen", F.transform("_n", lambda x: x / F.col("_all")))
+    own = fixed.select(F.col("model_id").alias("model"), F.col("freqs").alias("_own"))
+    joined = observed.join(models.select("locus", "model"), "locus").join(own, "model", "left")
+    columns = ["locus", "model", "n_sequences", "n_sites", "n_ambiguous", "n_patterns"]
+    return joined.select(*columns, F.coalesce("_own", "_seen").alias("freqs"))
+
+
 def population_seqcount(with_species: DataFrame, species: DataFrame, loci: DataFrame) -> DataFrame:
     """Sequences per locus and species, zero-filled.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,9 @@ from lociframe.functions import states
 
 #: patterns of one locus that share one copy of the locus's trees
 PATTERN_BLOCK = 4096
+#: models that are sent to every task, and matrices of one stacked product
+REGISTRY_MODELS, MATRIX_ROWS = 1000, 1024
+_FACTORS = ("lam", "left", "right")
 
 
 def _matrix(entries: list[list[Column]]) -> Column:
@@ -128,84 +132,116 @@ def _eigen_system(rates: np.ndarray, freqs: np.ndarray) -> tuple[np.ndarray, np.
     return values, vectors / root[:, None], vectors.T * root
 
 
+def _general_matrices(t: np.ndarray, system: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[np.ndarray]:
+    """The flat matrices of one model for many branch lengths, by stacked products of bounded size."""
+    lam, left, right = system
+    n = len(lam)
+    for at in range(0, len(t), MATRIX_ROWS):
+        part = t[at : at + MATRIX_ROWS]
+        p = np.eye(n) + (left * np.expm1(np.outer(part, lam))[:, None, :]) @ right
+        p[part < 1e-100] = np.eye(n)
+        yield np.maximum(p, 0.0).reshape(len(part), -1)
+
+
 def transition_probs_general(branches: DataFrame, models: DataFrame) -> DataFrame:
     """Add ``p`` by eigen-decomposition: GTR and the protein models.
 
     ``models(model_id, rates, freqs)``: the upper triangle of exchange rates and
-    the state frequencies (4 or 20).  One decomposition per distinct model row;
-    matrices are products of its factors in Arrow batches.
+    the state frequencies (4 or 20).  Up to REGISTRY_MODELS models are
+    decomposed once and sent to the tasks; more, such as a model for each
+    locus, are decomposed and joined.  Either way the branches of a model in an
+    Arrow batch are stacked products.
     """
+    few = models.select("model_id", "rates", "freqs").limit(REGISTRY_MODELS + 1).collect()
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in branches.schema]) + ", p array<double>"
+
+    def fill(pdf: pd.DataFrame, system) -> pd.DataFrame:
+        mats = np.empty(len(pdf), object)
+        t = pdf["t"].to_numpy(float)
+        for model, at in pdf.groupby("model_id", sort=False).indices.items():
+            rows = (row for part in _general_matrices(t[at], system(model, at[0])) for row in part)
+            for i, row in zip(at, rows):
+                mats[i] = row
+        return pdf.assign(p=mats)
+
+    if len(few) <= REGISTRY_MODELS:
+        registry = {m["model_id"]: _eigen_system(np.asarray(m["rates"]), np.asarray(m["freqs"])) for m in few}
+        shared = branches.sparkSession.sparkContext.broadcast(registry)
+
+        def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield fill(pdf, lambda model, _: shared.value[model])
+
+        return branches.filter(F.col("model_id").isin(list(registry))).mapInPandas(multiply, schema)
 
     def decompose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             systems = [_eigen_system(np.asarray(r), np.asarray(f)) for r, f in zip(pdf["rates"], pdf["freqs"])]
-            yield pd.DataFrame(
-                {
-                    "model_id": pdf["model_id"],
-                    "lam": [s[0] for s in systems],
-                    "left": [s[1].ravel() for s in systems],
-                    "right": [s[2].ravel() for s in systems],
-                }
-            )
+            parts = {name: [s[k].ravel() for s in systems] for k, name in enumerate(_FACTORS)}
+            yield pd.DataFrame({"model_id": pdf["model_id"], **parts})
 
     systems = models.select("model_id", "rates", "freqs").mapInPandas(
-        decompose, "model_id string, lam array<double>, left array<double>, right array<double>"
+        decompose, "model_id string, " + ", ".join(f"{name} array<double>" for name in _FACTORS)
     )
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def multiply_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            mats = []
-            for t, lam, left, right in zip(pdf["t"], pdf["lam"], pdf["left"], pdf["right"]):
-                n = len(lam)
-                p = np.eye(n)
-                if t >= 1e-100:
-                    p += (left.reshape(n, n) * np.expm1(lam * t)) @ right.reshape(n, n)
-                mats.append(np.maximum(p, 0.0).ravel())
-            yield pdf.drop(columns=["lam", "left", "right"]).assign(p=mats)
-
-    joined = branches.join(systems, "model_id")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("lam", "left", "right").schema])
-    return joined.mapInPandas(multiply, schema + ", p array<double>")
-
-
-def _gamma_p(a: float, x: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma, by series or continued fraction."""
-    from math import exp, lgamma, log
-
-    out = np.empty_like(x, dtype=float)
-    for i, v in enumerate(x):
-        if v <= 0:
-            out[i] = 0.0
-            continue
-        front = exp(a * log(v) - v - lgamma(a))
-        if v < a + 1:
-            term = total = 1.0 / a
-            n = a
-            while abs(term) > abs(total) * 1e-16:
-                n += 1
-                term *= v / n
-                total += term
-            out[i] = total * front
-        else:
-            b = v + 1 - a
-            c, d = 1e300, 1 / b
-            h = d
-            for k in range(1, 1000):
-                an = -k * (k - a)
-                b += 2
-                d = 1 / (an * d + b)
-                c = b + an / c
-                step = c * d
-                h *= step
-                if abs(step - 1) < 1e-16:
-                    break
-            out[i] = 1 - front * h
+            lam, left, right = (pdf[name].to_numpy() for name in _FACTORS)
+            square = lambda x, i: x[i].reshape(len(lam[i]), -1)
+            yield fill(pdf.drop(columns=list(_FACTORS)), lambda _, i: (lam[i], square(left, i), square(right, i)))
+
+    joined = branches.join(systems, "model_id").select(*branches.columns, *_FACTORS)
+    return joined.mapInPandas(multiply_joined, schema)
+
+
+def _gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma of many (a, x) at once.
+
+    Below a + 1 the power series, summed until no term changes its sum; above,
+    one minus the continued fraction, evaluated forwards.  Finished entries
+    leave the loop.
+    """
+    a, x = (np.ravel(v).astype(float) for v in np.broadcast_arrays(a, x))
+    out = np.zeros(len(x))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(a * np.log(x) - x - _lgamma(a))
+    at = np.flatnonzero((x > 0) & (x < a + 1))
+    term = 1 / a[at]
+    total, step = term.copy(), 0
+    while len(at):
+        step += 1
+        term = term * x[at] / (a[at] + step)
+        total = total + term
+        out[at] = total * front[at]
+        more = term > total * 1e-16
+        at, term, total = at[more], term[more], total[more]
+    at = np.flatnonzero(x >= a + 1)
+    # numerators and denominators of successive convergents, rescaled to stay finite
+    b = x[at] + 1 - a[at]
+    h0, h1, k0, k1 = np.zeros(len(at)), np.ones(len(at)), np.ones(len(at)), b.copy()
+    last, step = h1 / k1, 0
+    out[at] = 1 - front[at] * last
+    while len(at) and step < 1000:
+        step += 1
+        b = b + 2
+        c = step * (a[at] - step)
+        h0, h1, k0, k1 = h1, b * h1 + c * h0, k1, b * k1 + c * k0
+        size = np.abs(k1)
+        h0, h1, k0, k1 = h0 / size, h1 / size, k0 / size, k1 / size
+        now = h1 / k1
+        out[at] = 1 - front[at] * now
+        more = np.abs(now - last) > 1e-16 * np.abs(now)
+        at, b, last = at[more], b[more], now[more]
+        h0, h1, k0, k1 = h0[more], h1[more], k0[more], k1[more]
     return out
 
 
-def _gamma_quantiles(probs: np.ndarray, a: float) -> np.ndarray:
-    """Quantiles of Gamma(a, rate 1) by bisection on the log scale."""
-    lo, hi = np.full(len(probs), 1e-300), np.full(len(probs), max(10.0, 20 * a + 100))
+_lgamma = np.vectorize(lgamma, otypes=[float])
+
+
+def _gamma_quantiles(probs: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Quantiles of Gamma(a, rate 1) by bisection on the log scale, all at once."""
+    lo, hi = np.full(len(probs), 1e-300), np.maximum(10.0, 20 * a + 100)
     for _ in range(200):
         mid = np.sqrt(lo * hi)
         below = _gamma_p(a, mid) < probs
@@ -215,13 +251,15 @@ def _gamma_quantiles(probs: np.ndarray, a: float) -> np.ndarray:
     return np.sqrt(lo * hi)
 
 
-def gamma_rates(alpha: float, k: int) -> np.ndarray:
-    """Mean rate of each of k equally likely slices of Gamma(alpha, alpha)."""
-    if k == 1:
-        return np.ones(1)
-    cuts = _gamma_quantiles(np.arange(1, k) / k, alpha)
-    below = np.concatenate([[0.0], _gamma_p(alpha + 1, cuts), [1.0]])
-    return np.diff(below) * k
+def gamma_rates(alpha: float | np.ndarray, k: int) -> np.ndarray:
+    """Mean rate of each of k equally likely slices of Gamma(alpha, alpha); a row for each of many alphas."""
+    shapes = np.atleast_1d(np.asarray(alpha, float))
+    each = np.repeat(shapes, k - 1)
+    cuts = _gamma_quantiles(np.tile(np.arange(1, k) / k, len(shapes)), each)
+    inner = _gamma_p(each + 1, cuts).reshape(len(shapes), k - 1)
+    edges = np.hstack([np.zeros((len(shapes), 1)), inner, np.ones((len(shapes), 1))])
+    rates = np.diff(edges, axis=1) * k
+    return rates if np.ndim(alpha) else rates[0]
 
 
 def gamma_categories(alphas: DataFrame, k: int) -> DataFrame:
@@ -229,8 +267,9 @@ def gamma_categories(alphas: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for alpha in pdf["alpha"]:
-                yield pd.DataFrame({"alpha": alpha, "cat": np.arange(k), "rate": gamma_rates(alpha, k)})
+            alpha = pdf["alpha"].to_numpy(float)
+            rates = gamma_rates(alpha, k)
+            yield pd.DataFrame({"alpha": np.repeat(alpha, k), "cat": np.tile(np.arange(k), len(alpha)), "rate": rates.ravel()})
 
     return alphas.select(F.col("alpha").cast("double")).distinct().mapInPandas(run, "alpha double, cat int, rate double")
 

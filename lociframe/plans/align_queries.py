@@ -216,6 +216,39 @@ def alignment_summary(spark, sf):
     return out.select("locus", "model", "n_sequences", "n_sites", "n_ambiguous", "n_patterns", *[r(f"pi_{b}") for b in "acgt"])
 
 
+_AMINO = "ARNDCQEGHILKMFPSTWYV"
+_UNIONS = {"N": "B", "D": "B", "Q": "Z", "E": "Z"}
+_AA_COUNTS = ", ".join(
+    f"sum(weight * (length(col) - length(translate(col, '{c}X{_UNIONS.get(c, '')}', '')))) AS n{i}" for i, c in enumerate(_AMINO)
+)
+_AA_ALL = " + ".join(f"n{i}" for i in range(20))
+_AA_PIS = ", ".join(f"round(CASE WHEN locus % 2 = 0 THEN 0.05 ELSE n{i} / CAST({_AA_ALL} AS DOUBLE) END, 6) AS pi_{c.lower()}" for i, c in enumerate(_AMINO))
+
+
+@query(
+    "protein_summary",
+    f"""WITH t AS (SELECT doc_id AS locus, translate(upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')), 'JOUX-', 'XXXXX') AS s FROM documents),
+    q AS (SELECT *, CAST(ceil(length(s) / 4.0) AS INTEGER) AS n FROM t),
+    p AS (SELECT locus, n, rpad(s, 4 * n, 'X') AS s FROM q),
+    c AS (SELECT locus, s, n, CAST(unnest(range(n)) AS INTEGER) AS i FROM (
+      SELECT locus, n, [string_split(substr(s, 1, n), ''), string_split(substr(s, n + 1, n), ''), string_split(substr(s, 2 * n + 1, n), ''),
+        string_split(substr(s, 3 * n + 1, n), '')] AS s FROM p)),
+    pats AS (SELECT locus, s[1][i + 1] || s[2][i + 1] || s[3][i + 1] || s[4][i + 1] AS col, count(*) AS weight FROM c GROUP BY 1, 2),
+    f AS (SELECT locus, CAST(4 AS BIGINT) AS n_sequences, CAST(sum(weight) AS BIGINT) AS n_sites,
+      CAST(coalesce(sum(weight) FILTER (regexp_matches(col, '[BZX]')), 0) AS BIGINT) AS n_ambiguous, count(*) AS n_patterns, {_AA_COUNTS} FROM pats GROUP BY 1)
+    SELECT locus, CASE WHEN locus % 2 = 0 THEN 'equal' ELSE 'observed' END AS model, n_sequences, n_sites, n_ambiguous, n_patterns, {_AA_PIS} FROM f""",
+)
+def protein_summary(spark, sf):
+    """Loci of a model with its own frequencies and loci with observed ones."""
+    coded = L.compress_patterns(L.site_columns(A.proteins(spark, sf)), "AA")
+    model = F.when(F.col("doc_id") % 2 == 0, "equal").otherwise("observed").alias("model")
+    models = A.table(spark, sf, "documents").select(F.col("doc_id").alias("locus"), model).distinct()
+    fixed = spark.createDataFrame([("equal", [0.05] * 20)], "model_id string, freqs array<double>")
+    out = L.protein_summary(coded, models, fixed)
+    pis = [r(F.col("freqs")[i]).alias(f"pi_{c.lower()}") for i, c in enumerate(_AMINO)]
+    return out.select("locus", "model", "n_sequences", "n_sites", "n_ambiguous", "n_patterns", *pis)
+
+
 @query(
     "population_seqcount",
     f"""WITH {SEQS}, {IMAP}, kept AS (SELECT * FROM seqs WHERE NOT regexp_full_match(sequence, '[-?NXnx]*')),

@@ -67,6 +67,17 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One protein locus per document: the quarters of the text are four sequences; what is no amino acid is a gap."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "-")).alias("text"))
+    quarter = F.ceil(F.length("text") / SEQUENCES).cast("int")
+    rows = docs.select(
+        F.col("doc_id").alias("locus"), quarter.alias("n"),
+        F.rpad(F.translate("text", "JOUX", "----"), quarter * SEQUENCES, "-").alias("text"), F.explode(F.array(*map(F.lit, range(SEQUENCES)))).alias("seq_idx"),
+    )
+    return rows.select("locus", "seq_idx", F.substring("text", F.col("seq_idx") * F.col("n") + 1, F.col("n")).alias("sequence"))
+
+
 def imap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Individuals are source.sequence; sequences 0,1 are species A, 2 is B, 3 is C."""
     sources = table(spark, sf_dir, "documents").select("source").distinct()

@@ -389,3 +389,25 @@ def read_beta_weights(spark: SparkSession, path: Paths) -> DataFrame:
     return lines.select(
         (F.col("line_no") - 1).alias("beta_idx"), f[0].cast("double").alias("beta"), f[1].cast("double").alias("weight")
     )
+
+
+def read_protein_models(spark: SparkSession, paths: Paths) -> DataFrame:
+    """(model_id, rates, freqs) from files of published protein models, one model a file.
+
+    A file starts with the lower triangle of 190 exchange rates, row by row, and 20 frequencies, in the order of
+    ``states.AMINO_ACID_ORDER``; what follows is comment.  ``rates`` is the upper triangle row by row, as
+    ``transition_probs_general`` takes it, and ``freqs`` adds up to 1.  The model is named after its file, without the
+    ending.  A file with fewer numbers, or with others than numbers before them, fails the job.
+    """
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    numbers = F.transform(F.slice(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), 1, 210), lambda x: x.try_cast("double"))
+    bad = F.raise_error(F.concat(F.lit("not 190 rates and 20 frequencies: "), F.col("file"))).cast("array<double>")
+    good = (F.size("x") == 210) & F.forall("x", lambda x: x.isNotNull() & (x >= 0)) & F.exists(F.slice("x", 191, 20), lambda x: x > 0)
+    rows = files.withColumn("x", numbers).withColumn("x", F.when(good, F.col("x")).otherwise(bad))
+    upper = F.array(*[F.lit(j * (j - 1) // 2 + i) for i in range(20) for j in range(i + 1, 20)])
+    total = F.aggregate(F.slice("x", 191, 20), F.lit(0.0), lambda s, x: s + x)
+    return rows.withColumn("_total", total).select(
+        F.regexp_replace("file", r"\.[^.]*$", "").alias("model_id"),
+        F.transform(upper, lambda i: F.get("x", i)).alias("rates"),
+        F.transform(F.slice("x", 191, 20), lambda x: x / F.col("_total")).alias("freqs"),
+    )

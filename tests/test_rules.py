@@ -630,3 +630,49 @@ def test_differences_of_tiles(spark, tile):
                 want[locus, j1, j2] = old[0] + weight * (column[j1] != column[j2]), old[1] + weight
     got = {(r.locus, r.j1, r.j2): (r.diff, r.p) for r in align.pairwise_differences(df, tile).collect()}
     assert got == {k: (d, pytest.approx(d / n)) for k, (d, n) in want.items()}
+
+
+def test_gamma_rates_of_many_shapes_at_once():
+    shapes = np.array([0.02, 0.3, 1.0, 2.5, 40.0])
+    together = likelihood.gamma_rates(shapes, 5)
+    assert together.shape == (5, 5) and np.allclose(together.mean(axis=1), 1)
+    for alpha, rates in zip(shapes, together):
+        assert rates == pytest.approx(likelihood.gamma_rates(float(alpha), 5), rel=1e-12)
+    # P(2, x) = 1 - (1 + x) exp(-x), on both sides of the change of method
+    x = np.array([0.0, 1e-9, 0.5, 2.9, 3.1, 30.0])
+    assert likelihood._gamma_p(np.full(6, 2.0), x) == pytest.approx(1 - (1 + x) * np.exp(-x), abs=1e-14)
+    assert likelihood.gamma_rates(0.7, 1).tolist() == [1.0]
+
+
+@pytest.mark.parametrize("registry", [1000, 1])
+def test_protein_models_from_files(spark, tmp_path, monkeypatch, registry):
+    """The published layout: a lower triangle and frequencies; many models are joined, few are sent to the tasks."""
+    monkeypatch.setattr(likelihood, "REGISTRY_MODELS", registry)
+    rng = np.random.default_rng(6)
+    lower = {name: np.tril(rng.random((20, 20)), -1) for name in ("one", "two")}
+    pi = {name: rng.dirichlet(np.ones(20)) for name in lower}
+    for name, triangle in lower.items():
+        lines = [" ".join(f"{x:.12f}" for x in triangle[i, :i]) for i in range(1, 20)]
+        (tmp_path / f"{name}.dat").write_text("\n".join(lines) + "\n\n" + " ".join(f"{x:.12f}" for x in pi[name]) + "\n\nA R N D are the states\n")
+    models = text.read_protein_models(spark, str(tmp_path))
+    br = spark.createDataFrame([("one", 0.3, 1), ("two", 0.0, 2), ("two", 1.7, 3), ("one", 2.5, 4)], "model_id string, t double, n int")
+    for row in likelihood.transition_probs_general(br, models).collect():
+        q = (lower[row.model_id] + lower[row.model_id].T) * pi[row.model_id]
+        q -= np.diag(q.sum(axis=1))
+        q /= -(pi[row.model_id] * np.diag(q)).sum()
+        expected = np.linalg.matrix_power(np.eye(20) + q * row.t / 2**24, 2**24)
+        assert np.allclose(np.array(row.p).reshape(20, 20), expected, atol=1e-5)
+    (tmp_path / "short.dat").write_text("1 2 3\n")
+    with pytest.raises(Exception, match="not 190 rates"):
+        text.read_protein_models(spark, str(tmp_path)).collect()
+
+
+def test_protein_summary(spark):
+    pats = spark.createDataFrame([(1, "AR", 0, 2), (1, "AB", 1, 1), (2, "XX", 0, 1)], "locus long, column string, pattern_id long, weight long")
+    models = spark.createDataFrame([(1, "free"), (2, "m")], "locus long, model string")
+    fixed = spark.createDataFrame([("m", [0.05] * 20)], "model_id string, freqs array<double>")
+    one, two = align.protein_summary(pats, models, fixed).orderBy("locus").collect()
+    assert one[:6] == (1, "free", 2, 3, 1, 2) and two[:6] == (2, "m", 2, 1, 1, 1)
+    # three A, two R, one B that is N or D
+    assert one.freqs[:4] == pytest.approx([3 / 7, 2 / 7, 1 / 7, 1 / 7]) and sum(one.freqs) == pytest.approx(1)
+    assert two.freqs == [0.05] * 20
