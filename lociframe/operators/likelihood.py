@@ -20,6 +20,8 @@ from lociframe.functions import states
 
 #: patterns of one locus that share one copy of the locus's trees
 PATTERN_BLOCK = 4096
+#: sampled trees about of one locus that one task evaluates on a block of patterns
+TREE_BLOCK = 256
 #: models that are sent to every task, and matrices of one stacked product
 REGISTRY_MODELS, MATRIX_ROWS = 1000, 1024
 _FACTORS = ("lam", "left", "right")
@@ -396,10 +398,15 @@ def conditional_likelihoods(gene_nodes: DataFrame, patterns: DataFrame, pmats: D
     # pruning costs far more than its bytes suggest: keep all cores busy
     spark = patterns.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    cut = patterns.withColumn("_block", block).repartition(width, "locus", "_block")
-    blocks = cut.select("locus", "_block").distinct()
+    # a locus with many sampled trees is cut by trees too: each of its pattern blocks meets them in several tasks
+    sampled = gene_nodes.filter("parent_id IS NULL").groupBy("locus").agg(F.ceil(F.count(F.lit(1)) / TREE_BLOCK).cast("int").alias("_parts"))
+    cut = patterns.withColumn("_block", block).join(sampled, "locus")
+    cut = cut.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    cut = cut.repartition(width, "locus", "_block", "_part")
+    blocks = patterns.select("locus", block.alias("_block")).distinct().join(sampled, "locus")
+    trees = trees.join(blocks, "locus").withColumn("_part", F.pmod(F.xxhash64("gen"), F.col("_parts")).cast("int")).drop("_parts")
     # a merge join keeps that partitioning; broadcasting either side would not
-    rows = cut.join(trees.join(blocks, "locus").hint("merge"), ["locus", "_block"])
+    rows = cut.join(trees.hint("merge"), ["locus", "_block", "_part"])
 
     def tip(node):
         mask = states.code_mask(F.substring(F.col("column"), node["seq_idx"] + 1, F.lit(1)), dtype)

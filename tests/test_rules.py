@@ -676,3 +676,20 @@ def test_protein_summary(spark):
     # three A, two R, one B that is N or D
     assert one.freqs[:4] == pytest.approx([3 / 7, 2 / 7, 1 / 7, 1 / 7]) and sum(one.freqs) == pytest.approx(1)
     assert two.freqs == [0.05] * 20
+
+
+def test_many_sampled_trees_of_one_locus(spark, monkeypatch):
+    """The trees of a locus are dealt to several tasks; each still meets every pattern block once."""
+    trees = [(g, 1, n, p, t * (1 + g / 10), s) for g in range(12) for n, p, t, s in ((0, 2, 0.0, 0), (1, 2, 0.0, 1), (2, None, 0.1, None))]
+    nodes = spark.createDataFrame(trees, "gen int, locus long, node_id int, parent_id int, time double, seq_idx int")
+    br = coalescent.branches(nodes).select("gen", "locus", "node_id", (F.col("parent_time") - F.col("time")).alias("t"), F.lit("JC69").alias("model"))
+    pm = likelihood.transition_probs(br).select("gen", "locus", "node_id", F.lit(0).alias("cat"), "p")
+    pats = spark.createDataFrame([(1, "11", 0, 3), (1, "12", 1, 2), (1, "ff", 2, 1)], "locus long, column string, pattern_id long, weight long")
+    freqs = spark.createDataFrame([(1, [0.25] * 4)], "locus long, pi array<double>")
+    monkeypatch.setattr(likelihood, "PATTERN_BLOCK", 2)
+    monkeypatch.setattr(likelihood, "TREE_BLOCK", 4)
+    root = likelihood.conditional_likelihoods(nodes, pats, pm)
+    assert root.count() == 36
+    for row in likelihood.locus_log_likelihood(root, freqs).collect():
+        e = math.exp(-4 / 3 * 0.2 * (1 + row.gen / 10))
+        assert row.logl == pytest.approx(3 * math.log(0.25 * (0.25 + 0.75 * e)) + 2 * math.log(0.25 * (0.25 - 0.25 * e)))
