@@ -225,6 +225,17 @@ def test_consensus_of_random_trees(spark):
         assert rows(conflicts) == clash
 
 
+def test_conflicts_of_every_clade(spark):
+    """Rare clades count as well as those in half of the trees."""
+    rng = random.Random(6)
+    for names, count in (("ABCDEF", 5), ("ABCDEFGH", 7)):
+        df = spark.createDataFrame([("c", i, random_newick(rng, names)) for i in range(count)], "chain string, gen long, newick string")
+        post = trees.clade_posterior(trees.clade_counts(df), df).cache()
+        sets = [(frozenset(r.clade), ",".join(r.clade)) for r in post.collect()]
+        clash = sorted((a, b, len(s & t)) for s, a in sets for t, b in sets if a < b and s & t and not (s <= t or t <= s))
+        assert clash and rows(trees.clade_conflicts(post)) == clash
+
+
 def test_one_row_a_tree_and_node_tables_agree(spark):
     rng = random.Random(8)
     names = ["é", "b b", "C", "a1", "Z", "_", "ab", "a"]
