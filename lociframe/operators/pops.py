@@ -84,7 +84,7 @@ def gene_leaves(seqcount: DataFrame, closure: DataFrame) -> DataFrame:
     ``seqcount(locus, node_id, n)`` holds the sequences sampled in a population;
     ``closure`` belongs to one species tree.
     """
-    up = closure.select("node_id", "anc_id")
+    up = F.broadcast(closure.select("node_id", "anc_id"))
     return seqcount.join(up, "node_id").groupBy("locus", F.col("anc_id").alias("node_id")).agg(F.sum("n").alias("n_leaves"))
 
 
@@ -102,7 +102,7 @@ def lineages_entering(
     inner population.
     """
     gens = waiting.select("gen", "locus").distinct()
-    strict = closure.filter("dist > 0").select("node_id", "anc_id")
+    strict = F.broadcast(closure.filter("dist > 0").select("node_id", "anc_id"))  # of one species tree
     at_tips = gens.join(seqcount, "locus").select("gen", "locus", "node_id", "n")
     changes = at_tips.unionByName(waiting.select("gen", "locus", "node_id", (-F.col("coal_count")).alias("n")))
     if migcounts is not None:

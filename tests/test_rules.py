@@ -704,3 +704,40 @@ def test_many_sampled_trees_of_one_locus(spark, monkeypatch):
     for row in likelihood.locus_log_likelihood(root, freqs).collect():
         e = math.exp(-4 / 3 * 0.2 * (1 + row.gen / 10))
         assert row.logl == pytest.approx(3 * math.log(0.25 * (0.25 + 0.75 * e)) + 2 * math.log(0.25 * (0.25 - 0.25 * e)))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_populations_deal_no_rows(spark):
+    """A species tree's rates and sizes reach the rows as they lie: no shuffle by population, which would be a task a population."""
+    life = [("A", 0.0, 0.05), ("R", 0.0, 0.05), ("S", 0.05, None)]
+    lifetimes = spark.createDataFrame(life, "node_id string, tau double, parent_tau double")
+    ltt = spark.createDataFrame([(1, 0, "A", 0.0, 0.02, 3, "COAL"), (1, 0, "R", 0.01, 0.07, 2, "TAU")], "gen long, locus long, pop_id string, t0 double, t1 double, n long, kind string")
+    pops = spark.createDataFrame([("A", 0.01), ("R", 0.02)], "pop_id string, theta double")
+    spec = spark.createDataFrame([("R", "A", 0.5, 2.0, 4.0), ("A", "R", 0.7, 2.0, 4.0)], "source string, target string, rate double, alpha double, beta double")
+    counts = spark.createDataFrame([(1, 0, "R", "A", 2)], "gen long, locus long, source string, target string, n long")
+    exposure = coalescent.migration_exposure(ltt, lifetimes, spec)
+    assert rows(exposure.select("source", "target", F.round("w_time", 9))) == [("A", "R", 0.08), ("R", "A", 0.06)]
+    density = coalescent.msc_migration_log_density(ltt, pops, spec.select("source", "target", "rate"), counts, lifetimes)
+    conditional = coalescent.migration_conditional(counts, exposure, spec)
+    assert rows(conditional.select("source", "a1", F.round("b1", 9))) == [("A", 2.0, 4.08), ("R", 4.0, 4.06)]
+    assert density.count() == 2
+    by_pop = coalescent.msc_log_density(coalescent.coalescent_waiting(ltt), pops)
+    for df, key, joins in ((exposure, "pop_id", 1), (by_pop, "pop_id", 1), (density, "pop_id", 2), (density, "source", 1), (conditional, "source", 1)):
+        assert plan(df).count(f"BroadcastHashJoin [{key}#") >= joins
+
+
+def test_nodes_deal_no_rates(spark):
+    sample = spark.createDataFrame([("c", 1, "W:1->2", 3.0), ("c", 1, "theta:4", 2.0)], "chain string, gen long, param string, value double")
+    out = trace.w_to_m(sample, spark.createDataFrame([("2", "4")], "node string, linked_to string"))
+    assert rows(out) == [("c", 1, "M:1->2", 1.5)] and "hashpartitioning(node#" not in plan(out)
+
+
+def test_factors_deal_no_iterations(spark):
+    schema = "chain string, gen long, param string"
+    theta, w = (spark.createDataFrame([("c", g, p) for g in gens], schema) for p, gens in (("t", (1, 2)), ("w", (2, 3))))
+    out = conditionals.unmatched_iterations(theta, w, spark.createDataFrame([("M", "t", "w")], "param string, theta string, w string"))
+    assert rows(out) == [("c", "M", 1, "theta"), ("c", "M", 3, "w")]
+    assert "hashpartitioning(theta#" not in plan(out) and "hashpartitioning(w#" not in plan(out)
