@@ -304,7 +304,7 @@ def w_to_m(trace: DataFrame, pops: DataFrame) -> DataFrame:
     for the target the value is NULL.
     """
     rates = trace.filter("param like 'W:%'").withColumn("node", F.regexp_extract("param", r"^W:[^:]*?->([^:]+)", 1))
-    masters = pops.select("node", F.coalesce("linked_to", "node").alias("master"))
+    masters = F.broadcast(pops.select("node", F.coalesce("linked_to", "node").alias("master")))  # one species tree
     thetas = trace.filter("param like 'theta:%'").select(
         "chain", "gen", F.regexp_extract("param", r"^theta:([^:]+)", 1).alias("master"), F.col("value").alias("theta")
     )
