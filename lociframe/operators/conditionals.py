@@ -43,14 +43,16 @@ def _log_constant(dist: str, a: Column, b: Column) -> Column:
     return a * F.log(b) - M.lgamma(a)
 
 
-def _density(dist: str, const, a, b, y):
-    """Density of each sample (rows) at each grid point (columns)."""
-    const, a, b = const[:, None], a[:, None], b[:, None]
+def _density(dist, const, a, b, y):
+    """Density of each sample (rows) at each grid point (columns); the exponents of all are one product of matrices."""
     if dist == "gamma":
-        return np.exp(const + (a - 1) * np.log(y) - b * y)
-    if dist == "invgamma":
-        return np.exp(const - (a + 1) * np.log(y) - b / y)
-    return np.exp(const + (a - 1) * np.log(y) + (b - 1) * np.log(1 - y))
+        powers, one, two = a - 1, np.log(y), -y
+    elif dist == "invgamma":
+        powers, one, two = -(a + 1), np.log(y), -1 / y
+    else:
+        powers, one, two, b = a - 1, np.log(y), np.log(1 - y), b - 1
+    exponents = np.column_stack([const, powers, b]) @ np.vstack([np.ones_like(y), one, two])
+    return np.exp(exponents, out=exponents)
 
 
 def _centres(lo: float, width: float, bins: int) -> np.ndarray:
@@ -201,6 +203,7 @@ def conditional_to_marginal_product(
     w = checked_conditionals(cond_w, "gamma").select(
         "chain", "gen", F.col("param").alias("w"), F.col("a1").alias("aw"), F.col("b1").alias("bw")
     )
+    pairs = F.broadcast(pairs)  # the products of one analysis
     both = w.join(pairs, "w").join(theta, ["chain", "gen", "theta"])
     m1, v1 = _mean_var(dist, F.col("a"), F.col("b"))
     m2, v2 = _mean_var("gamma", F.col("aw"), F.col("bw"))
@@ -264,6 +267,7 @@ def unmatched_iterations(cond_theta: DataFrame, cond_w: DataFrame, pairs: DataFr
 
     ``side`` is the factor that is there, ``theta`` or ``w``.  ``conditional_to_marginal_product`` uses the others.
     """
+    pairs = F.broadcast(pairs)  # the products of one analysis
     one = cond_theta.select("chain", "gen", F.col("param").alias("theta")).join(pairs, "theta").select("chain", "param", "gen").distinct()
     two = cond_w.select("chain", "gen", F.col("param").alias("w")).join(pairs, "w").select("chain", "param", "gen").distinct()
     both = one.withColumn("_t", F.lit(True)).join(two.withColumn("_w", F.lit(True)), ["chain", "param", "gen"], "full")
