@@ -8,6 +8,9 @@ through one task.
 
 from __future__ import annotations
 
+import re
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +50,34 @@ def _numbered_lines(spark: SparkSession, paths: Paths, **counters: Column) -> Da
     return numbered.withColumn("line_no", F.col("line_no") - 1).drop("_start", "_id")
 
 
+_LABEL = re.compile(r"\s*([^ \t]+)", re.ASCII)
+_NO_CHARACTER = re.compile(r"[^A-Za-z0-9?.\-]|[jo]")
+
+
+def _records(body: list[str], n: int, length: int, interleaved: bool) -> list[tuple[str, str]]:
+    """The label and sequence of each record of a locus; every line is looked at once."""
+    labels: list[str] = []
+    pieces: list[list[str]] = []
+    shortest: list[tuple[int, int]] = []  # heap of (characters, record); a sequential locus has its last record only
+    for line in body:
+        # records of an interleaved locus are equally long within a block, so the first of the shortest is next
+        full = not shortest or shortest[0][0] >= length
+        if len(labels) < n and (interleaved or full):
+            found = _LABEL.match(line)
+            labels.append(found[1])
+            at, size, line = len(pieces), 0, line[found.end() :]
+            pieces.append([])
+            if not interleaved:
+                shortest.clear()
+        elif full:
+            break
+        else:
+            size, at = heappop(shortest)
+        pieces[at].append(_NO_CHARACTER.sub("", line))
+        heappush(shortest, (size + len(pieces[at][-1]), at))
+    return [*zip(labels, map("".join, pieces))]
+
+
 def read_alignments(spark: SparkSession, paths: Paths, max_loci: int | None = None, interleaved: bool = False) -> DataFrame:
     """(file, locus, seq_idx, label, sequence) from sequential or interleaved files.
 
@@ -74,31 +105,8 @@ def read_alignments(spark: SparkSession, paths: Paths, max_loci: int | None = No
         shape(1).alias("n_seq"), shape(2).alias("length"), F.transform(body, lambda x: x["line"]).alias("body")
     )
     n, length = F.col("n_seq"), F.col("length")
-    label = lambda text: F.regexp_extract(text, r"^\s*([^ \t]+)", 1)
-    clean = lambda text: F.regexp_replace(text, r"[^A-Za-z0-9?.\-]|[jo]", "")
-    rest = lambda text: F.regexp_replace(text, r"^\s*[^ \t]+", "")
     record = "array<struct<label:string,sequence:string>>"
-    opened = lambda acc, line: F.concat(acc, F.array(F.struct(label(line).alias("label"), clean(rest(line)).alias("sequence"))))
-
-    def append(acc, at, line):
-        return F.transform(
-            acc,
-            lambda r, i: F.struct(
-                r["label"].alias("label"),
-                F.when(i == at, F.concat(r["sequence"], clean(line))).otherwise(r["sequence"]).alias("sequence"),
-            ),
-        )
-
-    def add_line(acc, line):
-        full = F.coalesce(F.length(F.get(acc, F.size(acc) - 1)["sequence"]) >= length, F.lit(True))
-        if interleaved:
-            # sequences are equally long within a block, so the shortest is next
-            sizes = F.transform(acc, lambda r: F.length(r["sequence"]))
-            at = F.array_position(sizes, F.array_min(sizes)) - 1
-            return F.when(F.size(acc) < n, opened(acc, line)).when(F.array_min(sizes) < length, append(acc, at, line)).otherwise(acc)
-        return F.when(~full, append(acc, F.size(acc) - 1, line)).when(F.size(acc) < n, opened(acc, line)).otherwise(acc)
-
-    parsed = loci.withColumn("parsed", F.aggregate("body", F.array().cast(record), add_line))
+    parsed = loci.withColumn("parsed", F.udf(_records, record, useArrow=False)("body", n, length, F.lit(interleaved)))
     wrong = F.raise_error(F.concat(F.lit("too few sequences in locus "), F.col("locus").cast("string"))).cast(record)
     rows = parsed.withColumn("parsed", F.when(F.size("parsed") == n, F.col("parsed")).otherwise(wrong)).select(
         "file", "locus", "length", F.posexplode("parsed").alias("seq_idx", "r")

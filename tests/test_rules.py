@@ -741,3 +741,11 @@ def test_factors_deal_no_iterations(spark):
     out = conditionals.unmatched_iterations(theta, w, spark.createDataFrame([("M", "t", "w")], "param string, theta string, w string"))
     assert rows(out) == [("c", "M", 1, "theta"), ("c", "M", 3, "w")]
     assert "hashpartitioning(theta#" not in plan(out) and "hashpartitioning(w#" not in plan(out)
+
+
+def test_records_of_a_long_locus_are_folded_line_by_line():
+    lines = [x for name in "ab" for x in (f" {name}^x\tAC j-", *["GT" * 30] * 20_000)]
+    assert text._records([*lines, "text after the locus"], 2, 1_200_003, False) == [(f"{name}^x", "AC-" + "GT" * 600_000) for name in "ab"]
+    turns = ["a AC", "b GT", *["AAAA", "CCCC"] * 20_000, "more"]
+    assert text._records(turns, 2, 80_002, True) == [("a", "AC" + "A" * 80_000), ("b", "GT" + "C" * 80_000)]
+    assert text._records(["a AC"], 0, 4, True) == text._records([], 2, 4, False) == []
