@@ -54,11 +54,14 @@ def encode_text(sequence: Column, dtype: str = "DNA") -> Column:
     """
     bad = illegal_characters(sequence, dtype)
     if dtype == "DNA":
-        letters = "".join(NUCLEOTIDE_MASKS)
-        coded = F.translate(F.upper(sequence), letters, "".join(_HEX[NUCLEOTIDE_MASKS[c]] for c in letters))
+        letters, digits = "".join(NUCLEOTIDE_MASKS), "0123456789"
+        # digits of the input are no codes: they are made illegal before the codes are looked at
+        coded = F.translate(F.upper(sequence), letters + digits, "".join(_HEX[NUCLEOTIDE_MASKS[c]] for c in letters) + "!" * len(digits))
+        legal = f"^[{_HEX}]*$"
     else:
         coded = F.translate(F.upper(sequence), "*-?", "XXX")
-    return F.when(bad == "", coded).otherwise(
+        legal = f"^[{AMINO_ACID_ORDER}BZX]*$"
+    return F.when(coded.rlike(legal), coded).when(bad == "", coded).otherwise(
         F.raise_error(F.concat(F.lit("illegal sequence characters: "), bad))
     )
 

@@ -10,11 +10,13 @@ one row per character.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lociframe.functions import states
 
@@ -24,22 +26,21 @@ CHUNK = 256
 SITES_A_RUN = 1 << 17
 
 
+def _transposed(pieces: list[str]) -> str:
+    """The columns of a chunk, one a line; a sequence that ends earlier is left out after its end."""
+    equal = len({*map(len, pieces)}) == 1
+    return "\n".join(map("".join, zip(*pieces) if equal else zip_longest(*pieces, fillvalue="")))
+
+
 def site_columns(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(locus, site, column) with 0-based sites."""
     pieces = sequences.select(
         "locus", "seq_idx", F.posexplode(F.expr(f"regexp_extract_all(sequence, '.{{1,{chunk}}}', 0)")).alias("chunk", "piece")
     )
-    rows = (
-        pieces.groupBy("locus", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("seq_idx", "piece"))).alias("rows"))
-        .select("locus", "chunk", F.transform("rows", lambda r: F.split(r["piece"], "")).alias("rows"))
-    )
-    width = F.array_max(F.transform("rows", lambda r: F.size(r)))
-    columns = F.transform(
-        F.sequence(F.lit(0), width - 1),
-        lambda i: F.array_join(F.transform("rows", lambda r: F.get(r, i)), ""),
-    )
-    return rows.select("locus", "chunk", F.posexplode(columns).alias("i", "column")).select(
+    rows = pieces.groupBy("locus", "chunk").agg(F.sort_array(F.collect_list(F.struct("seq_idx", "piece"))).alias("rows"))
+    # no piece holds a line feed; batches of Arrow would be by rows, and a row holds a chunk of every sequence
+    lines = F.udf(_transposed, StringType(), useArrow=False)(F.transform("rows", lambda r: r["piece"]))
+    return rows.select("locus", "chunk", F.posexplode(F.split(lines, "\n")).alias("i", "column")).select(
         "locus", (F.col("chunk").cast("long") * chunk + F.col("i")).alias("site"), "column"
     )
 
@@ -259,17 +260,23 @@ def protein_summary(patterns: DataFrame, models: DataFrame, fixed: DataFrame) ->
 
     ``models(locus, model)``; ``fixed(model_id, freqs)`` holds the models that bring their own frequencies, as
     ``read_protein_models`` gives them.  A locus of any other model has the observed shares, an ambiguous code counting
-    for each of its states.  Characters are counted inside each pattern.
+    for each of its states.  Characters are counted by locus first, then given to their states.
     """
     states_in = lambda i: "".join(c for c, m in states.AMINO_ACID_MASKS.items() if m >> i & 1 and c not in "*-?")
-    hits = lambda i: F.length("column") - F.length(F.translate("column", states_in(i), ""))
     ambiguous = F.col("column").rlike("[BZX]")
-    sums = patterns.groupBy("locus").agg(
-        F.max(F.length("column")).cast("long").alias("n_sequences"),
-        F.sum("weight").alias("n_sites"),
-        F.coalesce(F.sum(F.when(ambiguous, F.col("weight"))), F.lit(0)).alias("n_ambiguous"),
-        F.count(F.lit(1)).alias("n_patterns"),
-        F.array(*[F.sum(hits(i) * F.col("weight")) for i in range(20)]).alias("_n"),
+    once = lambda value: F.when(F.col("at") == 0, value)  # a pattern's first character stands for the pattern
+    letters = patterns.select("locus", "column", "weight", F.posexplode(F.split("column", "")).alias("at", "c"))
+    each = letters.groupBy("locus", "c").agg(
+        F.max(once(F.length("column"))).cast("long").alias("n_sequences"),
+        F.sum(once(F.col("weight"))).alias("n_sites"),
+        F.coalesce(F.sum(once(F.when(ambiguous, F.col("weight")))), F.lit(0)).alias("n_ambiguous"),
+        F.count(once(F.lit(1))).alias("n_patterns"),
+        F.sum("weight").alias("w"),
+    )
+    sums = each.groupBy("locus").agg(
+        F.max("n_sequences").alias("n_sequences"),
+        *[F.sum(n).alias(n) for n in ("n_sites", "n_ambiguous", "n_patterns")],
+        F.array(*[F.sum(F.when(F.col("c").isin(*states_in(i)), F.col("w")).otherwise(0)) for i in range(20)]).alias("_n"),
     )
     whole = F.aggregate("_n", F.lit(0).cast("long"), lambda s, x: s + x)
     observed = sums.withColumn("_all", whole).withColumn("_seen", F.transform("_n", lambda x: x / F.col("_all")))

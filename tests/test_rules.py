@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lociframe.functions import blocks
 from lociframe.functions import mathfns as M
 from lociframe.operators import align, coalescent, conditionals, delimit, label_switch, likelihood, phase, pops, trace, trees
-from lociframe.sources import sinks, text
+from lociframe.sources import adapters, sinks, text
 from lociframe.streaming import monitor
 
 
@@ -749,3 +750,47 @@ def test_records_of_a_long_locus_are_folded_line_by_line():
     turns = ["a AC", "b GT", *["AAAA", "CCCC"] * 20_000, "more"]
     assert text._records(turns, 2, 80_002, True) == [("a", "AC" + "A" * 80_000), ("b", "GT" + "C" * 80_000)]
     assert text._records(["a AC"], 0, 4, True) == text._records([], 2, 4, False) == []
+
+
+def test_columns_of_uneven_and_other_characters(spark):
+    df = spark.createDataFrame([(7, 1, "AC𝔾T"), (7, 0, "ééN"), (7, 2, ""), (8, 0, "A" * 600), (9, 0, None)], "locus long, seq_idx int, sequence string")
+    got = rows(align.site_columns(df.filter("locus <> 8")))
+    assert got == [(7, 0, "éA"), (7, 1, "éC"), (7, 2, "N𝔾"), (7, 3, "T")]
+    plan = align.site_columns(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(sequence(" not in plan  # not a lambda for every site
+    (one,) = align.compress_patterns(align.site_columns(df.filter("locus = 8"))).collect()
+    assert (one.column, one.pattern_id, one.weight) == ("1", 0, 600)
+
+
+@pytest.mark.parametrize("bad", ["A1", "E", "é"])
+def test_codes_are_no_characters_of_an_alignment(spark, bad):
+    with pytest.raises(Exception, match="illegal sequence characters"):
+        align.compress_patterns(spark.createDataFrame([(1, 0, bad)], "locus long, site long, column string")).collect()
+
+
+def test_expansion_reads_its_patterns_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(column):
+        read.add(1)
+        return column
+
+    pats = spark.createDataFrame([(1, 0, "5", 1), (2, 0, "1", 2)], "locus long, pattern_id long, column string, weight long")
+    pats = pats.withColumn("column", F.udf(count)("column"))
+    dips = spark.createDataFrame([(1, 0), (2, 0)], "locus long, seq_idx int")
+    out = phase.diploid_expand(pats, dips, spark.createDataFrame([], "locus long, pattern_id long, seq_idx long")).columns
+    assert rows(out.select("locus", "resolution_idx", "column")) == [(1, 0, "14"), (1, 1, "41"), (2, 0, "11")]
+    assert read.value == 2
+
+
+def test_sequences_follow_the_regular_expressions(spark, tmp_path):
+    texts = [None, "", "a", "no été 𝔾𝔾 - qQzZ~\n ÿĀ then EeAaTt", "x" * 9]
+    docs = [(i, "s", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(x.locus, x.seq_idx): x.sequence for x in adapters.sequences(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        for k, (pattern, groups) in enumerate(adapters.DEALS):
+            padded = None if t is None else t + "~" * (-len(t) % 4)
+            kept = padded and re.sub(pattern, lambda m: "".join(x or "" for x in m.groups()), padded)
+            coded = kept and re.sub("[^ACGTYN-]", "N", kept.translate(str.maketrans(adapters.LETTERS, adapters.BASES)))
+            assert got[i, k] == coded, (i, k)
