@@ -142,7 +142,7 @@ def diploid_expand(
     output, see ``_resolutions``.  A locus that would have over ``most_columns`` columns, which no storage holds, is not
     expanded in part: its sites stand in ``counts`` with ``fits`` false, and only there.
     """
-    rows = _open_hets(patterns, diploid, fixed)
+    rows = _open_hets(cut_lineage(patterns), diploid, fixed)  # patterns are read for the sizes and for the columns
     n_columns = F.pow(F.lit(2.0), F.col("h"))  # exact as a double up to h = 1023
     size = rows.groupBy("locus").agg(F.sum(n_columns).alias("_size"), F.max("h").alias("_most"))
     size = cut_lineage(size.withColumn("fits", F.col("_size") <= float(most_columns)))
