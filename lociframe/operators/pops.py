@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,25 +27,14 @@ def ancestor_closure(pops: DataFrame, keys: list[str]) -> DataFrame:
     return climbed.select(*keys, "node_id", F.get("_ids", F.col("_anc")).alias("anc_id"), "dist")
 
 
-def sample_rows(pops: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per species tree: (keys, _ids, _up, _tau, _mirror, _event), arrays over its populations by node_id.
-
-    ``_up`` is the index of the parent, ``_mirror`` that of the second population above the same hybridization
-    (``mirror_id``) and ``_event`` its number, both null in a tree.
-    """
-    mirror = F.col("mirror_id") if "mirror_id" in pops.columns else F.lit(None)
-    kind = pops.schema["node_id"].dataType
-    event = F.col("event") if "event" in pops.columns else F.lit(None)
-    node = F.struct(
-        "node_id", F.col("parent_id").cast(kind).alias("parent_id"), F.col("tau").cast("double").alias("tau"),
-        mirror.cast(kind).alias("mirror_id"), event.cast("int").alias("event"),
-    )
-    rows = pops.groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("_pops"))
-    index = lambda name: let(F.col("_pops.node_id"), lambda ids: F.transform(f"_pops.{name}", lambda x: bisect(ids, x)))
-    return rows.select(
-        *keys, F.col("_pops.node_id").alias("_ids"), index("parent_id").alias("_up"), F.col("_pops.tau").alias("_tau"),
-        index("mirror_id").alias("_mirror"), F.col("_pops.event").alias("_event"),
-    )
+def place(own: np.ndarray, wanted: np.ndarray, last: bool = True) -> np.ndarray:
+    """Index of each wanted number among ``own``, the last (or first) of equal ones; -1 if it is absent."""
+    if not len(own):
+        return np.full(len(wanted), -1)
+    order = np.argsort(own, kind="stable")
+    at = np.searchsorted(own[order], wanted, "right") - 1 if last else np.searchsorted(own[order], wanted, "left")
+    at = order[np.clip(at, 0, len(own) - 1)]
+    return np.where(own[at] == wanted, at, -1)
 
 
 def linked_theta_master(pops: DataFrame, keys: list[str]) -> DataFrame:
