@@ -46,8 +46,9 @@ def site_columns(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def sites_long(sequences: DataFrame) -> DataFrame:
-    """(locus, seq_idx, site, base), for users who want one row per character."""
-    return sequences.select("locus", "seq_idx", F.posexplode(F.split("sequence", "")).alias("site", "base"))
+    """(locus, seq_idx, site, base), for users who want one row per character; an empty sequence has none."""
+    bases = F.when(F.col("sequence") != "", F.split("sequence", ""))  # split gives an empty text one empty character
+    return sequences.select("locus", "seq_idx", F.posexplode(bases).alias("site", "base"))
 
 
 def encode_states(sites: DataFrame, dtype: str = "DNA") -> DataFrame:

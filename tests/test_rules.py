@@ -822,6 +822,13 @@ def test_columns_of_uneven_and_other_characters(spark):
     assert (one.column, one.pattern_id, one.weight) == ("1", 0, 600)
 
 
+def test_an_empty_sequence_has_no_characters(spark):
+    df = spark.createDataFrame([(1, 0, "AN"), (1, 1, ""), (2, 0, None), (3, 0, "")], "locus long, seq_idx int, sequence string")
+    assert rows(align.encode_states(align.sites_long(df))) == [(1, 0, 0, "A", 1), (1, 0, 1, "N", 15)]
+    with pytest.raises(Exception, match="illegal character: "):
+        align.encode_states(spark.createDataFrame([(1, 0, 0, "")], "locus long, seq_idx int, site int, base string")).collect()
+
+
 @pytest.mark.parametrize("bad", ["A1", "E", "é"])
 def test_codes_are_no_characters_of_an_alignment(spark, bad):
     with pytest.raises(Exception, match="illegal sequence characters"):
