@@ -10,19 +10,19 @@ evidence for them.  The model is fixed once the counts are gathered, so what a t
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, stored
 
-#: At most so many distinct strings go to every executor (48 MB); more are joined by a shuffle.
+#: At most so many distinct strings, the most used ones, go to every executor (48 MB); the others are joined by a shuffle.
 BROADCAST_STRINGS = 3_000_000
 #: A word with at least 1/HOT of all training tokens is looked up in a broadcast table of at most HOT words.
 HOT = 1 << 20
@@ -125,8 +125,9 @@ def string_costs(counts: DataFrame, depth: int, rows_a_group: int = 50_000) -> D
     """``counts`` (code, n) with ``cost``: log10 of the model's probability of the string's last byte after the others.
 
     Strings with the same two last context bytes make one subtree and meet in one group; a group holds several such
-    subtrees.  The two upper levels have at most 256 x 255 nodes and are mixed on the driver.
+    subtrees.  The two upper levels have at most 256 x 255 nodes and are mixed on the driver.  Other columns are kept.
     """
+    more = [f for f in counts.schema.fields if f.name not in ("code", "n")]
     groups = max(16, counts.count() // rows_a_group)
     pair = F.shiftright("code", 8 * (depth - 1))
     grouped = counts.withColumn("part", F.pmod(F.xxhash64(pair), F.lit(groups)).cast("int"))
@@ -140,7 +141,7 @@ def string_costs(counts: DataFrame, depth: int, rows_a_group: int = 50_000) -> D
             }
         )
 
-    second = grouped.groupBy("part").applyInPandas(up, "last long, prefix long, zeros double, ones double, below double")
+    second = grouped.select("code", "n", "part").groupBy("part").applyInPandas(up, "last long, prefix long, zeros double, ones double, below double")
     first = second.groupBy("last", "prefix").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas()
     first = first.sort_values(["last", "prefix"])
     last, prefix = first["last"].to_numpy(np.int64), first["prefix"].to_numpy(np.int64)
@@ -164,13 +165,15 @@ def string_costs(counts: DataFrame, depth: int, rows_a_group: int = 50_000) -> D
         before = np.repeat(codes >> (8 * depth), 8)
         one = upper.value[0][before, levels.prefix] + upper.value[1][before, levels.prefix] * levels.predict(depth, 2)
         chosen = np.where(levels.bit == 1, one, 1.0 - one)
-        return pd.DataFrame({"code": codes, "cost": np.log10(chosen).reshape(-1, 8).sum(axis=1)})
+        kept = {f.name: rows[f.name] for f in more}
+        return pd.DataFrame({"code": codes, "cost": np.log10(chosen).reshape(-1, 8).sum(axis=1), **kept})
 
-    return grouped.groupBy("part").applyInPandas(down, "code long, cost double")
+    schema = ", ".join(["code long, cost double", *(f"{f.name} {f.dataType.simpleString()}" for f in more)])
+    return grouped.groupBy("part").applyInPandas(down, schema)
 
 
 class Costs:
-    """Code -> cost: a table with one place a code; the few codes whose place is taken are found by bisection."""
+    """Code -> cost, NaN without one: a table with one place a code; codes whose place is taken are found by bisection."""
 
     def __init__(self, codes: np.ndarray, costs: np.ndarray) -> None:
         likely = np.argsort(-costs, kind="stable")  # they get their places first
@@ -194,39 +197,63 @@ class Costs:
         out = self.cost[place]
         other = np.flatnonzero(self.code[place] != codes)
         if len(other):
-            out[other] = self.rest_cost[np.searchsorted(self.rest, codes[other])]
+            at = np.searchsorted(self.rest, codes[other])
+            known = np.flatnonzero(at < len(self.rest))
+            known = known[self.rest[at[known]] == codes[other[known]]]
+            out[other] = np.nan
+            out[other[known]] = self.rest_cost[at[known]]
         return out
 
 
 def count_strings(df: DataFrame, depth: int) -> DataFrame:
-    """Distinct strings of all texts of ``df`` (_text, _train) with their number in training texts, stored."""
+    """Distinct strings of all texts of ``df`` (_text, _train) with their numbers in training texts, ``n``, and in all,
+    ``uses``.  Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, inverse = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            n = np.concatenate([n for _, n in held]).astype(float)
-            return codes, np.bincount(inverse, weights=n, minlength=len(codes)).astype(np.int64)
+        def merged() -> tuple[np.ndarray, ...]:
+            codes, inverse = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            add = lambda k: np.bincount(inverse, weights=np.concatenate([x[k] for x in held]), minlength=len(codes))
+            return codes, *(add(k).astype(np.int64) for k in (1, 2))
 
         for batch in batches:
             train = np.array(batch.column("_train").to_pylist(), bool)
             for first, _, streams in _streams(batch.column("_text").to_pylist()):
                 codes, owner = strings(streams, depth)
-                learned = train[first + owner]
-                found, n = np.unique(codes[learned], return_counts=True)
-                held.append((found, n))
-                seen = np.unique(codes[~learned])
-                held.append((seen, np.zeros(len(seen), np.int64)))
-                if sum(len(c) for c, _ in held) > 8 * FLUSH:
+                found, inverse, uses = np.unique(codes, return_inverse=True, return_counts=True)
+                held.append((found, np.bincount(inverse[train[first + owner]], minlength=len(found)), uses))
+                if sum(len(x[0]) for x in held) > 6 * FLUSH:
                     held[:] = [merged()]
-                    if len(held[0][0]) > 4 * FLUSH:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["code", "n"])
+                    if len(held[0][0]) > 3 * FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["code", "n", "uses"])
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["code", "n", "uses"])
 
-    found = df.select("_text", "_train").mapInArrow(run, "code long, n long")
-    return stored(found.groupBy("code").agg(F.sum("n").alias("n")), "strings")
+    found = df.select("_text", "_train").mapInArrow(run, "code long, n long, uses long")
+    return stored(found.groupBy("code").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")), "strings")
+
+
+def _by_use(costs: DataFrame, most: int) -> Column:
+    """The condition of the ``most`` most used strings, or somewhat fewer: those from a step of ``uses`` on."""
+    step = F.floor(8 * F.log2(F.col("uses") + 1))
+    held, least = 0, 1 << 20  # above the step of any number
+    for at, n in sorted(map(tuple, costs.groupBy(step).count().collect()), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = at
+    return step >= least
+
+
+def _counted(owner: np.ndarray, codes: np.ndarray, rows: int) -> pa.ListArray:
+    """Per row its distinct codes with their numbers."""
+    order = np.lexsort((codes, owner))
+    owner, codes = owner[order], codes[order]
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1])])) if len(codes) else np.zeros(0, int)
+    n = np.diff(np.append(new, len(codes)))
+    pairs = pa.StructArray.from_arrays([pa.array(codes[new], pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[new], np.arange(rows + 1)), pa.int32()), pairs)
 
 
 def count_words(df: DataFrame) -> DataFrame:
@@ -268,33 +295,26 @@ def score(df: DataFrame, held_out, depth: int = 5, broadcast_strings: int = BROA
     known, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).collect()[0]
     hot = vocabulary.where(F.col("n") * HOT >= F.lit(total)).toArrow()
     costs = stored(string_costs(count_strings(rows, depth), depth), "costs")
-    small = costs.count() <= broadcast_strings
-    table = costs.toArrow() if small else None
-    shared = spark.sparkContext.broadcast((hot, [table[c].to_numpy() for c in ("code", "cost")] if small else None))
+    common = _by_use(costs, broadcast_strings)
+    table = costs.where(common).select("code", "cost").toArrow()
+    shared = spark.sparkContext.broadcast({"hot": hot, "table": [table[c].to_numpy() for c in ("code", "cost")]})
     del table, hot
     spread = total + 0.5 * (known + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, table = shared.value
-        lookup = Costs(*table) if small else None
-        task, number = uuid.uuid4().hex, 0
+        hot, held = shared.value["hot"], shared.value
+        if "costs" not in held:  # a worker makes it once
+            held["costs"] = Costs(*held.pop("table"))
+        lookup, number = held["costs"], TaskContext.get().partitionId() << 33
         base = {w: math.log10((n + 0.5) / spread) for w, n in zip(hot["word"].to_pylist(), hot["n"].to_pylist())}
         pairs = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        codes_of = pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())]))
         for batch in batches:
             for first, found, streams in _streams(batch.column("_text").to_pylist()):
                 part = batch.slice(first, len(found))
                 codes, owner = strings(streams, depth)
-                if lookup is not None:
-                    sums = np.bincount(owner, weights=lookup.of(codes), minlength=len(found))
-                    lists = [[] for _ in found]
-                else:
-                    sums = np.zeros(len(found))
-                    ends = np.cumsum([len(s) for s in streams])
-                    lists = [
-                        [{"code": c, "n": n} for c, n in zip(*(x.tolist() for x in np.unique(own, return_counts=True)))]
-                        for own in np.split(codes, ends[:-1])
-                    ]
+                cost = lookup.of(codes)
+                far = np.isnan(cost)
+                sums = np.bincount(owner, weights=np.where(far, 0.0, cost), minlength=len(found))
                 n_tokens, n_known, scores, rest = [], [], [], []
                 for own in found:
                     own = [*own, b""]
@@ -304,13 +324,13 @@ def score(df: DataFrame, held_out, depth: int = 5, broadcast_strings: int = BROA
                     n_known.append(len(own) - sum(missing.values()))
                     scores.append(math.fsum(g for g in got if g is not None))
                     rest.append([{"word": w, "n": n} for w, n in missing.items()])
-                row = [f"{task}-{number + i}" for i in range(len(found))]
+                row = np.arange(number, number + len(found))
                 number += len(found)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row), part.column("doc_id"), part.column("held_out"), pa.array(n_tokens, pa.int64()),
                         pa.array(n_known, pa.int64()), pa.array(scores, pa.float64()), pa.array(sums, pa.float64()),
-                        pa.array(rest, pairs), pa.array(lists, codes_of),
+                        pa.array(rest, pairs), _counted(owner[far], codes[far], len(found)),
                     ],
                     ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest", "strings"],
                 )
@@ -319,7 +339,7 @@ def score(df: DataFrame, held_out, depth: int = 5, broadcast_strings: int = BROA
     scored = stored(
         rows.select("doc_id", "held_out", "_text").mapInArrow(
             run,
-            f"row string, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
+            f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
             "rest array<struct<word: binary, n: bigint>>, strings array<struct<code: bigint, n: bigint>>",
         ),
         "scored",
@@ -333,11 +353,11 @@ def score(df: DataFrame, held_out, depth: int = 5, broadcast_strings: int = BROA
         )
     )
     out = scored.drop("rest", "strings").join(rare, "row", "left")
-    if not small:
-        joined = scored.select("row", F.explode("strings").alias("s")).select("row", "s.code", "s.n").join(costs, "code")
-        out = out.drop("score").join(joined.groupBy("row").agg(F.sum(F.col("n") * F.col("cost")).alias("score")), "row")
+    others = costs.where(~common).select("code", "cost")
+    listed = scored.select("row", F.explode("strings").alias("s")).select("row", "s.code", "s.n").join(others, "code")
+    out = out.join(listed.groupBy("row").agg(F.sum(F.col("n") * F.col("cost")).alias("_far")), "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("_far", F.lit(0.0))).alias("score"),
     )

@@ -284,6 +284,21 @@ def test_scores_without_a_broadcast_are_the_same(spark):
     assert some == pytest.approx(none)
 
 
+@pytest.mark.parametrize("held", ["doc_id % 5 = 1", "true"])
+def test_only_rare_strings_leave_the_broadcast(spark, monkeypatch, held):
+    """With more strings than are broadcast, the most used ones still are: of a text only its rare ones are shuffled."""
+    kept = {}
+    keep = lambda df, name: kept.setdefault(name, context_stored(df, name))
+    context_stored = context_tree.stored
+    df = spark.createDataFrame([(i, "the same words again and again " * 40 + f"item {i * 7919}") for i in range(30)], "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in context_tree.score(df, F.expr(held)).collect()}
+    monkeypatch.setattr(context_tree, "stored", keep)
+    part = {r.doc_id: r.score for r in context_tree.score(df, F.expr(held), broadcast_strings=60).collect()}
+    assert part == pytest.approx(whole)
+    listed = [len(r.strings) for r in kept["scored"].collect()]
+    assert 0 < max(listed) < 25  # about 40 strings of each text are those of all texts
+
+
 def test_base_score(spark):
     rows = {r.doc_id: r for r in queries.op10_context_tree(spark, DATA).collect()}
     docs = {r.doc_id: context_tree.tokens(r.text) + [b""] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
