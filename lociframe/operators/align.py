@@ -9,11 +9,13 @@ one row per character.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -24,6 +26,8 @@ from lociframe.functions import states
 CHUNK = 256
 #: sites whose patterns are compared by one task
 SITES_A_RUN = 1 << 17
+#: sites of a locus whose columns are made and compressed by one task
+SITES_A_TASK = 1 << 15
 
 
 def _transposed(pieces: list[str]) -> str:
@@ -33,16 +37,85 @@ def _transposed(pieces: list[str]) -> str:
 
 
 def site_columns(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(locus, site, column) with 0-based sites."""
-    pieces = sequences.select(
-        "locus", "seq_idx", F.posexplode(F.expr(f"regexp_extract_all(sequence, '.{{1,{chunk}}}', 0)")).alias("chunk", "piece")
-    )
+    """(locus, site, column) with 0-based sites.  The table knows its pieces, for :func:`compress_patterns`."""
+    cut = sequences.select("locus", "seq_idx", F.expr(f"regexp_extract_all(sequence, '.{{1,{chunk}}}', 0)").alias("pieces"))
+    # outer: the filter for other generators would cut the sequences once more
+    counted = cut.select("locus", "seq_idx", F.size("pieces").alias("n"), F.posexplode_outer("pieces").alias("chunk", "piece"))
+    pieces = counted.filter("piece IS NOT NULL")
     rows = pieces.groupBy("locus", "chunk").agg(F.sort_array(F.collect_list(F.struct("seq_idx", "piece"))).alias("rows"))
     # no piece holds a line feed; batches of Arrow would be by rows, and a row holds a chunk of every sequence
     lines = F.udf(_transposed, StringType(), useArrow=False)(F.transform("rows", lambda r: r["piece"]))
-    return rows.select("locus", "chunk", F.posexplode(F.split(lines, "\n")).alias("i", "column")).select(
+    columns = rows.select("locus", "chunk", F.posexplode(F.split(lines, "\n")).alias("i", "column")).select(
         "locus", (F.col("chunk").cast("long") * chunk + F.col("i")).alias("site"), "column"
     )
+    columns._pieces = pieces, chunk
+    return columns
+
+
+def _run_patterns(pieces: DataFrame, chunk: int, dtype: str) -> tuple[DataFrame, DataFrame]:
+    """(locus, column, pattern_id, weight): the patterns of each run of ``SITES_A_TASK`` sites, of the loci of one run and
+    of the others.
+
+    The pieces of a run meet in one task in the order of chunks and sequences and become columns a chunk at a time, so
+    no column is shuffled, and a task holds the columns of one run.
+    """
+    most = max(1, SITES_A_TASK // chunk)
+    dealt = pieces.withColumn("run", F.floor(F.col("chunk") / most)).repartition("locus", "run")
+    order = ["chunk", "seq_idx", "piece"]
+    whole = Window.partitionBy("locus", "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # the sequence of most pieces has one in every chunk of its locus
+    ordered = dealt.withColumn("long", F.max("n").over(whole) > most).sortWithinPartitions("locus", "run", *order)
+    coded = states.encode_text(F.col("piece"), dtype)
+    longer = F.raise_error(F.concat(F.lit("illegal sequence characters: "), "piece"))  # two letters in upper case
+    coded = F.when(F.length(coded) == F.length("piece"), coded).otherwise(longer)
+    ordered = ordered.withColumn("piece", coded)
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, columns, sites = None, [], [], []  # (locus, run, chunk), its pieces, and what the run has
+        out: list[list] = [[], [], [], []]
+
+        def close_chunk() -> None:
+            own = _transposed(held).split("\n")
+            columns.extend(own)
+            sites.extend(range(at[2] * chunk, at[2] * chunk + len(own)))
+            held.clear()
+
+        def close_run() -> None:
+            weight = Counter(columns)  # in the order of first sites
+            first = dict(zip(reversed(columns), reversed(sites)))
+            for values, more in zip(out, ([at[0]] * len(weight), weight, map(first.get, weight), weight.values())):
+                values.extend(more)
+            columns.clear()
+            sites.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = [kind, pa.string(), pa.int64(), pa.int64()]
+            made = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["locus", "column", "pattern_id", "weight"])
+            for values in out:
+                values.clear()
+            return made
+
+        for batch in batches:
+            kind = batch.schema.field("locus").type
+            *keys, piece = (batch[name].to_pylist() for name in ("locus", "run", "chunk", "piece"))
+            for key, text in zip(zip(*keys), piece):
+                if key != at:
+                    if at is not None:
+                        close_chunk()
+                        if key[:2] != at[:2]:
+                            close_run()
+                            if len(out[0]) >= 1 << 16:
+                                yield batch_of()
+                    at = key
+                held.append(text)
+        if at is not None:
+            close_chunk()
+            close_run()
+            yield batch_of()
+
+    schema = f"locus {pieces.schema['locus'].dataType.simpleString()}, column string, pattern_id long, weight long"
+    one, several = (ordered.filter(c).select("locus", "run", "chunk", "piece").mapInArrow(compress, schema) for c in ("not long", "long"))
+    return one, several
 
 
 def sites_long(sequences: DataFrame) -> DataFrame:
@@ -178,10 +251,19 @@ def compress_patterns(columns: DataFrame, dtype: str = "DNA", jc69: bool = False
 
     ``pattern_id`` is the first site that shows the pattern, which needs no
     ranking.  With ``jc69`` states are first renamed in order of appearance.
+    Columns as ``site_columns`` gives them are compressed run by run where they
+    are made; only the patterns of loci of several runs are shuffled.
     """
-    coded = states.encode_text(F.col("column"), dtype)
-    rows = columns.withColumn("column", relabel_jc69(coded) if jc69 else coded)
-    return rows.groupBy("locus", "column").agg(F.min("site").alias("pattern_id"), F.count(F.lit(1)).alias("weight"))
+    found = vars(columns).get("_pieces")
+    if found is None:
+        coded = states.encode_text(F.col("column"), dtype)
+        rows = columns.withColumn("column", relabel_jc69(coded) if jc69 else coded)
+        return rows.groupBy("locus", "column").agg(F.min("site").alias("pattern_id"), F.count(F.lit(1)).alias("weight"))
+    one, several = _run_patterns(*found, dtype)
+    merged = lambda df: df.groupBy("locus", "column").agg(F.min("pattern_id").alias("pattern_id"), F.sum("weight").alias("weight"))
+    if jc69:
+        return merged(one.unionByName(several).withColumn("column", relabel_jc69(F.col("column"))))
+    return one.unionByName(merged(several))
 
 
 def relabel_jc69(coded: Column) -> Column:

@@ -822,6 +822,23 @@ def test_columns_of_uneven_and_other_characters(spark):
     assert (one.column, one.pattern_id, one.weight) == ("1", 0, 600)
 
 
+@pytest.mark.parametrize("jc69", [False, True])
+def test_patterns_are_made_where_columns_are(spark, monkeypatch, jc69):
+    """No column is shuffled; loci of several runs, uneven, repeated and null ones give the same patterns."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    df = [(1, 0, text(700)), (1, 1, text(650)), (2, 0, text(40)), (2, 0, text(40)), (None, 0, text(300)), (3, 0, None), (4, 0, ""), (5, 1, "AC"), (5, 0, "GGT")]
+    columns = align.site_columns(spark.createDataFrame(df, "locus long, seq_idx int, sequence string"), 16)
+    plain = rows(align.compress_patterns(columns.select("*"), jc69=jc69).fillna(-1))
+    monkeypatch.setattr(align, "SITES_A_TASK", 64)
+    out = align.compress_patterns(columns, jc69=jc69)
+    assert rows(out.fillna(-1)) == plain and len({r[0] for r in plain}) == 4
+    assert "min(site" not in out._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="illegal sequence characters"):
+        one = align.site_columns(spark.createDataFrame([(1, 0, "Aß")], "locus long, seq_idx int, sequence string"))
+        align.compress_patterns(one, "AA").collect()
+
+
 def test_an_empty_sequence_has_no_characters(spark):
     df = spark.createDataFrame([(1, 0, "AN"), (1, 1, ""), (2, 0, None), (3, 0, "")], "locus long, seq_idx int, sequence string")
     assert rows(align.encode_states(align.sites_long(df))) == [(1, 0, 0, "A", 1), (1, 0, 1, "N", 15)]
